@@ -45,30 +45,36 @@ def _choose(text: Column, rules: Rules) -> Column:
     return chain.otherwise(F.lit(None).cast("string"))
 
 
-def session_kind(label: Column) -> Column:
-    return _choose(fold(label), fixed.SESSION_RULES)
+# Each function takes the raw label; ``folded`` says that it is folded already.
 
+def _text(label: Column, folded: bool) -> Column:
+    return label if folded else fold(label)
 
-def session_year(label: Column) -> Column:
-    text = fold(label)
+
+def session_kind(label: Column, folded: bool = False) -> Column:
+    return _choose(_text(label, folded), fixed.SESSION_RULES)
+
+
+def session_year(label: Column, folded: bool = False) -> Column:
+    text = _text(label, folded)
     return F.coalesce(first_match(text, _YEAR_WORD), F.concat(F.lit("20"), first_match(text, _YEAR_LEAD)))
 
 
-def session_code(label: Column) -> Column:
+def session_code(label: Column, folded: bool = False) -> Column:
     """``2024_NORMAL``; null unless both year and kind are found."""
-    return F.concat(session_year(label), F.lit("_"), session_kind(label))
+    return F.concat(session_year(label, folded), F.lit("_"), session_kind(label, folded))
 
 
-def serie(label: Column) -> Column:
-    return _choose(fold(label), fixed.SERIE_RULES)
+def serie(label: Column, folded: bool = False) -> Column:
+    return _choose(_text(label, folded), fixed.SERIE_RULES)
 
 
-def discipline(label: Column) -> Column:
-    return _choose(fold(label), fixed.DISCIPLINE_RULES)
+def discipline(label: Column, folded: bool = False) -> Column:
+    return _choose(_text(label, folded), fixed.DISCIPLINE_RULES)
 
 
-def location(label: Column) -> Column:
-    text = fold(label)
+def location(label: Column, folded: bool = False) -> Column:
+    text = _text(label, folded)
     exact = F.try_element_at(literal_map(fixed.LOCATION_LABELS), text)
     return F.coalesce(exact, _choose(F.regexp_replace(text, f"{SPACE}+", " "), fixed.LOCATION_RULES))
 

@@ -6,8 +6,7 @@ from html.entities import name2codepoint
 
 from pyspark.sql import Column, functions as F
 
-from folioscan import fixed_values as fixed
-from folioscan.functions.text import literal_map, strip
+from folioscan.functions.text import strip
 
 # Rest of a tag, where '>' may occur inside quoted values.
 _IN_TAG = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
@@ -18,9 +17,14 @@ _ANCHOR = rf"(?is)<a(?=[\s/>]){_IN_TAG}"
 _TBODY = rf"(?is)<tbody\b{_IN_TAG}(.*?)(?:</tbody\s*>|</table\s*>|\z)"
 _TR = rf"(?is)<tr\b{_IN_TAG}(.*?)(?=</?tr\b|\z)"
 _TD = rf"(?is)<td\b{_IN_TAG}(.*?)(?=</?t[dh]\b|\z)"
-_ENTITY_OR_TEXT = "&(?:#[0-9]+|#[xX][0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);|[^&]++|&"
+_REFERENCE_OR_TEXT = "&(?:#[0-9]+|#[xX][0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);|[^&]++|&"
 _VALUE = r"""("[^"]*+"|'[^']*+'|[^\s"'>]++)"""
 
+# References to these characters stay until the markup around them is gone.
+_MARKUP_CHARACTERS = {"&": "&amp;", "<": "&lt;", ">": "&gt;", '"': "&quot;", "'": "&#39;"}
+_NAMED = {name: _MARKUP_CHARACTERS.get(chr(point), chr(point)) for name, point in name2codepoint.items()}
+_NUMBERED = {str(ord(c)): reference for c, reference in _MARKUP_CHARACTERS.items()}
+
 MIN_CELLS = 5
 
 
@@ -29,26 +33,47 @@ def visible(html: Column) -> Column:
     return F.regexp_replace(html, _HIDDEN, _MARK)
 
 
-def _entity(token: Column) -> Column:
-    body = F.substring(token, F.lit(2), F.length(token) - 2)
-    digits = F.when(body.rlike("^#[xX]"), F.substring(body, F.lit(3), F.length(body))).otherwise(
-        F.hex(F.substring(body, F.lit(2), F.length(body)).cast("decimal(20,0)").cast("bigint"))
-    )
-    code = F.lpad(F.ltrim(digits, F.lit("0")), 8, "0")
-    # code points outside Unicode and the surrogates are left as written
-    known = (F.length(F.ltrim(digits, F.lit("0"))).between(1, 6)) & (code <= "0010FFFF") & ~code.rlike("^0000D[89A-F]")
-    numeric = F.when(known, F.decode(F.unhex(code), "UTF-32"))
-    named = F.try_element_at(literal_map({name: chr(point) for name, point in name2codepoint.items()}), body)
-    return F.coalesce(F.when(body.startswith("#"), numeric).otherwise(named), token)
-
-
-def unescape(text: Column) -> Column:
-    """Resolve named and numeric character references once."""
-    tokens = F.regexp_extract_all(text, F.lit(_ENTITY_OR_TEXT), F.lit(0))
-    whole = F.array_join(
-        F.transform(tokens, lambda t: F.when(t.startswith("&") & (F.length(t) > 1), _entity(t)).otherwise(t)), ""
-    )
-    return F.when(text.contains("&"), whole).otherwise(text)
+def _constant_map(pairs: dict[str, str]) -> Column:
+    def listed(items) -> str:
+        return "split(decode(X'" + " ".join(items).encode().hex() + "', 'UTF-8'), ' ')"
+
+    # a blank separates the items, so the no-break space needs no special care
+    return F.expr(f"map_from_arrays({listed(pairs)}, {listed(pairs.values())})")
+
+
+def _character(number: Column) -> Column:
+    """Character of a code point; null outside Unicode and for surrogates."""
+    valid = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+    return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))
+
+
+def decode_references(html: Column) -> Column:
+    """Resolve character references, except those to markup characters.
+
+    The exceptions get one fixed spelling, for ``plain`` to resolve in the end.
+    """
+    named, numbered = _constant_map(_NAMED), _constant_map(_NUMBERED)
+
+    def resolved(token: Column) -> Column:
+        body = F.regexp_extract(token, "^&#?[xX]?(.*);$", 1)
+        number = F.when(token.rlike("^&#[xX]"), F.try_to_number(F.conv(body, 16, 10), F.lit("9" * 20))).otherwise(
+            F.try_to_number(body, F.lit("9" * 20))
+        ).cast("bigint")
+        by_number = F.coalesce(F.try_element_at(numbered, number.cast("string")), _character(number))
+        return F.when(
+            token.startswith("&") & token.endswith(";"),
+            F.coalesce(F.when(token.startswith("&#"), by_number).otherwise(F.try_element_at(named, body)), token),
+        ).otherwise(token)
+
+    tokens = F.regexp_extract_all(html, F.lit(_REFERENCE_OR_TEXT), F.lit(0))
+    return F.when(html.contains("&"), F.array_join(F.transform(tokens, resolved), "")).otherwise(html)
+
+
+def plain(text: Column) -> Column:
+    """Resolve the references that ``decode_references`` left."""
+    for character, reference in reversed(_MARKUP_CHARACTERS.items()):
+        text = F.replace(text, F.lit(reference), F.lit(character))
+    return text
 
 
 def _raw_attribute(tag: Column, name: str) -> Column:
@@ -58,9 +83,11 @@ def _raw_attribute(tag: Column, name: str) -> Column:
 
 def attribute(tag: Column, name: str) -> Column:
     """Value of an attribute in a start tag, '' when it is absent."""
-    raw = _raw_attribute(tag, name)
-    bare = F.when(raw.rlike("^[\"']"), F.substring(raw, F.lit(2), F.length(raw) - 2)).otherwise(raw)
-    return unescape(bare)
+    return plain(F.regexp_replace(_raw_attribute(tag, name), r"""(?s)^(["'])(.*)\1$""", "$2"))
+
+
+def has_attribute(tag: Column, name: str) -> Column:
+    return _raw_attribute(tag, name) != ""
 
 
 def anchors(html: Column) -> Column:
@@ -70,20 +97,7 @@ def anchors(html: Column) -> Column:
 
 def cell_text(cell: Column) -> Column:
     """Text pieces of a cell, each trimmed, joined without separator."""
-    pieces = F.transform(F.split(cell, _ANY_TAG, -1), lambda piece: strip(unescape(piece)))
-    return F.when(cell.contains("<"), F.array_join(pieces, "")).otherwise(strip(unescape(cell)))
-
-
-def _cell_links(cell: Column) -> Column:
-    tags = F.filter(anchors(cell), lambda tag: _raw_attribute(tag, "href") != "")
-    return F.transform(
-        tags,
-        lambda tag: F.struct(
-            attribute(tag, "href").alias("href"),
-            attribute(tag, fixed.ENTRY_NAME_ATTRIBUTE).alias("entry_name"),
-            attribute(tag, fixed.LINK_NAME_ATTRIBUTE).alias("link_name"),
-        ),
-    )
+    return F.array_join(F.transform(F.split(cell, _ANY_TAG, -1), lambda piece: strip(plain(piece))), "")
 
 
 def table_body(html: Column) -> Column:
@@ -92,24 +106,14 @@ def table_body(html: Column) -> Column:
 
 
 def table_rows(body: Column) -> Column:
-    """Rows with at least five cells: number, four texts and the links of cell five."""
+    """Rows with at least five cells, as ``row_no`` and the content of the cells."""
     rows = F.transform(
         F.regexp_extract_all(body, F.lit(_TR), F.lit(1)),
         lambda row, i: F.struct(
             (i + 1).cast("bigint").alias("row_no"), F.regexp_extract_all(row, F.lit(_TD), F.lit(1)).alias("cells")
         ),
     )
-    return F.transform(
-        F.filter(rows, lambda row: F.size(row["cells"]) >= MIN_CELLS),
-        lambda row: F.struct(
-            row["row_no"].alias("row_no"),
-            cell_text(row["cells"][0]).alias("session_txt"),
-            cell_text(row["cells"][1]).alias("discipline_txt"),
-            cell_text(row["cells"][2]).alias("serie_txt"),
-            cell_text(row["cells"][3]).alias("localisation_txt"),
-            _cell_links(row["cells"][4]).alias("links"),
-        ),
-    )
+    return F.filter(rows, lambda row: F.size(row["cells"]) >= MIN_CELLS)
 
 
 def needs_parser(html: Column, body: Column) -> Column:

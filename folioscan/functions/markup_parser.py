@@ -6,12 +6,14 @@ with nested tables, open comments and the like; all others stay in the JVM.
 
 from __future__ import annotations
 
+from html import escape
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import functions as F, types as T
 
 from folioscan import fixed_values as fixed, schemas
+from folioscan.functions.markup import MIN_CELLS
 
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _CELLS = ("td", "th")
@@ -94,26 +96,34 @@ def _read(html: str) -> _Page:
     return page
 
 
-def rows_of(html: str) -> list[dict]:
-    """Rows of the first table body, in the shape of ``markup.table_rows``."""
+def _rows(page: _Page) -> list[dict]:
     found = []
-    for number, cells in enumerate(_read(html).rows, start=1):
-        if len(cells) < 5:
-            continue
-        texts = ["".join(cell["texts"]) for cell in cells[:4]]
-        found.append(
-            {
-                "row_no": number,
-                "session_txt": texts[0],
-                "discipline_txt": texts[1],
-                "serie_txt": texts[2],
-                "localisation_txt": texts[3],
-                "links": cells[4]["links"],
-            }
-        )
+    for number, cells in enumerate(page.rows, start=1):
+        if len(cells) >= MIN_CELLS:
+            texts = ["".join(cell["texts"]) for cell in cells[:4]]
+            found.append({"row_no": number, **dict(zip(schemas.LABELS, texts)), "links": cells[4]["links"]})
     return found
 
 
+def rows_of(html: str) -> list[dict]:
+    """Rows of the first table body with at least five cells."""
+    return _rows(_read(html))
+
+
+def _tag(link: dict) -> str:
+    names = ("href", fixed.ENTRY_NAME_ATTRIBUTE, fixed.LINK_NAME_ATTRIBUTE)
+    pairs = (f'{name}="{escape(value, quote=False).replace(chr(34), "&quot;")}"' for name, value in zip(names, link.values()))
+    return f"<a {' '.join(pairs)}>"
+
+
+def plain_body_of(html: str) -> str:
+    """The first table body rewritten without nesting, as the column expressions expect it."""
+    def cell(item: dict) -> str:
+        return f"<td>{escape(''.join(item['texts']), quote=False)}{''.join(map(_tag, item['links']))}</td>"
+
+    return "".join(f"<tr>{''.join(map(cell, cells))}</tr>" for cells in _read(html).rows)
+
+
 def pager_parent_class_of(html: str) -> str:
     """Class of the element around the next-page link."""
     links = _read(html).pager
@@ -121,9 +131,9 @@ def pager_parent_class_of(html: str) -> str:
     return chosen[0][2].get("class", "") if chosen else ""
 
 
-@F.pandas_udf(schemas.ROWS)
-def parsed_rows(html: pd.Series) -> pd.Series:
-    return html.map(lambda page: None if page is None else rows_of(page))
+@F.pandas_udf(T.StringType())
+def plain_body(html: pd.Series) -> pd.Series:
+    return html.map(lambda page: None if page is None else plain_body_of(page))
 
 
 @F.pandas_udf(T.StringType())

@@ -34,13 +34,13 @@ def blank_to_null(text: Column) -> Column:
 
 def first_match(text: Column, pattern: str, group: int = 0) -> Column:
     """First match of the pattern, null when there is none."""
-    return blank_to_null(F.regexp_extract(text, pattern, group))
+    return F.get(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), 0)
 
 
 def percent_decode(text: Column) -> Column:
     """Lenient percent-decoding: '+' and malformed escapes stay as they are."""
-    escaped = F.regexp_replace(F.replace(text, F.lit("+"), F.lit("%2B")), "%(?![0-9A-Fa-f]{2})", "%25")
-    return F.when(text.contains("%"), F.url_decode(escaped)).otherwise(text)
+    kept_plus = F.replace(text, F.lit("+"), F.lit("%2B"))
+    return F.url_decode(F.regexp_replace(kept_plus, "%(?![0-9A-Fa-f]{2})", "%25"))
 
 
 def literal_map(pairs: dict[str, str]) -> Column:

@@ -17,7 +17,7 @@ def _after_scheme(url: Column) -> Column:
 
 def _path(rest: Column) -> Column:
     """Path of a URL without its scheme."""
-    return F.regexp_replace(F.regexp_replace(rest, "^//[^/?#]*", ""), r"(?s)[?#].*$", "")
+    return F.regexp_extract(rest, "^(?://[^/?#]*)?([^?#]*)", 1)
 
 
 def _query(rest: Column) -> Column:
@@ -54,12 +54,9 @@ def resolve(base: Column | str, href: Column) -> Column:
     base_path = _path(base_rest)
     base_scheme = F.lower(F.regexp_extract(base, _SCHEME, 1))
 
-    clean = F.when(
-        href.rlike(r"[\t\r\n]|^[\x00-\x20]"),
-        F.regexp_replace(href, r"^[\x00-\x20]+|[\t\r\n]", ""),
-    ).otherwise(href)
+    clean = F.regexp_replace(href, r"^[\x00-\x20]+|[\t\r\n]", "")
     scheme = F.lower(F.regexp_extract(clean, _SCHEME, 1))
-    rest = F.when(scheme != "", _after_scheme(clean)).otherwise(clean)
+    rest = _after_scheme(clean)
     host = F.regexp_extract(rest, "^//([^/?#]*)", 1)
     path, query, fragment = _path(rest), _query(rest), _fragment(rest)
     tail = F.concat(_with_mark("?", query), _with_mark("#", fragment))

@@ -6,9 +6,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from folioscan import fixed_values as fixed
+from folioscan import fixed_values as fixed, schemas
 from folioscan.functions import labels, metadata, urls
-from folioscan.functions.text import blank_to_null, first_match
+from folioscan.functions.text import blank_to_null, first_match, fold
 from folioscan.operators.extract import listing_rows
 from folioscan.operators.numbering import number_rows
 from folioscan.session import written
@@ -16,81 +16,80 @@ from folioscan.session import written
 CODES = ("session", "discipline", "serie", "localisation")
 
 
-def _files(base_url: str | Column, name_field: str) -> Column:
-    session_year = first_match(F.col("session_txt"), r"^\p{Nd}{4}")
-
-    def one(link: Column) -> Column:
-        name = metadata.link_name(link["href"], link[name_field])
-        return F.struct(
-            name.alias("filename"),
-            urls.resolve(base_url, link["href"]).alias("download_url"),
-            F.coalesce(urls.document_id(link["href"]), metadata.link_file_id(link[name_field]), F.lit("")).alias("file_id"),
-            F.coalesce(metadata.year(link["href"], name), session_year).alias("year"),
-        )
+def coded_rows(rows: DataFrame, base_url: str, name_field: str = "entry_name") -> DataFrame:
+    """Rows with their four codes and their files, one row per file.
 
-    return F.transform(F.filter(F.col("links"), lambda link: urls.is_document_link(link["href"])), one)
-
-
-def coded_rows(rows: DataFrame, base_url: str | Column, name_field: str = "entry_name") -> DataFrame:
-    """Rows with their four codes (null where a label is unknown) and their files."""
-    return rows.select(
-        "page_no",
-        "row_no",
-        "session_txt",
-        "discipline_txt",
-        "serie_txt",
-        "localisation_txt",
-        labels.session_kind(F.col("session_txt")).alias("session"),
-        labels.discipline(F.col("discipline_txt")).alias("discipline"),
-        labels.serie(F.col("serie_txt")).alias("serie"),
-        labels.location(F.col("localisation_txt")).alias("localisation"),
-        _files(base_url, name_field).alias("files"),
+    A label that is not known gives a null code. A listing row without a
+    document link has one row without file (``file_no`` null). All steps are
+    narrow; each works on columns of the step before, so nothing is computed
+    twice.
+    """
+    document = F.filter(F.col("links"), lambda link: urls.is_document_link(link["href"]))
+    flat = rows.select("page_no", "row_no", *schemas.LABELS, document.alias("links"))
+    flat = flat.select(
+        "page_no", "row_no", *schemas.LABELS, F.size("links").alias("files_count"), F.posexplode_outer("links").alias("at", "link")
+    )
+    flat = flat.select(
+        "page_no", "row_no", *schemas.LABELS, "files_count",
+        (F.col("at") + 1).cast("bigint").alias("file_no"),
+        F.col("link.href").alias("href"),
+        F.col(f"link.{name_field}").alias("name"),
+        *[fold(F.col(text)).alias(f"{code}_key") for code, text in zip(CODES, schemas.LABELS)],
+    )
+    flat = flat.withColumns(
+        {
+            "session": labels.session_kind(F.col("session_key"), folded=True),
+            "discipline": labels.discipline(F.col("discipline_key"), folded=True),
+            "serie": labels.serie(F.col("serie_key"), folded=True),
+            "localisation": labels.location(F.col("localisation_key"), folded=True),
+            "filename": metadata.link_name(F.col("href"), F.col("name")),
+        }
+    )
+    file_id = F.coalesce(urls.document_id(F.col("href")), metadata.link_file_id(F.col("name")), F.lit(""))
+    session_year = first_match(F.col("session_txt"), r"^\p{Nd}{4}")
+    return flat.select(
+        "page_no", "row_no", *schemas.LABELS, *CODES, "files_count", "file_no", "filename",
+        urls.resolve(base_url, F.col("href")).alias("download_url"),
+        F.when(F.col("file_no").isNotNull(), file_id).alias("file_id"),
+        F.coalesce(metadata.year(F.col("href"), F.col("filename")), session_year).alias("year"),
     )
 
 
-def accepted_rows(coded: DataFrame) -> DataFrame:
-    """Rows whose four labels are known and that have a file."""
-    known = coded.dropna(subset=list(CODES))
-    return known.filter(F.size("files") > 0).select("page_no", "row_no", *CODES, "files")
+def accepted_files(coded: DataFrame) -> DataFrame:
+    """Files of the rows whose four labels are known."""
+    return coded.dropna(subset=[*CODES, "file_no"]).drop(*schemas.LABELS)
 
 
 def rejected_rows(coded: DataFrame) -> DataFrame:
-    """All other rows, with the fields that failed."""
+    """All other rows, with the fields that failed; one row per listing row."""
     failed = F.array_compact(
         F.array(
             *[F.when(F.col(code).isNull(), F.lit(code)) for code in CODES],
-            F.when(F.size("files") == 0, F.lit("files")),
+            F.when(F.col("file_no").isNull(), F.lit("files")),
         )
     )
-    texts = [f"{code}_txt" for code in CODES]
-    return coded.select("page_no", "row_no", *texts, failed.alias("failed")).filter(F.size("failed") > 0)
-
-
-def numbered_entries(accepted: DataFrame, start: int = 1) -> DataFrame:
-    """Entries with consecutive ids; rejected rows use up no id."""
-    entries = number_rows(accepted, "id", start)
-    return entries.select(
-        "id",
-        *CODES,
-        F.transform(
-            "files",
-            lambda f: F.struct(
-                f["filename"].alias("filename"),
-                f["download_url"].alias("download_url"),
-                f["file_id"].alias("file_id"),
-                metadata.save_name(
-                    F.col("id").cast("string"), *[F.col(code) for code in CODES], f["file_id"]
-                ).alias("filename_for_save"),
-                f["year"].alias("year"),
-            ),
-        ).alias("files"),
+    first = coded.filter(F.coalesce(F.col("file_no"), F.lit(1)) == 1)
+    return first.select("page_no", "row_no", *schemas.LABELS, failed.alias("failed")).filter(F.size("failed") > 0)
+
+
+def numbered_files(accepted: DataFrame, start: int = 1) -> DataFrame:
+    """Files with the ids of their entries and their save names; rejected rows use up no id."""
+    files = number_rows(accepted, "id", start)
+    name = metadata.save_name(F.col("id").cast("string"), *[F.col(code) for code in CODES], F.col("file_id"))
+    return files.select(
+        "id", "file_no", *CODES, "files_count", "filename", "download_url", "file_id", name.alias("filename_for_save"), "year"
     )
 
 
-def files_of(entries: DataFrame) -> DataFrame:
-    """One row per file, with its position and the number of files of its entry."""
-    flat = entries.select("id", *CODES, F.size("files").alias("files_count"), F.posexplode("files").alias("at", "file"))
-    return flat.select("id", (F.col("at") + 1).cast("bigint").alias("file_no"), *CODES, "files_count", "file.*")
+def entries_of(files: DataFrame) -> DataFrame:
+    """One row per entry."""
+    return files.filter(F.col("file_no") == 1).select("id", *CODES, "files_count")
+
+
+def nested_entries(files: DataFrame) -> DataFrame:
+    """One row per entry with its files as an array, in link order."""
+    one = F.struct("file_no", "filename", "download_url", "file_id", "filename_for_save", "year")
+    return files.groupBy("id", *CODES).agg(F.sort_array(F.collect_list(one)).alias("files"))
 
 
 @dataclass
@@ -105,18 +104,18 @@ class Catalogue:
         return rejected_rows(self.rows)
 
     @property
-    def entries(self) -> DataFrame:
-        return numbered_entries(accepted_rows(self.rows), self.start)
+    def unnumbered_files(self) -> DataFrame:
+        """Files without entry ids, for reports that do not need them: no exchange."""
+        return accepted_files(self.rows)
 
     @property
     def files(self) -> DataFrame:
-        return files_of(self.entries)
+        return numbered_files(self.unnumbered_files, self.start)
 
     @property
-    def unnumbered_files(self) -> DataFrame:
-        """Files without entry ids, for reports that do not need them: no exchange."""
-        accepted = accepted_rows(self.rows)
-        return accepted.select("page_no", "row_no", *CODES, F.inline("files"))
+    def entries(self) -> DataFrame:
+        first = self.unnumbered_files.filter(F.col("file_no") == 1)
+        return entries_of(numbered_files(first, self.start))
 
 
 def build_catalogue(pages: DataFrame, base_url: str, tolerant: bool = True, start: int = 1) -> Catalogue:
@@ -135,8 +134,12 @@ def files_of_year(files: DataFrame, year: str) -> DataFrame:
 
 
 def limit_pages(pages: DataFrame, max_pages: int | None) -> DataFrame:
-    """Pages 1 to ``max_pages``, never more than the page cap; pushed into the scan."""
-    return pages.filter(F.col("page_no").between(1, min(max_pages or fixed.MAX_PAGES, fixed.MAX_PAGES)))
+    """Pages 1 to ``max_pages``, at least one and never beyond the page cap.
+
+    A plain range on ``page_no``, so it is pushed into the scan.
+    """
+    last = fixed.MAX_PAGES if max_pages is None else min(max(max_pages, 1), fixed.MAX_PAGES)
+    return pages.filter(F.col("page_no").between(1, last))
 
 
 def complete(file_id: Column, filename: Column, save_name: Column, url: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from folioscan import fixed_values as fixed, schemas
 from folioscan.functions import markup, metadata, urls
-from folioscan.functions.markup_parser import pager_parent_class, parsed_rows
+from folioscan.functions.markup_parser import pager_parent_class, plain_body
 
 
 def page_links(
@@ -24,40 +24,59 @@ def page_links(
     Links are filtered inside the array, so each anchor is read once and rows
     exist only for links that are kept.
     """
-    tags = F.transform(
-        markup.anchors(markup.visible(F.col("html"))),
-        lambda tag: F.struct(markup.attribute(tag, "href").alias("href"), tag.alias("tag")),
+    found = pages.select(
+        "page_no",
+        *([] if isinstance(base_url, str) else [base_url.alias("base")]),
+        F.posexplode(_document_anchors(markup.decode_references(markup.visible(F.col("html"))), pattern)).alias("at", "link"),
     )
-    kept = F.filter(tags, lambda link: (link["href"] != "") & urls.is_document_link(link["href"], pattern))
-    base = base_url if isinstance(base_url, str) else base_url.alias("base")
-    source = pages if isinstance(base, str) else pages.withColumn("base", base)
-    found = source.select("page_no", *([] if isinstance(base, str) else ["base"]), F.posexplode(kept).alias("at", "link"))
     return found.select(
         "page_no",
         (F.col("at") + 1).cast("bigint").alias("link_no"),
-        urls.resolve(base if isinstance(base, str) else F.col("base"), F.col("link.href")).alias("url"),
+        urls.resolve(base_url if isinstance(base_url, str) else F.col("base"), F.col("link.href")).alias("url"),
         markup.attribute(F.col("link.tag"), name_attribute).alias("data_name"),
     )
 
 
+def _document_anchors(html: Column, pattern: str) -> Column:
+    links = F.transform(
+        markup.anchors(html), lambda tag: F.struct(markup.attribute(tag, "href").alias("href"), tag.alias("tag"))
+    )
+    return F.filter(links, lambda link: (link["href"] != "") & urls.is_document_link(link["href"], pattern))
+
+
+def _cell_links(cell: Column) -> Column:
+    tags = F.filter(markup.anchors(cell), lambda tag: markup.has_attribute(tag, "href"))
+    return F.transform(
+        tags,
+        lambda tag: F.struct(
+            markup.attribute(tag, "href").alias("href"),
+            markup.attribute(tag, fixed.ENTRY_NAME_ATTRIBUTE).alias("entry_name"),
+            markup.attribute(tag, fixed.LINK_NAME_ATTRIBUTE).alias("link_name"),
+        ),
+    )
+
+
 def listing_rows(pages: DataFrame, tolerant: bool = True) -> DataFrame:
     """Rows of the first table body that have five cells or more.
 
     Column expressions read the rows. With ``tolerant``, pages that they cannot
-    take (nested tables, open comments) go through the Python parser; the parser
-    gets null for all other pages, so one scan serves both.
+    take (nested tables, open comments) are rewritten by the Python parser
+    first; it gets null for all other pages, so one scan serves both.
     """
     seen = pages.select("page_no", "html", markup.visible(F.col("html")).alias("doc"))
     seen = seen.select("page_no", "html", "doc", markup.table_body(F.col("doc")).alias("body"))
-    native = markup.table_rows(F.col("body"))
+    body = markup.decode_references(F.col("body"))
     if tolerant:
-        hard = markup.needs_parser(F.col("doc"), F.col("body"))
-        seen = seen.select("page_no", "html", "body", hard.alias("hard"))
-        seen = seen.select(
-            "page_no", "body", "hard", parsed_rows(F.when(F.col("hard"), F.col("html"))).alias("parsed")
-        )
-        native = F.when(F.col("hard"), F.col("parsed")).otherwise(native)
-    return seen.select("page_no", F.inline(native))
+        seen = seen.select("page_no", "html", "body", markup.needs_parser(F.col("doc"), F.col("body")).alias("hard"))
+        seen = seen.select("page_no", "body", plain_body(F.when(F.col("hard"), F.col("html"))).alias("rewritten"))
+        body = F.coalesce(F.col("rewritten"), body)
+    rows = seen.select("page_no", body.alias("body")).select("page_no", F.inline(markup.table_rows(F.col("body"))))
+    return rows.select(
+        "page_no",
+        "row_no",
+        *[markup.cell_text(F.col("cells")[i]).alias(name) for i, name in enumerate(schemas.LABELS)],
+        _cell_links(F.col("cells")[4]).alias("links"),
+    )
 
 
 def distinct_values(rows: DataFrame) -> DataFrame:
@@ -84,7 +103,7 @@ def distinct_values(rows: DataFrame) -> DataFrame:
 
 def next_pages(pages: DataFrame) -> DataFrame:
     """Edge to the next page: ``url, next_url``; null where the chain stops."""
-    seen = pages.select("page_no", "url", "html", markup.visible(F.col("html")).alias("doc"))
+    seen = pages.select("page_no", "url", "html", markup.decode_references(markup.visible(F.col("html"))).alias("doc"))
     seen = seen.withColumn("tag", markup.pager_tag(F.col("doc")))
     seen = seen.withColumn("parent", F.when(F.col("tag").isNotNull(), markup.tag_before(F.col("doc"), F.col("tag"))))
     # the parent is the tag before the link, unless elements closed in between

@@ -9,19 +9,20 @@ ROW_BLOCK = 1 << 20  # rows of one page that are numbered together
 
 
 def number_rows(rows: DataFrame, id_column: str = "id", start: int = 1) -> DataFrame:
-    """Number rows start, start+1, … in (page_no, row_no) order.
+    """Number the distinct (page_no, row_no) start, start+1, … in that order.
 
-    Rows are numbered inside blocks of at most ``ROW_BLOCK`` rows of a page, so
-    one huge page is split over many tasks. Block counts are summed up inside
-    spans of ``PAGE_SPAN`` pages, and only span totals, one row for 65,536
-    pages, meet in a single task. The rows are exchanged once.
+    Rows with the same key, such as the files of one listing row, share a number.
+    Keys are numbered inside blocks of at most ``ROW_BLOCK`` row numbers of a
+    page, so one huge page is split over many tasks. Block counts are summed up
+    inside spans of ``PAGE_SPAN`` pages, and only span totals, one row for
+    65,536 pages, meet in a single task. The rows are exchanged once.
 
     ``rows`` is read twice (numbers and counts): pass a written table.
     """
     keyed = rows.withColumn("block", F.floor(F.col("row_no") / ROW_BLOCK))
     span = F.floor(F.col("page_no") / PAGE_SPAN)
 
-    counts = keyed.groupBy("page_no", "block").agg(F.count("*").alias("n")).withColumn("span", span)
+    counts = keyed.groupBy("page_no", "block").agg(F.count_distinct("row_no").alias("n")).withColumn("span", span)
     before = (Window.unboundedPreceding, -1)
     in_span = Window.partitionBy("span").orderBy("page_no", "block").rowsBetween(*before)
     over_spans = Window.orderBy("span").rowsBetween(*before)
@@ -32,7 +33,7 @@ def number_rows(rows: DataFrame, id_column: str = "id", start: int = 1) -> DataF
     ).join(totals, "span")
     starts = starts.select("page_no", "block", (F.col("span_start") + F.col("block_start")).alias("offset"))
 
-    in_block = F.row_number().over(Window.partitionBy("page_no", "block").orderBy("row_no"))
+    in_block = F.dense_rank().over(Window.partitionBy("page_no", "block").orderBy("row_no"))
     numbered = keyed.withColumn("in_block", in_block).join(starts, ["page_no", "block"])
     number = (F.col("offset") + F.col("in_block") + F.lit(start - 1)).cast("bigint")
     return numbered.withColumn(id_column, number).drop("block", "in_block", "offset")

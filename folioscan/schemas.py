@@ -16,7 +16,6 @@ ROW = T.StructType(
         T.StructField("links", T.ArrayType(LINK)),
     ]
 )
-ROWS = T.ArrayType(ROW)
 PAGE_LINKS = "page_no bigint, link_no bigint, url string, data_name string"
 RESPONSES = "url string, attempt_no int, attempt_ts timestamp_ntz, content_type string, content binary, error string"
 ARCHIVE_MEMBERS = "archive_path string, member string, size bigint, content binary, error string"
