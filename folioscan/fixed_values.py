@@ -18,37 +18,44 @@ LOCATIONS = (
     "METRO_ANTIL_GUY", "NOUVELLE_CAL", "GROUPE_1", "POLYNESIE", "PONDICHERY",
 )
 
-# --- label patterns: (code, conditions that must all hold), first match wins ---
-# A condition is ("part", literal), ("word", pattern) or ("pattern", pattern).
-# Patterns run on trimmed lower-case text; "word" adds word bounds.
+# --- label rules: first rule wins ------------------------------------------
+# A rule is a code and conditions that must all hold. A condition holds when one
+# of its parts occurs anywhere, or one of its words between word bounds. Rules
+# run on trimmed lower-case text.
 SESSION_RULES = (
-    ("NORMAL", (("word", "normal|normale|normales"),)),
-    ("REMPLACEMENT", (("word", "remplacement|septembre"),)),
+    ("NORMAL", ({"words": ("normal", "normale", "normales")},)),
+    ("REMPLACEMENT", ({"words": ("remplacement", "septembre")},)),
 )
 SERIE_RULES = (
-    ("GENERALE", (("word", "générale|generale|gen"),)),
-    ("PROFESSIONNELLE", (("word", "professionnelle|professionnel|pro"),)),
-    ("TOUTES", (("word", "toutes"),)),
+    ("GENERALE", ({"words": ("générale", "generale", "gen")},)),
+    ("PROFESSIONNELLE", ({"words": ("professionnelle", "professionnel", "pro")},)),
+    ("TOUTES", ({"words": ("toutes",)},)),
 )
 DISCIPLINE_RULES = (
-    ("FR_DICTEE", (("part", "fran"), ("part", "dict"))),
-    ("FR_GRAM_COMP", (("word", "fran[çc]ais"), ("word", "grammaire|compr[ée]hension|questions?"))),
-    ("FR_REDACTION", (("word", "fran[çc]ais"), ("word", "r[ée]daction"))),
-    ("HIST_GEO_EMC", (("pattern", "histoi?re|g[ée]ographie|{emc}"),)),
-    ("LV_ALLEMAND", (("word", "allemand"),)),
-    ("LV_ANGLAIS", (("word", "anglais"),)),
-    ("LV_ARABE", (("word", "arabe"),)),
-    ("LV_CHINOIS", (("word", "chinois"),)),
-    ("LV_ESPAGNOL", (("word", "espagnol"),)),
-    ("LV_GREC", (("word", "grec"),)),
-    ("LV_HEBREU", (("word", "h[ée]breu"),)),
-    ("LV_ITALIEN", (("word", "italien"),)),
-    ("LV_JAPONAIS", (("word", "japonais"),)),
-    ("LV_PORTUGAIS", (("word", "portugais"),)),
-    ("LV_RUSSE", (("word", "russe"),)),
-    ("LV_TURC", (("word", "turc"),)),
-    ("MATHS", (("word", "math|maths|mathématiques|mathematiques"),)),
-    ("SCIENCES", (("pattern", "{sciences?}|{svt}|physique|chimie|technologie"),)),
+    ("FR_DICTEE", ({"parts": ("fran",)}, {"parts": ("dict",)})),
+    (
+        "FR_GRAM_COMP",
+        (
+            {"words": ("français", "francais")},
+            {"words": ("grammaire", "compréhension", "comprehension", "question", "questions")},
+        ),
+    ),
+    ("FR_REDACTION", ({"words": ("français", "francais")}, {"words": ("rédaction", "redaction")})),
+    ("HIST_GEO_EMC", ({"parts": ("histoire", "histore", "géographie", "geographie"), "words": ("emc",)},)),
+    ("LV_ALLEMAND", ({"words": ("allemand",)},)),
+    ("LV_ANGLAIS", ({"words": ("anglais",)},)),
+    ("LV_ARABE", ({"words": ("arabe",)},)),
+    ("LV_CHINOIS", ({"words": ("chinois",)},)),
+    ("LV_ESPAGNOL", ({"words": ("espagnol",)},)),
+    ("LV_GREC", ({"words": ("grec",)},)),
+    ("LV_HEBREU", ({"words": ("hébreu", "hebreu")},)),
+    ("LV_ITALIEN", ({"words": ("italien",)},)),
+    ("LV_JAPONAIS", ({"words": ("japonais",)},)),
+    ("LV_PORTUGAIS", ({"words": ("portugais",)},)),
+    ("LV_RUSSE", ({"words": ("russe",)},)),
+    ("LV_TURC", ({"words": ("turc",)},)),
+    ("MATHS", ({"words": ("math", "maths", "mathématiques", "mathematiques")},)),
+    ("SCIENCES", ({"parts": ("physique", "chimie", "technologie"), "words": ("science", "sciences", "svt")},)),
 )
 # Exact location labels, tried before the patterns.
 LOCATION_LABELS = {
@@ -73,19 +80,42 @@ LOCATION_LABELS = {
     "pondichéry": "PONDICHERY",
     "pondichery": "PONDICHERY",
 }
-# Location patterns run on text whose blank runs are one blank.
+# Location rules run on text whose runs of blanks are one blank.
 LOCATION_RULES = (
-    ("AM_NORTH", (("pattern", "am[ée]rique du nord"),)),
-    ("AM_SOUTH", (("pattern", "am[ée]rique du sud"),)),
-    ("ANTIL_GUY", (("pattern", "antilles ?,? ?guyane"),)),
-    ("METRO_ANTIL_GUY", (("pattern", "m[ée]tropole et antilles[- ]guyane"),)),
-    ("METROPOLE", (("pattern", "m[ée]tropole"),)),
-    ("NOUVELLE_CAL", (("pattern", "nouvelle[- ]cal[ée]donie"),)),
-    ("POLYNESIE", (("pattern", "polyn[ée]sie"),)),
-    ("PONDICHERY", (("pattern", "pondich[ée]ry"),)),
-    ("GROUPE_1", (("word", "groupe ?1"),)),
-    ("LIBAN", (("word", "liban"),)),
-    ("ASIA", (("word", "asie"),)),
+    ("AM_NORTH", ({"parts": ("amérique du nord", "amerique du nord")},)),
+    ("AM_SOUTH", ({"parts": ("amérique du sud", "amerique du sud")},)),
+    (
+        "ANTIL_GUY",
+        (
+            {
+                "parts": (
+                    "antillesguyane", "antilles guyane", "antilles,guyane",
+                    "antilles, guyane", "antilles ,guyane", "antilles , guyane",
+                )
+            },
+        ),
+    ),
+    (
+        "METRO_ANTIL_GUY",
+        (
+            {
+                "parts": (
+                    "métropole et antilles-guyane", "métropole et antilles guyane",
+                    "metropole et antilles-guyane", "metropole et antilles guyane",
+                )
+            },
+        ),
+    ),
+    ("METROPOLE", ({"parts": ("métropole", "metropole")},)),
+    (
+        "NOUVELLE_CAL",
+        ({"parts": ("nouvelle-calédonie", "nouvelle calédonie", "nouvelle-caledonie", "nouvelle caledonie")},),
+    ),
+    ("POLYNESIE", ({"parts": ("polynésie", "polynesie")},)),
+    ("PONDICHERY", ({"parts": ("pondichéry", "pondichery")},)),
+    ("GROUPE_1", ({"words": ("groupe 1", "groupe1")},)),
+    ("LIBAN", ({"words": ("liban",)},)),
+    ("ASIA", ({"words": ("asie",)},)),
 )
 
 # --- metadata words, tried in order ----------------------------------------
@@ -106,12 +136,13 @@ SUBJECT_WORDS = (
     ("espagnol", "Espagnol LV1"),
     ("italien", "Italien LV1"),
 )
+# Combined spellings: a part that all of them contain, the pattern, the subject.
 SUBJECT_FORMS = (
-    ("hist(oire)?[-_]?geo(graphie)?", "Histoire-Géographie"),
-    ("phys(ique)?[-_]?chim(ie)?", "Sciences (Physique-Chimie)"),
+    ("geo", "hist(oire)?[-_]?geo(graphie)?", "Histoire-Géographie"),
+    ("chim", "phys(ique)?[-_]?chim(ie)?", "Sciences (Physique-Chimie)"),
 )
 SESSION_WORDS = ("normale", "remplacement", "septembre", "juin")
-PRO_SERIES_WORDS = "professionnelle|pro"
+PRO_SERIES_WORDS = ("professionnelle", "pro")
 CORRECTION_PARTS = ("corrig", "correction", "corrige", "reponses", "solutions", "answer", "key")
 
 # --- links and file types ---------------------------------------------------

@@ -6,42 +6,35 @@ Column or as the body of a SQL function, so DataFrame and SQL users share it.
 
 from __future__ import annotations
 
-import re
+from functools import reduce
 
 from pyspark.sql import Column, SparkSession, functions as F
 
 from folioscan import fixed_values as fixed
-from folioscan.functions.text import SPACE, WHITESPACE, bounded, first_match, fold, literal_map
+from folioscan.functions.text import (
+    SPACE, WHITESPACE, bounded, contains_any, contains_word, first_match, fold, literal_map
+)
 
-Rules = tuple[tuple[str, tuple[tuple[str, str], ...]], ...]
+Condition = dict[str, tuple[str, ...]]
+Rules = tuple[tuple[str, tuple[Condition, ...]], ...]
 
-_YEAR_WORD = bounded("20[0-9]{2}")
+_YEAR_WORD = bounded("20[0-9]{2}", length=4)
 _YEAR_LEAD = r"^\p{Nd}{2}"
 
 
-def _pattern(kind: str, body: str) -> str:
-    if kind == "word":
-        return bounded(body)
-    # {word} inside a pattern is a bounded alternative
-    return re.sub(r"\{([a-z?]+)\}", lambda m: bounded(m.group(1)), body)
-
-
-def _condition(text: Column, kind: str, body: str) -> Column:
-    if kind == "part":
-        return text.contains(body)
-    matches = text.rlike(_pattern(kind, body))
-    # a plain word is looked for as bytes first, which is far cheaper than a regex
-    return text.contains(body) & matches if kind == "word" and body.isalpha() else matches
+def _holds(text: Column, condition: Condition) -> Column:
+    tests = []
+    if "parts" in condition:
+        tests.append(contains_any(text, condition["parts"]))
+    if "words" in condition:
+        tests.append(contains_word(text, condition["words"]))
+    return reduce(Column.__or__, tests)
 
 
 def _choose(text: Column, rules: Rules) -> Column:
     chain = F
     for code, conditions in rules:
-        test = F.lit(True)
-        for i, (kind, body) in enumerate(conditions):
-            one = _condition(text, kind, body)
-            test = one if i == 0 else test & one
-        chain = chain.when(test, F.lit(code))
+        chain = chain.when(reduce(Column.__and__, [_holds(text, c) for c in conditions]), F.lit(code))
     return chain.otherwise(F.lit(None).cast("string"))
 
 
@@ -86,14 +79,13 @@ def _quote(text: str) -> str:
 
 
 def _case_sql(text: str, rules: Rules) -> str:
-    def condition(kind: str, body: str) -> str:
-        if kind == "part":
-            return f"contains({text}, '{body}')"
-        return f"{text} RLIKE {_quote(_pattern(kind, body))}"
+    def holds(condition: Condition) -> str:
+        tests = [f"contains({text}, '{part}')" for part in condition.get("parts", ())]
+        if "words" in condition:
+            tests.append(f"{text} RLIKE {_quote(bounded('|'.join(condition['words'])))}")
+        return "(" + " OR ".join(tests) + ")"
 
-    branches = " ".join(
-        f"WHEN {' AND '.join(condition(k, b) for k, b in conditions)} THEN '{code}'" for code, conditions in rules
-    )
+    branches = " ".join(f"WHEN {' AND '.join(map(holds, conditions))} THEN '{code}'" for code, conditions in rules)
     return f"CASE {branches} END"
 
 

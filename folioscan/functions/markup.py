@@ -10,13 +10,16 @@ from folioscan.functions.text import strip
 
 # Rest of a tag, where '>' may occur inside quoted values.
 _IN_TAG = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
-_HIDDEN = rf"(?is)<!--.*?-->|<(script|style)\b{_IN_TAG}.*?</\1\s*>"
+_HIDDEN = rf"(?is)<(?:!--.*?-->|(script|style)\b{_IN_TAG}.*?</\1\s*>)"
 _MARK = "<!>"  # left in place of hidden content, so that text around it stays apart
 _ANY_TAG = rf"</?[A-Za-z]{_IN_TAG}|<![^>]*>"
 _ANCHOR = rf"(?is)<a(?=[\s/>]){_IN_TAG}"
-_TBODY = rf"(?is)<tbody\b{_IN_TAG}(.*?)(?:</tbody\s*>|</table\s*>|\z)"
-_TR = rf"(?is)<tr\b{_IN_TAG}(.*?)(?=</?tr\b|\z)"
-_TD = rf"(?is)<td\b{_IN_TAG}(.*?)(?=</?t[dh]\b|\z)"
+_ROW_START = r"(?i)<tr(?=[\s/>])"
+_CELL_START = r"(?i)<td(?=[\s/>])"
+_BODY_START = r"(?i)<tbody(?=[\s/>])"
+_BODY_END = r"(?i)</tbody|</table"
+_AROUND_CELL = rf"(?is)\A{_IN_TAG}|</?t[dh]\b.*\z"
+_ALL = 1 << 30
 _REFERENCE_OR_TEXT = "&(?:#[0-9]+|#[xX][0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);|[^&]++|&"
 _VALUE = r"""("[^"]*+"|'[^']*+'|[^\s"'>]++)"""
 
@@ -76,18 +79,20 @@ def plain(text: Column) -> Column:
     return text
 
 
-def _raw_attribute(tag: Column, name: str) -> Column:
+def raw_attribute(tag: Column, name: str) -> Column:
+    """Value of an attribute as written, with its quotes; '' only when it is absent."""
     others = rf"""(?:[\s/]++(?!{name}[\s=/>])[^\s"'<>/=]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>]++))?+)*+"""
     return F.regexp_extract(tag, rf"(?is)^<[a-z][a-z0-9]*+{others}[\s/]++{name}\s*+=\s*+{_VALUE}", 1)
 
 
-def attribute(tag: Column, name: str) -> Column:
-    """Value of an attribute in a start tag, '' when it is absent."""
-    return plain(F.regexp_replace(_raw_attribute(tag, name), r"""(?s)^(["'])(.*)\1$""", "$2"))
+def unquoted(value: Column) -> Column:
+    """The value that a raw attribute stands for."""
+    return plain(F.regexp_replace(value, r"""(?s)^(["'])(.*)\1$""", "$2"))
 
 
-def has_attribute(tag: Column, name: str) -> Column:
-    return _raw_attribute(tag, name) != ""
+def attribute(tag: Column, name: str) -> Column:
+    """Value of an attribute in a start tag, '' when it is absent."""
+    return unquoted(raw_attribute(tag, name))
 
 
 def anchors(html: Column) -> Column:
@@ -95,22 +100,32 @@ def anchors(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit(_ANCHOR), F.lit(0))
 
 
-def cell_text(cell: Column) -> Column:
+def cell_content(cell: Column) -> Column:
+    """Content of a cell as cut out by ``table_rows``: without the rest of its tag and its end."""
+    return F.regexp_replace(cell, _AROUND_CELL, "")
+
+
+def cell_text(content: Column) -> Column:
     """Text pieces of a cell, each trimmed, joined without separator."""
-    return F.array_join(F.transform(F.split(cell, _ANY_TAG, -1), lambda piece: strip(plain(piece))), "")
+    return F.array_join(F.transform(F.split(content, _ANY_TAG, -1), lambda piece: strip(plain(piece))), "")
 
 
 def table_body(html: Column) -> Column:
-    """Content of the first table body, up to its end."""
-    return F.regexp_extract(html, _TBODY, 1)
+    """Content of the first table body, up to its end; null when there is none."""
+    return F.get(F.split(F.get(F.split(html, _BODY_START, 2), 1), _BODY_END, 2), 0)
 
 
 def table_rows(body: Column) -> Column:
-    """Rows with at least five cells, as ``row_no`` and the content of the cells."""
+    """Rows with at least five cells, as ``row_no`` and the cells as they stand.
+
+    Splitting at start tags takes omitted end tags as well, and looks at each
+    character a fixed number of times.
+    """
     rows = F.transform(
-        F.regexp_extract_all(body, F.lit(_TR), F.lit(1)),
+        F.slice(F.split(body, _ROW_START, -1), 2, _ALL),
         lambda row, i: F.struct(
-            (i + 1).cast("bigint").alias("row_no"), F.regexp_extract_all(row, F.lit(_TD), F.lit(1)).alias("cells")
+            (i + 1).cast("bigint").alias("row_no"),
+            F.slice(F.split(F.get(F.split(row, "(?i)</tr", 2), 0), _CELL_START, -1), 2, _ALL).alias("cells"),
         ),
     )
     return F.filter(rows, lambda row: F.size(row["cells"]) >= MIN_CELLS)

@@ -4,15 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from folioscan import fixed_values as fixed
-from folioscan.functions.text import blank_to_null, bounded, first_match, percent_decode
+from folioscan.functions.text import blank_to_null, bounded, contains_any, contains_word, first_match, percent_decode
 from folioscan.functions.urls import name_in_url
 
 _YEAR_LEAD = r"^\p{Nd}{2}"
-_YEAR_WORD = bounded(r"20[0-2]\p{Nd}")
-_CORRECTION = "|".join(fixed.CORRECTION_PARTS)
+_YEAR_WORD = bounded(r"20[0-2]\p{Nd}", length=4)
 
 
 def link_name(url: Column, name_attribute: Column) -> Column:
@@ -47,53 +46,62 @@ def year(url: Column, name: Column) -> Column:
 def subject_in_text(text: Column, words: tuple[tuple[str, str], ...] = fixed.SUBJECT_WORDS) -> Column:
     chain = F
     for word, subject in words:
-        chain = chain.when(text.contains(word) & text.rlike(bounded(word)), F.lit(subject))
+        chain = chain.when(contains_word(text, (word,)), F.lit(subject))
     return subject_forms(text, chain)
 
 
 def subject_forms(text: Column, chain=F) -> Column:
     """Combined spellings, tried after the single words."""
-    for form, subject in fixed.SUBJECT_FORMS:
-        chain = chain.when(text.rlike(bounded(form)), F.lit(subject))
+    for part, form, subject in fixed.SUBJECT_FORMS:
+        chain = chain.when(text.contains(part) & text.rlike(bounded(form)), F.lit(subject))
     return chain.otherwise(F.lit(None).cast("string"))
 
 
 def session_in_text(text: Column) -> Column:
     chain = F
     for word in fixed.SESSION_WORDS:
-        chain = chain.when(text.contains(word) & text.rlike(bounded(word)), F.lit(word))
+        chain = chain.when(contains_word(text, (word,)), F.lit(word))
     return chain.otherwise(F.lit(None).cast("string"))
 
 
 def series_in_text(text: Column) -> Column:
-    return F.when(text.rlike(bounded(fixed.PRO_SERIES_WORDS)), F.lit("professionnelle")).otherwise(F.lit("generale"))
+    return F.when(contains_word(text, fixed.PRO_SERIES_WORDS), F.lit("professionnelle")).otherwise(F.lit("generale"))
 
 
 def correction_in_text(text: Column) -> Column:
     """Whether a correction word occurs anywhere, also inside other words."""
-    return text.rlike(_CORRECTION)
+    return contains_any(text, fixed.CORRECTION_PARTS)
 
 
 def document_type(is_correction: Column) -> Column:
     return F.when(is_correction, F.lit("correction")).otherwise(F.lit("sujet"))
 
 
-def parse(url: Column, name_attribute: Column) -> Column:
-    """All metadata of one link as a struct."""
-    name = link_name(url, name_attribute)
-    text = search_text(url, name)
-    correction = correction_in_text(text)
-    return F.struct(
-        url.alias("url"),
-        name.alias("filename"),
-        link_file_id(name_attribute).alias("file_id"),
-        year(url, name).alias("year"),
-        subject_in_text(text).alias("subject"),
-        session_in_text(text).alias("session"),
-        series_in_text(text).alias("series"),
-        correction.alias("is_correction"),
-        document_type(correction).alias("document_type"),
+FIELDS = ("filename", "file_id", "year", "subject", "session", "series", "is_correction", "document_type")
+
+
+def with_parsed(df: DataFrame, url: Column, name_attribute: Column, prefix: str = "") -> DataFrame:
+    """Add all metadata of one link as columns.
+
+    Name and search text are columns of their own in between, so each is
+    computed once and the generated code stays small.
+    """
+    df = df.withColumns({"_attribute": name_attribute, "_name": link_name(url, name_attribute)})
+    df = df.withColumns({"_decoded": percent_decode(F.col("_name")), "_text": search_text(url, F.col("_name"))})
+    df = df.withColumn("_correction", correction_in_text(F.col("_text")))
+    text = F.col("_text")
+    fields = (
+        F.col("_name"),
+        link_file_id(F.col("_attribute")),
+        F.coalesce(file_year(F.col("_decoded")), first_match(text, _YEAR_WORD)),
+        subject_in_text(text),
+        session_in_text(text),
+        series_in_text(text),
+        F.col("_correction"),
+        document_type(F.col("_correction")),
     )
+    df = df.withColumns({prefix + field: column for field, column in zip(FIELDS, fields)})
+    return df.drop("_attribute", "_name", "_decoded", "_text", "_correction")
 
 
 def organized_name(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from folioscan import fixed_values as fixed
-from folioscan.functions.text import SPACE, blank_to_null, first_match, percent_decode
+from folioscan.functions.text import SPACE, blank_to_null, first_match, let, percent_decode
 
 _SCHEME = r"^([A-Za-z][A-Za-z0-9+.\-]*):"
 _ORIGIN = r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*"
@@ -46,46 +46,58 @@ def _remove_dots(segments: Column) -> Column:
     return F.when(joined.startswith("/"), joined).otherwise(F.concat(F.lit("/"), joined))
 
 
+def _resolved(p: Column) -> Column:
+    """Resolution of an href that has been taken apart; ``p`` holds the parts."""
+    tail = F.concat(_with_mark("?", p["query"]), _with_mark("#", p["fragment"]))
+    folder = F.regexp_replace(p["base_path"], "[^/]*$", "")
+    joined = F.split(F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), p["path"]), "/", -1)
+    relative = let(
+        joined,
+        lambda parts: F.concat(
+            F.slice(parts, 1, 1),
+            F.filter(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0))), lambda x: x != ""),
+            F.slice(parts, -1, 1),
+        ),
+    )
+    segments = F.when(p["path"].startswith("/"), F.split(p["path"], "/", -1)).otherwise(relative)
+    query = F.when(p["query"] != "", p["query"]).otherwise(p["base_query"])
+    return (
+        F.when((p["scheme"] != "") & (p["scheme"] != p["base_scheme"]), p["href"])
+        .when(p["host"] != "", F.concat(p["base_scheme"], F.lit("://"), p["host"], p["path"], tail))
+        .when(
+            p["path"] == "",
+            F.concat(p["origin"], p["base_path"], _with_mark("?", query), _with_mark("#", p["fragment"])),
+        )
+        .otherwise(F.concat(p["origin"], let(segments, _remove_dots), tail))
+    )
+
+
 def resolve(base: Column | str, href: Column) -> Column:
-    """Absolute URL of ``href`` as seen from ``base`` (an http or https URL)."""
+    """Absolute URL of ``href`` as seen from ``base`` (an http or https URL).
+
+    Hrefs with a plain absolute path, nearly all of them, only get the origin
+    put in front; the full rules are left to the rest.
+    """
     base = F.lit(base) if isinstance(base, str) else base
     origin = F.regexp_extract(base, _ORIGIN, 0)
     base_rest = _after_scheme(base)
-    base_path = _path(base_rest)
-    base_scheme = F.lower(F.regexp_extract(base, _SCHEME, 1))
-
     clean = F.regexp_replace(href, r"^[\x00-\x20]+|[\t\r\n]", "")
-    scheme = F.lower(F.regexp_extract(clean, _SCHEME, 1))
     rest = _after_scheme(clean)
-    host = F.regexp_extract(rest, "^//([^/?#]*)", 1)
-    path, query, fragment = _path(rest), _query(rest), _fragment(rest)
-    tail = F.concat(_with_mark("?", query), _with_mark("#", fragment))
-
-    folder = F.regexp_replace(base_path, "[^/]*$", "")
-    joined = F.split(F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), path), "/", -1)
-    relative = F.concat(
-        F.slice(joined, 1, 1),
-        F.filter(F.slice(joined, F.lit(2), F.greatest(F.size(joined) - 2, F.lit(0))), lambda x: x != ""),
-        F.slice(joined, -1, 1),
+    parts = F.struct(
+        href.alias("href"),
+        F.lower(F.regexp_extract(clean, _SCHEME, 1)).alias("scheme"),
+        F.regexp_extract(rest, "^//([^/?#]*)", 1).alias("host"),
+        _path(rest).alias("path"),
+        _query(rest).alias("query"),
+        _fragment(rest).alias("fragment"),
+        origin.alias("origin"),
+        F.lower(F.regexp_extract(base, _SCHEME, 1)).alias("base_scheme"),
+        _path(base_rest).alias("base_path"),
+        _query(base_rest).alias("base_query"),
     )
-    segments = F.when(path.startswith("/"), F.split(path, "/", -1)).otherwise(relative)
-
     plain = href.startswith("/") & ~href.startswith("//") & ~href.contains("/.") & ~href.rlike(r"[?#\t\r\n]")
     return (
-        F.when(href == "", base)
-        .when(plain, F.concat(origin, href))
-        .when((scheme != "") & (scheme != base_scheme), href)
-        .when(host != "", F.concat(base_scheme, F.lit("://"), host, path, tail))
-        .when(
-            path == "",
-            F.concat(
-                origin,
-                base_path,
-                _with_mark("?", F.when(query != "", query).otherwise(_query(base_rest))),
-                _with_mark("#", fragment),
-            ),
-        )
-        .otherwise(F.concat(origin, _remove_dots(segments), tail))
+        F.when(plain, F.concat(origin, href)).when(href == "", base).when(href.isNotNull(), let(parts, _resolved))
     )
 
 

@@ -124,7 +124,7 @@ def build_catalogue(pages: DataFrame, base_url: str, tolerant: bool = True, star
     The pages are the large input; writing the coded rows means they are read
     and parsed once although numbering needs two passes.
     """
-    coded = coded_rows(listing_rows(pages, tolerant), base_url)
+    coded = coded_rows(listing_rows(pages, tolerant, names=("entry_name",)), base_url)
     return Catalogue(written(coded, "coded-rows"), start)
 
 

@@ -12,6 +12,8 @@ from folioscan import fixed_values as fixed, schemas
 from folioscan.functions import markup, metadata, urls
 from folioscan.functions.markup_parser import pager_parent_class, plain_body
 
+_NAME_ATTRIBUTES = {"entry_name": fixed.ENTRY_NAME_ATTRIBUTE, "link_name": fixed.LINK_NAME_ATTRIBUTE}
+
 
 def page_links(
     pages: DataFrame,
@@ -44,19 +46,24 @@ def _document_anchors(html: Column, pattern: str) -> Column:
     return F.filter(links, lambda link: (link["href"] != "") & urls.is_document_link(link["href"], pattern))
 
 
-def _cell_links(cell: Column) -> Column:
-    tags = F.filter(markup.anchors(cell), lambda tag: markup.has_attribute(tag, "href"))
-    return F.transform(
-        tags,
+def _cell_links(cell: Column, names: tuple[str, ...]) -> Column:
+    """Links of a cell with the asked-for name attributes."""
+    tags = F.transform(
+        markup.anchors(cell),
         lambda tag: F.struct(
-            markup.attribute(tag, "href").alias("href"),
-            markup.attribute(tag, fixed.ENTRY_NAME_ATTRIBUTE).alias("entry_name"),
-            markup.attribute(tag, fixed.LINK_NAME_ATTRIBUTE).alias("link_name"),
+            markup.raw_attribute(tag, "href").alias("href"),
+            *[markup.attribute(tag, _NAME_ATTRIBUTES[name]).alias(name) for name in names],
         ),
     )
+    return F.transform(
+        F.filter(tags, lambda link: link["href"] != ""),
+        lambda link: F.struct(markup.unquoted(link["href"]).alias("href"), *[link[name].alias(name) for name in names]),
+    )
 
 
-def listing_rows(pages: DataFrame, tolerant: bool = True) -> DataFrame:
+def listing_rows(
+    pages: DataFrame, tolerant: bool = True, names: tuple[str, ...] = ("entry_name", "link_name")
+) -> DataFrame:
     """Rows of the first table body that have five cells or more.
 
     Column expressions read the rows. With ``tolerant``, pages that they cannot
@@ -74,8 +81,8 @@ def listing_rows(pages: DataFrame, tolerant: bool = True) -> DataFrame:
     return rows.select(
         "page_no",
         "row_no",
-        *[markup.cell_text(F.col("cells")[i]).alias(name) for i, name in enumerate(schemas.LABELS)],
-        _cell_links(F.col("cells")[4]).alias("links"),
+        *[markup.cell_text(markup.cell_content(F.col("cells")[i])).alias(name) for i, name in enumerate(schemas.LABELS)],
+        _cell_links(markup.cell_content(F.col("cells")[4]), names).alias("links"),
     )
 
 

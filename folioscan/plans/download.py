@@ -7,9 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from folioscan.functions import metadata, urls
 from folioscan.functions.text import blank_to_null
 
-METADATA = (
-    "filename", "file_id", "year", "subject", "session", "series", "is_correction", "document_type",
-)
+METADATA = metadata.FIELDS
 
 
 def download_plan(files: DataFrame) -> DataFrame:
@@ -52,12 +50,9 @@ def with_metadata(wanted: DataFrame, plan: DataFrame) -> DataFrame:
     Spark, which measures it.
     """
     planned = metadata_by_url(plan).withColumn("planned", F.lit(True))
-    joined = wanted.join(planned, "url", "left")
-    parsed = metadata.parse(F.col("url"), F.lit(""))
-    columns = [
-        F.when(F.col("planned"), F.col(c)).otherwise(parsed.getField(c)).alias(c) for c in METADATA
-    ]
-    return joined.select(*[F.col(c) for c in wanted.columns], *columns)
+    joined = metadata.with_parsed(wanted.join(planned, "url", "left"), F.col("url"), F.lit(""), prefix="parsed_")
+    columns = [F.when(F.col("planned"), F.col(c)).otherwise(F.col(f"parsed_{c}")).alias(c) for c in METADATA]
+    return joined.select(*wanted.columns, *columns)
 
 
 def not_landed(plan: DataFrame, landed: DataFrame, match: str = "path", history: DataFrame | None = None) -> DataFrame:

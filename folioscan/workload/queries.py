@@ -33,7 +33,7 @@ def _catalogue(spark: SparkSession, sf_dir: str) -> catalogue.Catalogue:
 
 def _coded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Coded rows for reports that need no ids: nothing is written."""
-    return catalogue.coded_rows(extract.listing_rows(fx.landed_pages(spark, sf_dir)), fx.BASE_URL)
+    return catalogue.coded_rows(extract.listing_rows(fx.landed_pages(spark, sf_dir), names=("entry_name",)), fx.BASE_URL)
 
 
 def _accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -200,8 +200,8 @@ def _texts(spark, sf_dir) -> DataFrame:
 
 @query
 def parse_metadata(spark, sf_dir):
-    parsed = metadata.parse(F.col("url"), F.col("data_name"))
-    return fx.link_names(spark, sf_dir).select("row_key", parsed.alias("m")).select("row_key", "m.*")
+    parsed = metadata.with_parsed(fx.link_names(spark, sf_dir), F.col("url"), F.col("data_name"))
+    return parsed.select("row_key", "url", *metadata.FIELDS)
 
 
 @query
@@ -249,7 +249,7 @@ def parse_correction(spark, sf_dir):
 @query
 def organized_name(spark, sf_dir):
     """Names built from metadata parts; the file name is left out to force building."""
-    m = fx.link_names(spark, sf_dir).select("row_key", metadata.parse(F.col("url"), F.col("data_name")).alias("m")).select("row_key", "m.*")
+    m = metadata.with_parsed(fx.link_names(spark, sf_dir), F.col("url"), F.col("data_name"))
     parts = [F.col(c) for c in ("year", "subject", "session", "series", "document_type", "file_id")]
     return m.select(
         "row_key",
