@@ -6,13 +6,14 @@ Column or as the body of a SQL function, so DataFrame and SQL users share it.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, SparkSession, functions as F
 
 from folioscan import fixed_values as fixed
 from folioscan.functions.text import (
-    SPACE, WHITESPACE, bounded, contains_any, contains_word, first_match, fold, literal_map
+    SPACE, WHITESPACE, bounded, contains_any, contains_word, first_match, fold, let, literal_map
 )
 
 Condition = dict[str, tuple[str, ...]]
@@ -38,19 +39,24 @@ def _choose(text: Column, rules: Rules) -> Column:
     return chain.otherwise(F.lit(None).cast("string"))
 
 
-# Each function takes the raw label; ``folded`` says that it is folded already.
+# Each function takes the raw label. With ``folded`` it takes a column that went
+# through ``fold`` before, which lets Spark generate code for the whole rule chain;
+# otherwise the text is folded once per value.
 
-def _text(label: Column, folded: bool) -> Column:
-    return label if folded else fold(label)
+def _on_folded(label: Column, folded: bool, rule: Callable[[Column], Column]) -> Column:
+    return rule(label) if folded else let(fold(label), rule)
 
 
 def session_kind(label: Column, folded: bool = False) -> Column:
-    return _choose(_text(label, folded), fixed.SESSION_RULES)
+    return _on_folded(label, folded, lambda text: _choose(text, fixed.SESSION_RULES))
 
 
 def session_year(label: Column, folded: bool = False) -> Column:
-    text = _text(label, folded)
-    return F.coalesce(first_match(text, _YEAR_WORD), F.concat(F.lit("20"), first_match(text, _YEAR_LEAD)))
+    return _on_folded(
+        label,
+        folded,
+        lambda text: F.coalesce(first_match(text, _YEAR_WORD), F.concat(F.lit("20"), first_match(text, _YEAR_LEAD))),
+    )
 
 
 def session_code(label: Column, folded: bool = False) -> Column:
@@ -59,17 +65,26 @@ def session_code(label: Column, folded: bool = False) -> Column:
 
 
 def serie(label: Column, folded: bool = False) -> Column:
-    return _choose(_text(label, folded), fixed.SERIE_RULES)
+    return _on_folded(label, folded, lambda text: _choose(text, fixed.SERIE_RULES))
 
 
 def discipline(label: Column, folded: bool = False) -> Column:
-    return _choose(_text(label, folded), fixed.DISCIPLINE_RULES)
+    return _on_folded(label, folded, lambda text: _choose(text, fixed.DISCIPLINE_RULES))
+
+
+def single_blanks(text: Column) -> Column:
+    return F.regexp_replace(text, f"{SPACE}+", " ")
+
 
+def location(label: Column, folded: bool = False, single: Column | None = None) -> Column:
+    """Exact label first, then the rules on ``single``, the folded text with single blanks."""
+    def rule(text: Column) -> Column:
+        exact = F.try_element_at(literal_map(fixed.LOCATION_LABELS), text)
+        if single is not None:
+            return F.coalesce(exact, _choose(single, fixed.LOCATION_RULES))
+        return F.coalesce(exact, let(single_blanks(text), lambda words: _choose(words, fixed.LOCATION_RULES)))
 
-def location(label: Column, folded: bool = False) -> Column:
-    text = _text(label, folded)
-    exact = F.try_element_at(literal_map(fixed.LOCATION_LABELS), text)
-    return F.coalesce(exact, _choose(F.regexp_replace(text, f"{SPACE}+", " "), fixed.LOCATION_RULES))
+    return _on_folded(label, folded, rule)
 
 
 # --- the same rules for SQL users --------------------------------------------

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -25,26 +26,31 @@ def coded_rows(rows: DataFrame, base_url: str, name_field: str = "entry_name") -
     twice.
     """
     document = F.filter(F.col("links"), lambda link: urls.is_document_link(link["href"]))
-    flat = rows.select("page_no", "row_no", *schemas.LABELS, document.alias("links"))
-    flat = flat.select(
-        "page_no", "row_no", *schemas.LABELS, F.size("links").alias("files_count"), F.posexplode_outer("links").alias("at", "link")
+    keyed = rows.select(
+        "page_no", "row_no", *schemas.LABELS, document.alias("links"),
+        *[fold(F.col(text)).alias(f"{code}_key") for code, text in zip(CODES, schemas.LABELS)],
+    )
+    keyed = keyed.withColumn("localisation_single", labels.single_blanks(F.col("localisation_key")))
+    codes = F.struct(
+        labels.session_kind(F.col("session_key"), folded=True).alias("session"),
+        labels.discipline(F.col("discipline_key"), folded=True).alias("discipline"),
+        labels.serie(F.col("serie_key"), folded=True).alias("serie"),
+        labels.location(F.col("localisation_key"), folded=True, single=F.col("localisation_single")).alias("localisation"),
+    )
+    # as generator output the codes are computed once; a later filter on them is
+    # not turned into a second run of the rules below this point
+    coded = keyed.select("page_no", "row_no", *schemas.LABELS, "links", F.inline(F.array(codes)))
+    flat = coded.select(
+        "page_no", "row_no", *schemas.LABELS, *CODES, F.size("links").alias("files_count"),
+        F.posexplode_outer("links").alias("at", "link"),
     )
     flat = flat.select(
-        "page_no", "row_no", *schemas.LABELS, "files_count",
+        "page_no", "row_no", *schemas.LABELS, *CODES, "files_count",
         (F.col("at") + 1).cast("bigint").alias("file_no"),
         F.col("link.href").alias("href"),
         F.col(f"link.{name_field}").alias("name"),
-        *[fold(F.col(text)).alias(f"{code}_key") for code, text in zip(CODES, schemas.LABELS)],
-    )
-    flat = flat.withColumns(
-        {
-            "session": labels.session_kind(F.col("session_key"), folded=True),
-            "discipline": labels.discipline(F.col("discipline_key"), folded=True),
-            "serie": labels.serie(F.col("serie_key"), folded=True),
-            "localisation": labels.location(F.col("localisation_key"), folded=True),
-            "filename": metadata.link_name(F.col("href"), F.col("name")),
-        }
     )
+    flat = flat.withColumn("filename", metadata.link_name(F.col("href"), F.col("name")))
     file_id = F.coalesce(urls.document_id(F.col("href")), metadata.link_file_id(F.col("name")), F.lit(""))
     session_year = first_match(F.col("session_txt"), r"^\p{Nd}{4}")
     return flat.select(
@@ -57,7 +63,8 @@ def coded_rows(rows: DataFrame, base_url: str, name_field: str = "entry_name") -
 
 def accepted_files(coded: DataFrame) -> DataFrame:
     """Files of the rows whose four labels are known."""
-    return coded.dropna(subset=[*CODES, "file_no"]).drop(*schemas.LABELS)
+    known = reduce(Column.__and__, [F.col(c).isNotNull() for c in (*CODES, "file_no")])
+    return coded.filter(known).drop(*schemas.LABELS)
 
 
 def rejected_rows(coded: DataFrame) -> DataFrame:
@@ -74,7 +81,7 @@ def rejected_rows(coded: DataFrame) -> DataFrame:
 
 def numbered_files(accepted: DataFrame, start: int = 1) -> DataFrame:
     """Files with the ids of their entries and their save names; rejected rows use up no id."""
-    files = number_rows(accepted, "id", start)
+    files = number_rows(accepted, F.col("file_no") == 1, "id", start)
     name = metadata.save_name(F.col("id").cast("string"), *[F.col(code) for code in CODES], F.col("file_id"))
     return files.select(
         "id", "file_no", *CODES, "files_count", "filename", "download_url", "file_id", name.alias("filename_for_save"), "year"
@@ -144,7 +151,4 @@ def limit_pages(pages: DataFrame, max_pages: int | None) -> DataFrame:
 
 def complete(file_id: Column, filename: Column, save_name: Column, url: Column) -> Column:
     """Whether a file has all four parts, empty counting as missing."""
-    present = F.lit(True)
-    for part in (file_id, filename, save_name, url):
-        present = present & blank_to_null(part).isNotNull()
-    return present
+    return reduce(Column.__and__, [blank_to_null(part).isNotNull() for part in (file_id, filename, save_name, url)])

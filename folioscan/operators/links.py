@@ -17,11 +17,8 @@ def first_links(links: DataFrame) -> DataFrame:
 
 def new_links_per_page(links: DataFrame) -> DataFrame:
     """How many links are first seen on each page; pages without new links have no row."""
-    position = F.min(F.struct("page_no", "link_no"))
-    return (
-        links.groupBy("url").agg(position.alias("first"))
-        .groupBy(F.col("first.page_no").alias("page_no")).agg(F.count("*").alias("new_links"))
-    )
+    first_page = links.groupBy("url").agg(F.min("page_no").alias("page_no"))
+    return first_page.groupBy("page_no").agg(F.count("*").alias("new_links"))
 
 
 def unseen_links(links: DataFrame, seen: DataFrame) -> DataFrame:

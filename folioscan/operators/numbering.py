@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 PAGE_SPAN = 1 << 16  # pages whose counts are summed together
 ROW_BLOCK = 1 << 20  # rows of one page that are numbered together
 
 
-def number_rows(rows: DataFrame, id_column: str = "id", start: int = 1) -> DataFrame:
+def number_rows(rows: DataFrame, first: Column, id_column: str = "id", start: int = 1) -> DataFrame:
     """Number the distinct (page_no, row_no) start, start+1, … in that order.
 
-    Rows with the same key, such as the files of one listing row, share a number.
+    Rows with the same key, such as the files of one listing row, share a number;
+    ``first`` holds for exactly one of them.
     Keys are numbered inside blocks of at most ``ROW_BLOCK`` row numbers of a
     page, so one huge page is split over many tasks. Block counts are summed up
     inside spans of ``PAGE_SPAN`` pages, and only span totals, one row for
@@ -22,7 +23,7 @@ def number_rows(rows: DataFrame, id_column: str = "id", start: int = 1) -> DataF
     keyed = rows.withColumn("block", F.floor(F.col("row_no") / ROW_BLOCK))
     span = F.floor(F.col("page_no") / PAGE_SPAN)
 
-    counts = keyed.groupBy("page_no", "block").agg(F.count_distinct("row_no").alias("n")).withColumn("span", span)
+    counts = keyed.groupBy("page_no", "block").agg(F.count_if(first).alias("n")).withColumn("span", span)
     before = (Window.unboundedPreceding, -1)
     in_span = Window.partitionBy("span").orderBy("page_no", "block").rowsBetween(*before)
     over_spans = Window.orderBy("span").rowsBetween(*before)

@@ -30,11 +30,11 @@ def write_failures(failures: DataFrame, path: str) -> bool:
 def write_by_year_and_subject(files: DataFrame, path: str, by_year: bool = True, by_subject: bool = True) -> None:
     """Table partitioned like the folder layout; a missing level becomes the default partition.
 
-    Rows are not exchanged by year and subject: a subject that holds a third of
-    the rows would then be written by one task.
+    The rebalance hint gathers the rows of a folder into few files, and splits a
+    subject that holds a third of the rows over many tasks.
     """
     levels = [c for c, wanted in (("year", by_year), ("subject", by_subject)) if wanted]
-    files.write.mode("overwrite").partitionBy(*levels).parquet(path)
+    files.hint("rebalance", *levels).write.mode("overwrite").partitionBy(*levels).parquet(path)
 
 
 def show_summary(summary: DataFrame, limit: int = 100) -> None:

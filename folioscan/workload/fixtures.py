@@ -140,11 +140,13 @@ def link_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 def landed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The listing rows as HTML pages, 50 rows each.
 
-    Spread over all cores again, since the few bytes here would end up in one
-    partition and parsing is bound by CPU.
+    The number of partitions is given, so that the few bytes here are not merged
+    into one partition: parsing is bound by CPU. The grouping by page needs no
+    further exchange.
     """
-    pages = spark.sql(_PAGES.replace("{base}", BASE_URL), rows=listing_rows(spark, sf_dir))
-    return pages.repartition(spark.sparkContext.defaultParallelism)
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    rows = listing_rows(spark, sf_dir).repartition(partitions, "page_no")
+    return spark.sql(_PAGES.replace("{base}", BASE_URL), rows=rows)
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from folioscan import fixed_values as fixed
 from folioscan.functions import filetypes, labels, metadata, urls
 from folioscan.functions.markup_parser import HtmlRows
+from folioscan.functions.text import fold
 from folioscan.operators import catalogue, dictionary, extract, fetch, links, reports
 from folioscan.plans import chain, download
 from folioscan.session import new_path, written
@@ -170,10 +171,15 @@ def norm_localisation(spark, sf_dir):
 @query
 def norm_whole_texts(spark, sf_dir):
     """All label rules on whole documents."""
+    folded = fx.table(spark, sf_dir, "documents").select("doc_id", fold(F.col("text")).alias("text"))
+    folded = folded.withColumn("single", labels.single_blanks(F.col("text")))
     text = F.col("text")
-    return fx.table(spark, sf_dir, "documents").select(
-        "doc_id", labels.session_code(text).alias("session"), labels.discipline(text).alias("discipline"),
-        labels.serie(text).alias("serie"), labels.location(text).alias("localisation"),
+    return folded.select(
+        "doc_id",
+        labels.session_code(text, folded=True).alias("session"),
+        labels.discipline(text, folded=True).alias("discipline"),
+        labels.serie(text, folded=True).alias("serie"),
+        labels.location(text, folded=True, single=F.col("single")).alias("localisation"),
     )
 
 
