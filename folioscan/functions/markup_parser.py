@@ -25,14 +25,15 @@ _CLOSES = {"td": _CELLS, "th": _CELLS, "tr": ("tr",), **{s: _SECTIONS for s in _
 class _Page(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, object]] = []
+        self.open: list[tuple[str, object, dict]] = []  # tag, collected item, attributes
         self.rows: list[list[dict]] = []
         self.body_seen = False
         self.pager: list[tuple[bool, dict, dict]] = []
 
     # open elements
     def _inside(self, name: str) -> list:
-        return [item for tag, item in self.open if tag == name and item is not None]
+        """Items of the open elements of that name; only the first table body has any."""
+        return [item for tag, item, _ in self.open if tag == name and item is not None]
 
     def _close(self, names: tuple[str, ...], barrier: tuple[str, ...]) -> None:
         for i in range(len(self.open) - 1, -1, -1):
@@ -55,16 +56,14 @@ class _Page(HTMLParser):
         elif tag == "tr" and self._inside("tbody"):
             item = []
             self.rows.append(item)
-        elif tag == "td":
+        elif tag == "td" and self._inside("tr"):
             item = {"texts": [], "links": []}
             for row in self._inside("tr"):
                 row.append(item)
         elif tag == "a":
             self._anchor(values)
-        elif tag not in _VOID:
-            item = values
         if tag not in _VOID:
-            self.open.append((tag, values if item is None else item))
+            self.open.append((tag, item, values))
 
     def _anchor(self, values: dict) -> None:
         if "href" in values:
@@ -75,8 +74,8 @@ class _Page(HTMLParser):
             }
             for cell in self._inside("td"):
                 cell["links"].append(link)
-        parent = self.open[-1][1] if self.open else {}
-        self.pager.append((values.get("rel") == "next", values, parent if isinstance(parent, dict) else {}))
+        parent = self.open[-1][2] if self.open else {}
+        self.pager.append((values.get("rel") == "next", values, parent))
 
     def handle_endtag(self, tag: str) -> None:
         barrier = () if tag == "table" else ("table",) if tag in (*_CLOSES, "tr") else ("table", *_CELLS)
