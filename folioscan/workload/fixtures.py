@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from folioscan.sources.landed import spread
+
 BASE_URL = "https://listing.example.org/711/preparer"
 ORIGIN = "https://listing.example.org"
 
@@ -126,7 +128,7 @@ LEFT JOIN tails ON tails.lang = docs.lang AND doc_id % 5 = 1
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def listing_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
