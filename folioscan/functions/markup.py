@@ -10,15 +10,16 @@ from folioscan.functions.text import strip
 
 # Rest of a tag, where '>' may occur inside quoted values.
 _IN_TAG = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
-_HIDDEN = rf"(?is)<(?:!--.*?-->|(script|style)\b{_IN_TAG}.*?</\1\s*>)"
+# Hidden content; without an end it goes on to the end of the page.
+_HIDDEN = rf"(?is)<(?:!--(?:.*?-->|.*)|(script|style)\b{_IN_TAG}(?:.*?</\1\s*>|.*))"
 _MARK = "<!>"  # left in place of hidden content, so that text around it stays apart
 _ANY_TAG = rf"</?[A-Za-z]{_IN_TAG}|<![^>]*>"
 _ANCHOR = rf"(?is)<a(?=[\s/>]){_IN_TAG}"
 _ROW_START = r"(?i)<tr(?=[\s/>])"
-_CELL_START = r"(?i)<td(?=[\s/>])"
+_CELL_START = rf"(?i)<td(?=[\s/>]){_IN_TAG}"
+_CELL_END = r"(?i)</?t[dh]\b"
 _BODY_START = r"(?i)<tbody(?=[\s/>])"
 _BODY_END = r"(?i)</tbody|</table"
-_AROUND_CELL = rf"(?is)\A{_IN_TAG}|</?t[dh]\b.*\z"
 _ALL = 1 << 30
 _REFERENCE_OR_TEXT = "&(?:#[0-9]+|#[xX][0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);|[^&]++|&"
 _VALUE = r"""("[^"]*+"|'[^']*+'|[^\s"'>]++)"""
@@ -100,9 +101,11 @@ def anchors(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit(_ANCHOR), F.lit(0))
 
 
-def cell_content(cell: Column) -> Column:
-    """Content of a cell as cut out by ``table_rows``: without the rest of its tag and its end."""
-    return F.regexp_replace(cell, _AROUND_CELL, "")
+def cell_contents(cells: Column) -> Column:
+    """Contents of the first five cells, as cut out by ``table_rows``, without what follows their ends."""
+    return F.transform(
+        F.slice(cells, 1, MIN_CELLS), lambda cell: decode_references(F.get(F.split(cell, _CELL_END, 2), 0))
+    )
 
 
 def cell_text(content: Column) -> Column:
@@ -131,9 +134,9 @@ def table_rows(body: Column) -> Column:
     return F.filter(rows, lambda row: F.size(row["cells"]) >= MIN_CELLS)
 
 
-def needs_parser(html: Column, body: Column) -> Column:
-    """Pages beyond the patterns: nested tables, open comments or scripts."""
-    return body.rlike(r"(?i)<(?:table|tbody)\b") | html.rlike(r"(?i)<!--|<(?:script|style)\b")
+def needs_parser(body: Column) -> Column:
+    """Table bodies beyond the patterns: those with a table or body inside."""
+    return body.rlike(r"(?i)<t(?:able|body)\b")
 
 
 def pager_tag(html: Column) -> Column:

@@ -1,7 +1,7 @@
 """Tolerant HTML reading for the few pages that the column expressions cannot take.
 
 A small per-page helper on the standard library parser. It is only given pages
-with nested tables, open comments and the like; all others stay in the JVM.
+with nested tables; all others stay in the JVM.
 """
 
 from __future__ import annotations

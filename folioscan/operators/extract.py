@@ -67,22 +67,24 @@ def listing_rows(
     """Rows of the first table body that have five cells or more.
 
     Column expressions read the rows. With ``tolerant``, pages that they cannot
-    take (nested tables, open comments) are rewritten by the Python parser
+    take (nested tables) are rewritten by the Python parser
     first; it gets null for all other pages, so one scan serves both.
     """
-    seen = pages.select("page_no", "html", markup.visible(F.col("html")).alias("doc"))
-    seen = seen.select("page_no", "html", "doc", markup.table_body(F.col("doc")).alias("body"))
-    body = markup.decode_references(F.col("body"))
+    body = markup.table_body(markup.visible(F.col("html")))
     if tolerant:
-        seen = seen.select("page_no", "html", "body", markup.needs_parser(F.col("doc"), F.col("body")).alias("hard"))
-        seen = seen.select("page_no", "body", plain_body(F.when(F.col("hard"), F.col("html"))).alias("rewritten"))
-        body = F.coalesce(F.col("rewritten"), body)
-    rows = seen.select("page_no", body.alias("body")).select("page_no", F.inline(markup.table_rows(F.col("body"))))
+        seen = pages.select("page_no", "html", body.alias("body"))
+        hard = F.when(markup.needs_parser(F.col("body")), F.col("html"))
+        seen = seen.select("page_no", "body", plain_body(hard).alias("rewritten"))
+        bodies = seen.select("page_no", F.coalesce("rewritten", "body").alias("body"))
+    else:
+        bodies = pages.select("page_no", body.alias("body"))
+    rows = bodies.select("page_no", F.inline(markup.table_rows(F.col("body"))))
+    rows = rows.select("page_no", "row_no", markup.cell_contents(F.col("cells")).alias("cells"))
     return rows.select(
         "page_no",
         "row_no",
-        *[markup.cell_text(markup.cell_content(F.col("cells")[i])).alias(name) for i, name in enumerate(schemas.LABELS)],
-        _cell_links(markup.cell_content(F.col("cells")[4]), names).alias("links"),
+        *[markup.cell_text(F.col("cells")[i]).alias(name) for i, name in enumerate(schemas.LABELS)],
+        _cell_links(F.col("cells")[4], names).alias("links"),
     )
 
 

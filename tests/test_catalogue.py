@@ -18,6 +18,7 @@ PLAIN = HEAD + """<tbody class="x"><tr><td> a <b>b</b>&nbsp;</td><td>c&eacute;&#
 OPEN_ENDED = HEAD + "<tbody><tr><td>1<td>2<td>3<td>4<td><a href='/document/1/download'>x<tr><td>5<td>6<td>7<td>8<td>9</table><p>rest"
 NESTED = HEAD + """<tbody><tr><td>1</td><td>2</td><td>3</td><td>4 &lt;b&gt;</td><td><table><tbody><tr><td>in</td></tr></tbody></table>
 <a href='/document/"5"/download' data-ati-name="a&amp;amp;b">x</a></td></tr></tbody><tbody><tr><td>a<td>b<td>c<td>d<td>e</tr></tbody></table>"""
+UNCLOSED = PLAIN.replace("</table>", "</table><!-- <a href='/document/9/download'>")
 NO_BODY = "<html><table><tr><td>1<td>2<td>3<td>4<td>5</table>"
 STRANGE = HEAD + "<tbody><tr><td>&euro;&nosuch;&#128512;&#xD800;&#0;</td><td>a &amp;eacute; b</td><td>x<script>no</script>y</td><td> &lt;i&gt; </td><td></td></tr></tbody></table>"
 
@@ -56,13 +57,14 @@ def test_rewritten_body_reads_the_same(spark):
 
 
 def test_only_hard_pages_reach_the_parser(spark):
-    doc = markup.visible(F.col("html"))
-    hard = _pages(spark, PLAIN, OPEN_ENDED, NESTED, NO_BODY).select("page_no", markup.needs_parser(doc, markup.table_body(doc)).alias("hard"))
+    body = markup.table_body(markup.visible(F.col("html")))
+    hard = _pages(spark, PLAIN, OPEN_ENDED, NESTED, NO_BODY).select("page_no", markup.needs_parser(body).alias("hard"))
     assert [r["page_no"] for r in hard.filter("hard").collect()] == [3]
 
 
 def test_links(spark):
     links = extract.page_links(_pages(spark, PLAIN), BASE).orderBy("link_no").collect()
+    assert extract.page_links(_pages(spark, UNCLOSED), BASE).count() == 2
     assert [tuple(r) for r in links] == [
         (1, 1, "https://listing.example.org/document/7/download?x=1&y=2", ""),
         (1, 2, "https://listing.example.org/document/8/download", "z|8"),
