@@ -295,7 +295,7 @@ def url_filename(spark, sf_dir):
 def url_resolve(spark, sf_dir):
     """Ten spellings of each link of the real pages, resolved against the base."""
     path = extract.page_links(fx.pages_table(spark, sf_dir), "https://x.org/", pattern="^/")
-    name = F.substring("url", len("https://x.org/") + 1, 1000)
+    name = F.regexp_replace("url", "^https://x[.]org/", "")
     spellings = [
         F.concat(F.lit("/"), name), name, F.concat(F.lit("./"), name), F.concat(F.lit("../"), name),
         F.concat(F.lit("?q="), name), F.concat(F.lit("#"), name), F.concat(F.lit("//cdn.example.org/"), name),
