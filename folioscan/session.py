@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,6 +18,7 @@ _DEFAULTS = {
     ),
 }
 _local_folder: str | None = None
+_shipped_to = None
 
 
 def build_session(master: str | None = None, app: str = "folioscan", **settings: str) -> SparkSession:
@@ -24,7 +27,22 @@ def build_session(master: str | None = None, app: str = "folioscan", **settings:
         builder = builder.master(master)
     for key, value in {**_DEFAULTS, **settings}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return ship_package(builder.getOrCreate())
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Send this package to the Python workers, once for each context.
+
+    They need it for the few Python functions, wherever the driver was started.
+    """
+    global _shipped_to
+    context = spark.sparkContext
+    if _shipped_to is not context:
+        root = Path(__file__).resolve().parent
+        folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")  # Spark's file server takes it from here
+        context.addPyFile(shutil.make_archive(f"{folder}/{root.name}", "zip", root.parent, root.name))
+        _shipped_to = context
+    return spark
 
 
 def shared_folder(spark: SparkSession) -> str:

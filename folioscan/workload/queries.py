@@ -12,7 +12,7 @@ from folioscan.functions.markup_parser import HtmlRows
 from folioscan.functions.text import fold
 from folioscan.operators import catalogue, dictionary, extract, fetch, links, reports
 from folioscan.plans import chain, download
-from folioscan.session import new_path, written
+from folioscan.session import new_path, ship_package, written
 from folioscan.sources import archives, sinks
 from folioscan.streaming import landing
 from folioscan.workload import fixtures as fx
@@ -22,7 +22,8 @@ QUERIES: dict[str, Query] = {}
 
 
 def query(function: Query) -> Query:
-    QUERIES[function.__name__] = function
+    """Register a query; its session may have been built elsewhere, so the package is sent along."""
+    QUERIES[function.__name__] = lambda spark, sf_dir: function(ship_package(spark), sf_dir)
     return function
 
 
