@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscan.llm import exact_dedup, line_dedup, mixing, quality
+from folioscan.llm import exact_dedup, line_dedup, mixing, quality, secrets
 from folioscan.llm.common import table
 
 
@@ -24,6 +24,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.secret_spans(table(spark, sf_dir, "documents")))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -32,6 +36,7 @@ QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op3_mixing": op3_mixing,
     "op4_quality_rules": op4_quality_rules,
+    "op6_secrets": op6_secrets,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
