@@ -3,9 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from folioscan.llm import exact_dedup, line_dedup, mixing, quality, secrets
-from folioscan.llm.common import table
+from folioscan.llm import exact_dedup, hmm, language_id, line_dedup, mixing, quality, secrets
+from folioscan.llm.common import remainder, table
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = remainder(F.col("doc_id"), 3) == 1
+    languages = language_id.fit(docs, ~held_out)
+    return language_id.predictions(docs, languages).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "margin", "rejected")
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,15 +36,22 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.secret_spans(table(spark, sf_dir, "documents")))
 
 
+def op8_hmm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return hmm.scores(docs, remainder(F.col("doc_id"), 7) == 2)
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op2_line_dedup": op2_line_dedup,
     "op3_mixing": op3_mixing,
     "op4_quality_rules": op4_quality_rules,
     "op6_secrets": op6_secrets,
+    "op8_hmm_score": op8_hmm_score,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
