@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscan.llm import exact_dedup, hmm, language_id, line_dedup, mixing, quality, secrets
+from folioscan.llm import exact_dedup, hmm, html_text, language_id, line_dedup, mixing, quality, secrets
 from folioscan.llm.common import remainder, table
 
 
@@ -32,6 +32,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.page_texts(table(spark, sf_dir, "pages"))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.secret_spans(table(spark, sf_dir, "documents")))
 
@@ -50,6 +54,7 @@ QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op3_mixing": op3_mixing,
     "op4_quality_rules": op4_quality_rules,
+    "op5_html_text": op5_html_text,
     "op6_secrets": op6_secrets,
     "op8_hmm_score": op8_hmm_score,
     "op10_exact_dedup": op10_exact_dedup,
