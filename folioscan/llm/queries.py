@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscan.llm import exact_dedup, hmm, html_text, language_id, line_dedup, mixing, quality, secrets
+from folioscan.llm import exact_dedup, hmm, html_text, language_id, line_dedup, mixing, near_dedup, quality, secrets
 from folioscan.llm.common import remainder, table
 
 
@@ -40,6 +40,10 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.secret_spans(table(spark, sf_dir, "documents")))
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.document_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_hmm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return hmm.scores(docs, remainder(F.col("doc_id"), 7) == 2)
@@ -56,6 +60,7 @@ QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op5_html_text": op5_html_text,
     "op6_secrets": op6_secrets,
+    "op7_near_dedup": op7_near_dedup,
     "op8_hmm_score": op8_hmm_score,
     "op10_exact_dedup": op10_exact_dedup,
 }
