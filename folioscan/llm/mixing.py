@@ -107,6 +107,24 @@ def taken_words(docs: DataFrame, **settings) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **settings) -> DataFrame:
+    """The rows of the mix, with all columns: each document as often as it is taken."""
+    same = F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.coalesce(F.col(text), F.lit("")),
+                      F.coalesce(F.col(source).cast("string"), F.lit("")), F.col(source).isNull())
+    narrow = docs.select(
+        F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), n_words(F.col(text)).alias("size"),
+        F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("key"), same.alias("row_key"),
+    )
+    copies = with_copies(written(narrow, "mix-sizes"), **settings)
+    copies = copies.groupBy("row_key").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")).filter("copies > 0")
+    rows = docs.select(F.struct("*").alias("row"), same.alias("row_key")).join(copies, "row_key")
+    # equal rows, where there are any, come out together
+    several = rows.filter("rows > 1").groupBy("row_key").agg(F.first("row").alias("row"), F.first("copies").alias("copies"))
+    every = rows.filter("rows = 1").select("row", "copies").unionByName(several.select("row", "copies"))
+    times = F.sequence(F.lit(1).cast("long"), F.col("copies"))
+    return every.select("row", F.explode(times).alias("nth")).select("row.*")
+
+
 ORACLE = """
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,

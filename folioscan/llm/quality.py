@@ -160,4 +160,6 @@ def verdicts(docs: DataFrame, model: Model, text: str = "text", buckets: int = B
 
 def good_documents(docs: DataFrame, labels: DataFrame, text: str = "text", **settings) -> DataFrame:
     """The rows that are kept, with their columns."""
-    return verdicts(docs, fit(docs, labels, text=text, **settings), text).filter("kept").select("row.*")
+    found = verdicts(docs, fit(docs, labels, text=text, **settings), text)
+    # a filter would be pushed below the columns that it needs and compute each of them many times
+    return found.select(F.explode(F.when(F.col("kept"), F.array("row"))).alias("row")).select("row.*")

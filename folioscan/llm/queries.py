@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscan.llm import exact_dedup, hmm, html_text, language_id, line_dedup, mixing, near_dedup, quality, secrets
+from folioscan.llm import exact_dedup, hmm, html_text, language_id, line_dedup, mixing, near_dedup, packing, quality, secrets
 from folioscan.llm.common import remainder, table
 
 
@@ -49,6 +49,10 @@ def op8_hmm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.scores(docs, remainder(F.col("doc_id"), 7) == 2)
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -62,6 +66,7 @@ QUERIES = {
     "op6_secrets": op6_secrets,
     "op7_near_dedup": op7_near_dedup,
     "op8_hmm_score": op8_hmm_score,
+    "op9_packing": op9_packing,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
