@@ -179,7 +179,6 @@ MIN_FILE_BYTES = 100
 MIN_PDF_BYTES = 1024
 MIN_DOC_BYTES = 1000  # a .doc must be larger than this
 MAX_NAME_LENGTH = 255
-MAX_PAGES = 100
 
 BYTE_UNITS = ("B", "KB", "MB", "GB", "TB", "PB")
 

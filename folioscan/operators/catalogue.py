@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from folioscan import fixed_values as fixed, schemas
+from folioscan import schemas
 from folioscan.functions import labels, metadata, urls
 from folioscan.functions.text import blank_to_null, first_match, fold
 from folioscan.operators.extract import listing_rows
@@ -141,12 +141,11 @@ def files_of_year(files: DataFrame, year: str) -> DataFrame:
 
 
 def limit_pages(pages: DataFrame, max_pages: int | None) -> DataFrame:
-    """Pages 1 to ``max_pages``, at least one and never beyond the page cap.
+    """Pages 1 to ``max_pages``, at least one; all pages if it is None.
 
     A plain range on ``page_no``, so it is pushed into the scan.
     """
-    last = fixed.MAX_PAGES if max_pages is None else min(max(max_pages, 1), fixed.MAX_PAGES)
-    return pages.filter(F.col("page_no").between(1, last))
+    return pages if max_pages is None else pages.filter(F.col("page_no").between(1, max(max_pages, 1)))
 
 
 def complete(file_id: Column, filename: Column, save_name: Column, url: Column) -> Column:

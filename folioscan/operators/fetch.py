@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from folioscan.functions import filetypes
-from folioscan.functions.text import blank_to_null
 from folioscan.functions.urls import suffix
 from folioscan.plans.download import METADATA, with_metadata, with_target_path
 
@@ -39,23 +38,50 @@ def landed_files(files: DataFrame) -> DataFrame:
     )
 
 
-def ingested(responses: DataFrame, plan: DataFrame) -> DataFrame:
-    """Responses with metadata, planned and final path, and outcome."""
+def ingested(responses: DataFrame, plan: DataFrame, landed: DataFrame | None = None) -> DataFrame:
+    """Responses with metadata, planned and final path, and outcome.
+
+    landed: files that were there before, as ``path, valid``. Outcomes: ``error``;
+    ``skipped`` if a valid file lies at the planned path; ``discarded`` if the new
+    path of a renamed file is taken, or if an earlier valid response was stored
+    there; ``invalid``; and ``successful`` for the one response that is stored.
+    Earlier is by time, then URL, then attempt.
+    """
     placed = with_target_path(with_metadata(described(responses), plan))
-    outcome = (
+    final = filetypes.renamed(F.col("target_path"), F.col("extension"))
+    arrived = placed.select(
+        "url", "attempt_no", "attempt_ts", "error", "extension", "size", "valid",
+        F.struct(*METADATA).alias("metadata"), "target_path", final.alias("filepath"),
+    )
+    if landed is None:
+        arrived = arrived.select("*", F.lit(None).cast("boolean").alias("at_target"), F.lit(None).cast("boolean").alias("at_final"))
+    else:
+        there = landed.groupBy("path").agg(F.bool_or("valid").alias("there_valid"))
+        for path, name in (("target_path", "at_target"), ("filepath", "at_final")):
+            held = there.select(F.col("path").alias(path), F.col("there_valid").alias(name))
+            arrived = arrived.join(held, path, "left")
+    moved = F.col("filepath") != F.col("target_path")
+    state = (
         F.when(F.col("error").isNotNull(), F.lit("error"))
+        .when(F.col("at_target"), F.lit("skipped"))
+        .when(moved & F.col("at_final").isNotNull(), F.lit("discarded"))
         .when(F.col("valid"), F.lit("successful"))
         .otherwise(F.lit("invalid"))
     )
-    final = filetypes.renamed(F.col("target_path"), F.col("extension"))
-    return placed.select(
-        "url", "attempt_no", "attempt_ts", "error", "extension", "size", "valid",
-        F.struct(*METADATA).alias("metadata"), "target_path", final.alias("filepath"), outcome.alias("outcome"),
+    arrived = arrived.withColumn("state", state)
+    # one row for each task and path goes into the exchange, however many responses share the path
+    order = F.struct("attempt_ts", "url", "attempt_no")
+    stored = arrived.filter(F.col("state") == "successful").groupBy("filepath").agg(F.min(order).alias("stored"))
+    joined = arrived.join(stored, "filepath", "left")
+    late = (F.col("state") == "successful") & ~order.eqNullSafe(F.col("stored"))
+    return joined.select(
+        "url", "attempt_no", "attempt_ts", "error", "extension", "size", "valid", "metadata", "target_path", "filepath",
+        F.when(late, F.lit("discarded")).otherwise(F.col("state")).alias("outcome"), "at_final",
     )
 
 
 def history_of(fetched: DataFrame) -> DataFrame:
-    """Successful fetches."""
+    """Stored files, one row for each path; what is discarded or skipped leaves no record."""
     return fetched.filter(F.col("outcome") == "successful").select(
         "url", "filepath", "size", F.col("attempt_ts").alias("timestamp"), "metadata"
     )
@@ -75,29 +101,18 @@ def outcomes(fetched: DataFrame) -> DataFrame:
     )
 
 
-def placements(fetched: DataFrame, landed: DataFrame) -> DataFrame:
-    """What becomes of each final path.
+def placements(fetched: DataFrame) -> DataFrame:
+    """What becomes of each final path: ``stored``, ``kept_existing`` or ``nothing``.
 
-    Responses that share a final path are reduced to the first one by an
-    aggregation with a map-side part, so a path that many responses share (links
-    without a name do) is not gathered in one task. A renamed file whose new
-    path is taken is discarded, and the file there stays if it is valid.
+    The URL is that of the stored response, else of the first one. Paths that
+    many responses share are reduced by an aggregation with a map-side part.
     """
-    arrived = fetched.filter(F.col("outcome") != "error").select(
-        "filepath", F.struct("url", "attempt_no", "target_path", "valid").alias("response")
-    )
-    first = arrived.groupBy("filepath").agg(F.min("response").alias("first"), F.count("*").alias("responses"))
-    there = landed.groupBy(F.col("path").alias("filepath")).agg(F.bool_or("valid").alias("there_valid"))
-    joined = first.join(there, "filepath", "left")
-    taken = (F.col("filepath") != F.col("first.target_path")) & F.col("there_valid").isNotNull()
-    verdict = (
-        F.when(taken, F.when(F.col("there_valid"), F.lit("kept_existing")).otherwise(F.lit("nothing")))
-        .when(F.col("first.valid"), F.lit("stored"))
-        .otherwise(F.lit("nothing"))
+    arrived = fetched.filter(F.col("outcome") != "error")
+    stored = F.col("outcome") == "successful"
+    kept = (F.col("outcome") == "skipped") | (F.col("outcome") == "discarded") & F.coalesce("at_final", F.lit(False))
+    first = F.min(F.struct(~stored, "attempt_ts", "url"))["url"]
+    by_path = arrived.groupBy("filepath").agg(
+        first.alias("url"), F.count("*").alias("responses"), F.bool_or(stored).alias("stored"), F.bool_or(kept).alias("kept")
     )
-    return joined.select("filepath", "first.url", "responses", verdict.alias("placement"))
-
-
-def without_blank(df: DataFrame, *columns: str) -> DataFrame:
-    """Empty strings as nulls in the named columns."""
-    return df.withColumns({c: blank_to_null(F.col(c)) for c in columns})
+    verdict = F.when(F.col("stored"), F.lit("stored")).when(F.col("kept"), F.lit("kept_existing")).otherwise(F.lit("nothing"))
+    return by_path.select("filepath", "url", "responses", verdict.alias("placement"))

@@ -9,9 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folioscan.sources.landed import spread
-
-BASE_URL = "https://listing.example.org/711/preparer"
+BASE_URL = "https://listing.example.org/archive/list"
 ORIGIN = "https://listing.example.org"
 
 # One row per order; orders with status P have a second link, urgent ones without a name.
@@ -88,14 +86,14 @@ WITH cells AS (
            discipline_txt, ' </td><td>', serie_txt, '</td><td><span> ', localisation_txt, '</span><!-- x --></td>',
            '<td class="views-field-link"><a href="', href, '" data-atl-name="', data_name, '" data-ati-name="', data_name,
            '">Lien</a>',
-           coalesce(concat(' <a title="a > b" href=''', href2, ''' data-atl-name="', data_name2, '" data-ati-name="',
+           coalesce(concat(' <a title="a ', CASE WHEN page_no % 5 = 3 THEN '<td> </table>' ELSE '>' END, ' b" href=''', href2, ''' data-atl-name="', data_name2, '" data-ati-name="',
                            data_name2, '">Annexe</a>'), ''),
            '<a href="/aide">Aide</a></td></tr>\\n') AS row_html
   FROM {rows}),
 bodies AS (
   SELECT page_no, listagg(row_html, '') WITHIN GROUP (ORDER BY row_no) AS body FROM cells GROUP BY page_no)
 SELECT page_no, concat('{base}?page=', page_no) AS url,
-  concat('<!DOCTYPE html><html><head><script>var x = ''<a href="/document/999/download">'';</script></head><body>',
+  concat('<!DOCTYPE html>', CASE WHEN page_no % 10 = 3 THEN '<![foo[x]]>' ELSE '' END, '<html><head><script>var x = ''<a href="/document/999/download">'';</script></head><body>',
          '<!-- <a href="/document/999/download">old</a> --><a href="/aide">Aide</a>',
          '<table><thead><tr><th>Session</th></tr></thead><tbody>', body,
          '<tr><td>1</td><td>2</td><td>3</td><td>4</td></tr></tbody></table>',
@@ -105,7 +103,7 @@ SELECT page_no, concat('{base}?page=', page_no) AS url,
 FROM bodies
 """
 
-# Attempts per URL: failing ones are tried three times.
+# Attempts per URL: failing ones are tried three times; some bodies are cut short, so that they are invalid.
 _RESPONSES = """
 WITH attempts(failing, attempt_no) AS (VALUES (0, 1), (1, 1), (1, 2), (1, 3)),
 types(i, content_type) AS (VALUES (0, 'application/pdf'), (1, 'application/zip; charset=x'),
@@ -113,7 +111,7 @@ types(i, content_type) AS (VALUES (0, 'application/pdf'), (1, 'application/zip;
 heads(i, head) AS (VALUES (0, X'25504446'), (1, X'504B0304'), (2, X'D0CF11E0A1B11AE1'), (3, X'7B5C727466'), (4, X'')),
 tails(lang, tail) AS (VALUES ('fr', X'504B0506000000000000000000000000000000000000'),
   ('en', X'504B05060000000000000000000000000000000003006E6F74')),
-docs AS (SELECT doc_id, lang, text, CASE WHEN doc_id % 23 = 0 THEN 1 ELSE 0 END AS failing FROM {documents})
+docs AS (SELECT doc_id, lang, CASE WHEN doc_id % 31 = 3 THEN substr(text, 1, 40) ELSE text END AS text, CASE WHEN doc_id % 23 = 0 THEN 1 ELSE 0 END AS failing FROM {documents})
 SELECT concat('{origin}/document/', 50000 + doc_id, '/download') AS url,
        attempt_no, timestamp_ntz'2024-01-01 00:00:00' AS attempt_ts, content_type,
        CASE WHEN docs.failing = 0
@@ -128,7 +126,8 @@ LEFT JOIN tails ON tails.lang = docs.lang AND doc_id % 5 = 1
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    """A driver table; dealt out, as each of them is a single row group here."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet").repartition(spark.sparkContext.defaultParallelism)
 
 
 def listing_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

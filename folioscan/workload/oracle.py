@@ -221,7 +221,7 @@ _RELATIONS: dict[str, tuple[str, tuple[str, ...]]] = {
                    list_extract([4, 4, 8, 5, 0], doc_id % 5 + 1) + octet_length(encode(text))
                      + CASE WHEN doc_id % 5 <> 1 THEN 0 WHEN lang = 'fr' THEN 22 WHEN lang = 'en' THEN 25 ELSE 0 END AS size,
                    doc_id % 5 = 1 AND lang IN ('fr', 'en') AS is_zip, doc_id % 5 = 0 AS is_pdf, doc_id % 23 = 0 AS failing
-            FROM documents""",
+            FROM (SELECT * REPLACE (CASE WHEN doc_id % 31 = 3 THEN substr(text, 1, 40) ELSE text END AS text) FROM documents)""",
         (),
     ),
     "fetched": (
@@ -235,9 +235,28 @@ _RELATIONS: dict[str, tuple[str, tuple[str, ...]]] = {
         ("bodies", "plan_by_url"),
     ),
     "ingested": (
+        """SELECT *, CASE WHEN failing THEN 'error' WHEN NOT valid THEN 'invalid'
+                          WHEN row_number() OVER (PARTITION BY filepath, failing, valid ORDER BY url, attempt_no) = 1 THEN 'successful'
+                          ELSE 'discarded' END AS outcome
+           FROM arrived""",
+        ("arrived",),
+    ),
+    # the same into a folder with files: what lies at the planned path is kept, and at the new path of a renamed file as well
+    "refetched": (
+        """SELECT *, CASE WHEN state = 'open' AND row_number() OVER (PARTITION BY filepath, state ORDER BY url, attempt_no) > 1 THEN 'discarded'
+                          WHEN state = 'open' THEN 'successful' ELSE state END AS outcome
+           FROM (SELECT a.*, f.valid AS at_final,
+                        CASE WHEN failing THEN 'error' WHEN t.valid THEN 'skipped'
+                             WHEN a.filepath <> a.target_path AND f.path IS NOT NULL THEN 'discarded'
+                             WHEN a.valid THEN 'open' ELSE 'invalid' END AS state
+                 FROM arrived a
+                 LEFT JOIN (SELECT path, bool_or(valid) AS valid FROM landed GROUP BY path) t ON t.path = a.target_path
+                 LEFT JOIN (SELECT path, bool_or(valid) AS valid FROM landed GROUP BY path) f ON f.path = a.filepath)""",
+        ("arrived", "landed"),
+    ),
+    "arrived": (
         f"""SELECT *, CASE WHEN lower(coalesce({_suffix('target_path')}, '')) = extension THEN target_path
-                           ELSE regexp_replace(target_path, '([^/])[.][^./]+$', '\\1') || extension END AS filepath,
-                   CASE WHEN failing THEN 'error' WHEN valid THEN 'successful' ELSE 'invalid' END AS outcome
+                           ELSE regexp_replace(target_path, '([^/])[.][^./]+$', '\\1') || extension END AS filepath
             FROM (SELECT *, concat_ws('/', year, subject, filename) AS target_path,
                          CASE WHEN size < 100 THEN false WHEN extension = '.pdf' THEN is_pdf AND size >= 1024
                               WHEN extension = '.zip' THEN is_zip WHEN extension = '.doc' THEN size > 1000
@@ -308,18 +327,16 @@ def _byte_steps() -> str:
 
 _RESOLVED = f"""
 SELECT page_no, link_no, CAST(s AS INTEGER) AS spelling,
-  CASE s WHEN 0 THEN '{ORIGIN}/' || x WHEN 1 THEN '{ORIGIN}/711/' || x WHEN 2 THEN '{ORIGIN}/711/' || x WHEN 3 THEN '{ORIGIN}/' || x
+  CASE s WHEN 0 THEN '{ORIGIN}/' || x WHEN 1 THEN '{ORIGIN}/archive/' || x WHEN 2 THEN '{ORIGIN}/archive/' || x WHEN 3 THEN '{ORIGIN}/' || x
          WHEN 4 THEN '{BASE_URL}?q=' || x WHEN 5 THEN '{BASE_URL}#' || x WHEN 6 THEN 'https://cdn.example.org/' || x
-         WHEN 7 THEN 'mailto:' || x WHEN 8 THEN '{ORIGIN}/711/a/' || x || '/' ELSE '{BASE_URL}' END AS url
+         WHEN 7 THEN 'mailto:' || x WHEN 8 THEN '{ORIGIN}/archive/a/' || x || '/' ELSE '{BASE_URL}' END AS url
 FROM (SELECT page_no, link_no, substr(href, 2) AS x FROM real_links), unnest(range(0, 10)) AS t(s)"""
 
 _PLACED = """
-SELECT first_of.filepath, first_of.url, responses,
-  CASE WHEN first_of.filepath <> first_of.target_path AND l.path IS NOT NULL THEN CASE WHEN l.valid THEN 'kept_existing' ELSE 'nothing' END
-       WHEN first_of.valid THEN 'stored' ELSE 'nothing' END AS placement
-FROM (SELECT *, count(*) OVER (PARTITION BY filepath) AS responses FROM ingested WHERE outcome <> 'error'
-      QUALIFY row_number() OVER (PARTITION BY filepath ORDER BY url, attempt_no, target_path) = 1) first_of
-LEFT JOIN (SELECT path, bool_or(valid) AS valid FROM landed GROUP BY path) l ON l.path = first_of.filepath"""
+SELECT filepath, arg_min(url, (CASE WHEN outcome = 'successful' THEN '0' ELSE '1' END) || url) AS url, count(*) AS responses,
+  CASE WHEN bool_or(outcome = 'successful') THEN 'stored'
+       WHEN bool_or(outcome = 'skipped' OR (outcome = 'discarded' AND coalesce(at_final, false))) THEN 'kept_existing' ELSE 'nothing' END AS placement
+FROM refetched WHERE outcome <> 'error' GROUP BY filepath"""
 
 _NEXT = f"""
 SELECT page_no, '{BASE_URL}?page=' || page_no AS url,
@@ -333,7 +350,7 @@ walk AS (
   SELECT url AS start_url, CAST(1 AS BIGINT) AS page_no, url FROM edges WHERE page_no = (SELECT min(page_no) FROM edges)
   UNION ALL
   SELECT w.start_url, w.page_no + 1, e.next_url FROM walk w JOIN edges e ON e.url = w.url
-  WHERE e.next_url IS NOT NULL AND w.page_no < 100)
+  WHERE e.next_url IS NOT NULL)
 SELECT start_url, page_no, url FROM walk"""
 
 _STATS = """
@@ -508,7 +525,8 @@ ORACLES: dict[str, str] = {
     ),
     "fetch_ingest": _with("SELECT url, attempt_no, extension, size, target_path, filepath, outcome FROM ingested", "ingested"),
     "target_renamed": _with("SELECT url, target_path, filepath FROM ingested WHERE outcome <> 'error'", "ingested"),
-    "target_conflicts": _with(_PLACED, "ingested", "landed"),
+    "target_conflicts": _with(_PLACED, "refetched"),
+    "fetch_outcomes_incremental": _with("SELECT url, attempt_no, filepath, outcome FROM refetched", "refetched"),
     "batch_outcome": _with("SELECT outcome, count(*) AS attempts, count(DISTINCT url) AS urls FROM ingested GROUP BY outcome", "ingested"),
     "download_history": _with("SELECT url, filepath, size, year, subject FROM ingested WHERE outcome = 'successful'", "ingested"),
     "failed_downloads": _with("SELECT url, '503 Server Error' AS error FROM ingested WHERE outcome = 'error'", "ingested"),
@@ -523,12 +541,14 @@ ORACLES: dict[str, str] = {
     # streams
     "stream_links": _with("SELECT url FROM first_links", "first_links"),
     "stream_distinct": _with(
-        " UNION ALL ".join(f"SELECT '{name}' AS field, {column} AS value, count(*) AS n FROM rows_fx GROUP BY {column}" for name, column in _LABELS),
+        " UNION ALL ".join(f"SELECT '{name}' AS field, {column} AS value, count(*) AS n FROM rows_fx GROUP BY {column}" for name, column in _LABELS)
+        + f""" UNION ALL SELECT 'TypeDocument', CASE WHEN {_CORRECTION} THEN 'correction' ELSE 'sujet' END AS kind, count(*)
+              FROM (SELECT lower(href || ' ' || {_link_name('href', 'data_name')}) AS text FROM rows_fx) GROUP BY kind""",
         "rows_fx",
     ),
     "stream_stats": _with(
-        "SELECT extension, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM ingested WHERE outcome = 'successful' GROUP BY extension",
-        "ingested",
+        "SELECT extension, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM arrived WHERE NOT failing AND valid GROUP BY extension",
+        "arrived",
     ),
     "stream_page_by_page": _with(
         "SELECT 'entry' AS kind, CAST(id AS VARCHAR) AS key FROM entries UNION ALL SELECT 'link', url FROM first_links", "entries", "first_links"

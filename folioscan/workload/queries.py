@@ -494,9 +494,19 @@ def target_renamed(spark, sf_dir):
 
 @query
 def target_conflicts(spark, sf_dir):
+    """Paths after a fetch into a folder that holds files already."""
     plan = _placed_plan(spark, sf_dir)
     there = fetch.landed_files(fx.landed_files(spark, sf_dir, plan))
-    return fetch.placements(fetch.ingested(fx.responses(spark, sf_dir), plan), there)
+    return fetch.placements(fetch.ingested(fx.responses(spark, sf_dir), plan, there))
+
+
+@query
+def fetch_outcomes_incremental(spark, sf_dir):
+    """Outcome of each response in a folder that holds files already."""
+    plan = _placed_plan(spark, sf_dir)
+    there = fetch.landed_files(fx.landed_files(spark, sf_dir, plan))
+    fetched = fetch.ingested(fx.responses(spark, sf_dir), plan, there)
+    return fetched.select("url", "attempt_no", "filepath", "outcome")
 
 
 @query

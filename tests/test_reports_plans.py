@@ -84,11 +84,12 @@ def test_chain_stops_loops_and_limits(spark):
     walked = {}
     for r in chain.page_chain(df, starts).collect():
         walked.setdefault(r["start_url"], {})[r["page_no"]] = r["url"]
-    assert walked["p1"] == {i: f"p{i}" for i in range(1, 101)}
+    assert walked["p1"] == {i: f"p{i}" for i in range(1, 250)}
     assert walked["p200"] == {i: f"p{199 + i}" for i in range(1, 51)}
-    assert walked["a"] == {i: "a" if i % 2 else "b" for i in range(1, 101)}
+    assert walked["a"] == {1: "a", 2: "b"}
     assert walked["end"] == {1: "end"} and walked["gap"] == {1: "gap"} and "nowhere" not in walked
     assert chain.page_chain(df, starts.limit(1), 7).count() == 7
+    assert chain.page_chain(df, starts.limit(1), 200).count() == 200
 
 
 def test_fetches(spark):
@@ -116,16 +117,29 @@ def test_fetches(spark):
 
 
 def test_placements(spark):
-    schema = "url string, attempt_no int, target_path string, filepath string, valid boolean, outcome string"
-    rows = [(f"/x{i:03}", 1, "download", "download.pdf", i > 0, "successful") for i in range(90)] + [
-        ("/a", 1, "a.pdf", "a.zip", True, "successful"), ("/b", 1, "b.pdf", "b.zip", True, "successful"),
-        ("/c", 1, "c.pdf", "c.pdf", True, "successful"), ("/d", 1, "d.pdf", "d.pdf", True, "error"),
+    """First valid response wins; files that were there stay; discarded and skipped ones leave no record."""
+    plan = spark.createDataFrame(
+        [(i, 1, f"/{n}", f"{n}.{e}", n, None, None, None, None, False, "sujet") for i, (n, e) in enumerate((n, "pdf") for n in "abcde")],
+        "id bigint, file_no bigint, url string, filename string, file_id string, year string, subject string, session string, series string, is_correction boolean, document_type string",
+    )
+    pdf, doc, short = b"%PDF" + b"x" * 1100, b"y" * 1200, b"z" * 50
+    rows = [(f"/x{i:03}", 1, None, "application/msword", short if i < 5 else doc, None) for i in range(90)] + [
+        ("/a", 1, None, "application/msword", doc, None), ("/b", 1, None, "application/msword", doc, None), ("/c", 1, None, "", pdf, None),
+        ("/d", 1, None, "application/msword", doc, None), ("/e", 1, None, "", None, "503"), ("/e", 2, None, "", pdf, None),
     ]
-    landed = spark.createDataFrame([("a.zip", True), ("b.zip", False), ("c.pdf", True)], "path string, valid boolean")
-    got = {r["filepath"]: (r["url"], r["responses"], r["placement"]) for r in fetch.placements(spark.createDataFrame(rows, schema), landed).collect()}
-    assert got == {
-        "download.pdf": ("/x000", 90, "nothing"), "a.zip": ("/a", 1, "kept_existing"), "b.zip": ("/b", 1, "nothing"), "c.pdf": ("/c", 1, "stored"),
-    }
+    responses = spark.createDataFrame(rows, schemas.RESPONSES).withColumn("url", F.regexp_replace("url", "^/x", "/document/9"))
+    landed = spark.createDataFrame([("a.doc", True), ("b.doc", False), ("c.pdf", False), ("d.pdf", True)], "path string, valid boolean")
+    fetched = fetch.ingested(responses, plan, landed)
+    got = {r["filepath"]: (r["responses"], r["placement"]) for r in fetch.placements(fetched).collect()}
+    assert got.pop("a.doc") == (1, "kept_existing") and got.pop("b.doc") == (1, "nothing")
+    assert got.pop("c.pdf") == (1, "stored") and got.pop("d.doc") == (1, "kept_existing") and got.pop("e.pdf") == (1, "stored")
+    assert sum(n for n, _ in got.values()) == 90 and all(p in ("stored", "nothing") for _, p in got.values())
+    history = fetch.history_of(fetched)
+    assert history.count() == history.select("filepath").distinct().count() == 2 + sum(p == "stored" for _, p in got.values())
+    alone = fetch.ingested(responses.filter("url like '/document/%'").selectExpr(
+        "'/same' AS url", "CAST(regexp_extract(url, '9(.*)$', 1) AS INT) AS attempt_no", "attempt_ts", "content_type", "content", "error"
+    ), plan)
+    assert {r["outcome"]: r["attempts"] for r in fetch.outcomes(alone).collect()} == {"invalid": 5, "successful": 1, "discarded": 84}
 
 
 def test_dictionary_of_any_words(spark):
@@ -140,4 +154,3 @@ def test_links_with_entries(spark):
     files = _files(spark, [(1, 1, "MATHS", "a", "/u1", "1", None), (2, 1, "MATHS", "b", "/u1", "2", None)])
     first = spark.createDataFrame([("/u1", 1, 1, ""), ("/u9", 1, 2, "")], "url string, page_no bigint, link_no bigint, data_name string")
     assert {(r["url"], r["id"]) for r in links.with_entries(first, files).collect()} == {("/u1", 1), ("/u9", None)}
-    assert fetch.without_blank(first, "data_name").filter(F.col("data_name").isNull()).count() == 2
