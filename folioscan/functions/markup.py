@@ -20,6 +20,8 @@ _CELL_START = rf"(?i)<td(?=[\s/>]){_IN_TAG}"
 _CELL_END = r"(?i)</?t[dh]\b"
 _BODY_START = r"(?i)<tbody(?=[\s/>])"
 _BODY_END = r"(?i)</tbody|</table"
+# A tag with complete values before one that holds '<'.
+_MARKUP_IN_VALUE = r"""<[A-Za-z][^<>"']*+(?:"[^"<]*+"[^<>"']*+|'[^'<]*+'[^<>"']*+)*+(?:"[^"<]*+<|'[^'<]*+<)"""
 _ALL = 1 << 30
 _REFERENCE_OR_TEXT = "&(?:#[0-9]+|#[xX][0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);|[^&]++|&"
 _VALUE = r"""("[^"]*+"|'[^']*+'|[^\s"'>]++)"""
@@ -38,11 +40,8 @@ def visible(html: Column) -> Column:
 
 
 def _constant_map(pairs: dict[str, str]) -> Column:
-    def listed(items) -> str:
-        return "split(decode(X'" + " ".join(items).encode().hex() + "', 'UTF-8'), ' ')"
-
-    # a blank separates the items, so the no-break space needs no special care
-    return F.expr(f"map_from_arrays({listed(pairs)}, {listed(pairs.values())})")
+    # none of the items holds a line feed
+    return F.map_from_arrays(*[F.split(F.lit("\n".join(items)), "\n") for items in (pairs, pairs.values())])
 
 
 def _character(number: Column) -> Column:
@@ -134,9 +133,14 @@ def table_rows(body: Column) -> Column:
     return F.filter(rows, lambda row: F.size(row["cells"]) >= MIN_CELLS)
 
 
-def needs_parser(body: Column) -> Column:
-    """Table bodies beyond the patterns: those with a table or body inside."""
-    return body.rlike(r"(?i)<t(?:able|body)\b")
+def needs_parser(html: Column) -> Column:
+    """Pages whose table body is beyond the patterns, given as ``visible`` leaves them.
+
+    These have a table or body inside the body, or markup inside a quoted value
+    of a tag. Null if there is no table body.
+    """
+    body = table_body(html)
+    return body.rlike(r"(?i)<t(?:able|body)\b") | body.isNotNull() & html.rlike(_MARKUP_IN_VALUE)
 
 
 def pager_tag(html: Column) -> Column:

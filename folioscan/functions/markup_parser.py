@@ -1,7 +1,7 @@
 """Tolerant HTML reading for the few pages that the column expressions cannot take.
 
 A small per-page helper on the standard library parser. It is only given pages
-with nested tables; all others stay in the JVM.
+with nested tables or with markup inside quoted values; all others stay in the JVM.
 """
 
 from __future__ import annotations
@@ -30,6 +30,14 @@ class _Page(HTMLParser):
         self.body_seen = False
         self.pager: list[tuple[bool, dict, dict]] = []
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """Any marked section ends at the next '>', whatever its keyword."""
+        end = self.rawdata.find(">", i)
+        return end + 1 if end >= 0 else -1
+
+    def unknown_decl(self, data: str) -> None:
+        """Declarations hold no text."""
+
     # open elements
     def _inside(self, name: str) -> list:
         """Items of the open elements of that name; only the first table body has any."""
@@ -130,14 +138,24 @@ def pager_parent_class_of(html: str) -> str:
     return chosen[0][2].get("class", "") if chosen else ""
 
 
-@F.pandas_udf(T.StringType())
-def plain_body(html: pd.Series) -> pd.Series:
-    return html.map(lambda page: None if page is None else plain_body_of(page))
+def _alone(read, page: str | None) -> tuple[str | None, str | None]:
+    """Result and error for one page; a page that cannot be read takes no other with it."""
+    if page is None:
+        return None, None
+    try:
+        return read(page), None
+    except Exception as problem:  # noqa: BLE001
+        return None, f"{type(problem).__name__}: {problem}"
+
+
+@F.pandas_udf(T.StructType([T.StructField("body", T.StringType()), T.StructField("error", T.StringType())]))
+def plain_body(html: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([_alone(plain_body_of, page) for page in html], columns=["body", "error"])
 
 
 @F.pandas_udf(T.StringType())
 def pager_parent_class(html: pd.Series) -> pd.Series:
-    return html.map(lambda page: None if page is None else pager_parent_class_of(page))
+    return html.map(lambda page: _alone(pager_parent_class_of, page)[0])
 
 
 @F.udtf(returnType=schemas.ROW)
@@ -145,5 +163,5 @@ class HtmlRows:
     """``SELECT … FROM pages, LATERAL html_rows(html)``"""
 
     def eval(self, html: str):
-        for row in rows_of(html) if html is not None else ():
+        for row in _alone(rows_of, html)[0] or ():
             yield tuple(row.values())

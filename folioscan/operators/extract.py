@@ -61,23 +61,37 @@ def _cell_links(cell: Column, names: tuple[str, ...]) -> Column:
     )
 
 
+def _parsed(pages: DataFrame) -> DataFrame:
+    """The pages for the parser, with what it makes of them."""
+    hard = pages.filter(markup.needs_parser(markup.visible(F.col("html"))))
+    return hard.select("page_no", plain_body(F.col("html")).alias("parsed"))
+
+
+def rejected_pages(pages: DataFrame) -> DataFrame:
+    """Pages whose rows cannot be read, and why: ``page_no, error``."""
+    return _parsed(pages).select("page_no", "parsed.error").filter(F.col("error").isNotNull())
+
+
 def listing_rows(
     pages: DataFrame, tolerant: bool = True, names: tuple[str, ...] = ("entry_name", "link_name")
 ) -> DataFrame:
     """Rows of the first table body that have five cells or more.
 
     Column expressions read the rows. With ``tolerant``, pages that they cannot
-    take (nested tables) are rewritten by the Python parser
-    first; it gets null for all other pages, so one scan serves both.
+    take (nested tables, markup in quoted values) go through the Python parser
+    in a branch of their own, behind a filter; no other page gets there. Pages
+    that the parser cannot take either are in ``rejected_pages``.
     """
-    body = markup.table_body(markup.visible(F.col("html")))
+    seen = markup.visible(F.col("html"))
+    body = markup.table_body(F.col("seen"))
     if tolerant:
-        seen = pages.select("page_no", "html", body.alias("body"))
-        hard = F.when(markup.needs_parser(F.col("body")), F.col("html"))
-        seen = seen.select("page_no", "body", plain_body(hard).alias("rewritten"))
-        bodies = seen.select("page_no", F.coalesce("rewritten", "body").alias("body"))
+        # null bodies have no rows, so the branch of plain pages needs no filter
+        plain = pages.select("page_no", seen.alias("seen")).select(
+            "page_no", F.when(~markup.needs_parser(F.col("seen")), body).alias("body")
+        )
+        bodies = plain.unionByName(_parsed(pages).select("page_no", "parsed.body"))
     else:
-        bodies = pages.select("page_no", body.alias("body"))
+        bodies = pages.select("page_no", seen.alias("seen")).select("page_no", body.alias("body"))
     rows = bodies.select("page_no", F.inline(markup.table_rows(F.col("body"))))
     rows = rows.select("page_no", "row_no", markup.cell_contents(F.col("cells")).alias("cells"))
     return rows.select(
@@ -88,12 +102,8 @@ def listing_rows(
     )
 
 
-def distinct_values(rows: DataFrame) -> DataFrame:
-    """Distinct raw label values per field, and document types of the first link.
-
-    Partial aggregation removes repeats before the exchange, so a value that
-    fills a third of the rows costs one row per task.
-    """
+def label_values(rows: DataFrame) -> DataFrame:
+    """Every non-empty raw label of every row, and its document type by the first link: ``field, value``."""
     first = F.get(F.col("links"), 0)
     text = metadata.search_text(first["href"], metadata.link_name(first["href"], first["link_name"]))
     kind = F.when(first.isNotNull(), metadata.document_type(metadata.correction_in_text(text)))
@@ -107,7 +117,16 @@ def distinct_values(rows: DataFrame) -> DataFrame:
     flat = rows.select(
         F.inline(F.array(*[F.struct(F.lit(name).alias("field"), value.alias("value")) for name, value in pairs]))
     )
-    return flat.filter(F.col("value") != "").distinct()
+    return flat.filter(F.col("value") != "")
+
+
+def distinct_values(rows: DataFrame) -> DataFrame:
+    """Distinct raw label values per field, and document types of the first link.
+
+    Partial aggregation removes repeats before the exchange, so a value that
+    fills a third of the rows costs one row per task.
+    """
+    return label_values(rows).distinct()
 
 
 def next_pages(pages: DataFrame) -> DataFrame:

@@ -58,8 +58,10 @@ def unpack(files: DataFrame) -> DataFrame:
 def members(unpacked: DataFrame) -> DataFrame:
     """Good members with the folder they go to, named after the archive's stem."""
     folder = F.regexp_replace("archive_path", r"(?<=[^/])\.[^./]+$", "")
+    # parts that would lead out of the folder are left out
+    parts = F.filter(F.split("member", "/"), lambda part: ~part.isin("", ".", ".."))
     return unpacked.filter(F.col("error").isNull()).select(
-        "archive_path", F.concat_ws("/", folder, "member").alias("member_path"), "member", "size", "content"
+        "archive_path", F.concat_ws("/", folder, parts).alias("member_path"), "member", "size", "content"
     )
 
 

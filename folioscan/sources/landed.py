@@ -7,16 +7,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from folioscan import schemas
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """The table over at least as many partitions as there are cores.
-
-    Parsing is bound by CPU, and a table of few row groups would keep most cores
-    idle. A table with enough partitions, as any large one has, stays as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
-
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """Landed pages as Parquet ``page_no, url, html``."""
     return spark.read.schema(schemas.LANDED_PAGES).parquet(path)

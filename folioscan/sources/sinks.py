@@ -37,6 +37,10 @@ def write_by_year_and_subject(files: DataFrame, path: str, by_year: bool = True,
     files.hint("rebalance", *levels).write.mode("overwrite").partitionBy(*levels).parquet(path)
 
 
-def show_summary(summary: DataFrame, limit: int = 100) -> None:
-    """Print a long-form report."""
-    summary.orderBy("metric", F.desc("n"), "key").show(limit, truncate=False)
+def show_summary(summary: DataFrame, rows: int | None = None) -> None:
+    """Print a long-form report: all of it, or its first rows and how many are left out."""
+    total = summary.count()
+    shown = total if rows is None else rows
+    summary.orderBy("metric", F.desc("n"), "key").show(max(shown, 1), truncate=False)
+    if shown < total:
+        print(f"{total - shown} more rows")

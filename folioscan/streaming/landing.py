@@ -55,12 +55,7 @@ def start_new_links(pages: DataFrame, base_url: str, output: str, checkpoint: st
 
 def start_distinct_values(pages: DataFrame, output: str, checkpoint: str) -> StreamingQuery:
     """Running counts of raw label values; each batch writes only what changed."""
-    rows = extract.listing_rows(pages)
-    fields = ("Session", "Discipline", "Serie", "Localisation")
-    pairs = [F.struct(F.lit(f).alias("field"), F.col(f"{f.lower()}_txt").alias("value")) for f in fields]
-    counts = (
-        rows.select(F.inline(F.array(*pairs))).filter(F.col("value") != "").groupBy("field", "value").agg(F.count("*").alias("n"))
-    )
+    counts = extract.label_values(extract.listing_rows(pages)).groupBy("field", "value").agg(F.count("*").alias("n"))
 
     def write(batch: DataFrame, number: int) -> None:
         batch.withColumn("at", F.lit(number)).write.mode("overwrite").parquet(f"{output}/batch={number}")

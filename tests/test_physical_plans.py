@@ -10,6 +10,8 @@ from __spark_entry__ import entry, oracle_sql, queries
 from folioscan.operators import catalogue, extract, fetch, links, reports
 from folioscan.plans import download
 from folioscan.workload import fixtures as fx
+from folioscan.workload.oracle import ORACLES
+from folioscan.workload.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 # all of them take minutes: check.py does that; a few of each kind run here
@@ -46,7 +48,7 @@ def test_query_equals_its_sql(spark, name):
 
 
 def test_every_query_has_its_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLES) <= set(queries()) & set(oracle_sql())
 
 
 @needs_data
@@ -66,6 +68,22 @@ def test_extraction_is_narrow_and_in_the_jvm(spark, tmp_path):
         assert "ReadSchema: struct<page_no:bigint,html:string>" in plan
 
 
+def test_plain_pages_meet_no_python(spark, tmp_path):
+    rows = extract.listing_rows(_pages(spark, tmp_path))
+    coded = catalogue.coded_rows(rows, fx.BASE_URL)
+    for df in (reports.summary(catalogue.accepted_files(coded)), coded, extract.distinct_values(rows)):
+        plan = _plan(df)
+        plain, parsed = _branches(plan)
+        assert "Python" not in plain and "ArrowEvalPython" in parsed
+        assert plain.count("html#") <= 4  # scan and the first step only
+
+
+def _branches(plan: str) -> tuple[str, str]:
+    """What stands below the union of plain and parsed pages, each down to its scan."""
+    plain, parsed = plan.split("Union", 1)[1].split("FileScan", 1)
+    return plain, parsed
+
+
 def test_page_limit_and_codes_are_pushed_down(spark, tmp_path):
     pages = _pages(spark, tmp_path)
     assert re.search(r"PushedFilters: \[[^\]]*LessThanOrEqual\(page_no,7\)", _plan(catalogue.limit_pages(pages, 7)))
