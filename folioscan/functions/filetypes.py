@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from folioscan import fixed_values as fixed
 from folioscan.functions.text import literal_map, strip
@@ -29,10 +29,24 @@ def magic_mime(content: Column) -> Column:
     return _magic(content, 2, fixed.UNKNOWN_MIME)
 
 
+def main_type(content_type: Column) -> Column:
+    """A Content-Type header without its parameters."""
+    return F.lower(strip(F.substring_index(content_type, ";", 1)))
+
+
 def content_type_extension(content_type: Column) -> Column:
     """Extension of a Content-Type header, null when unmapped or generic."""
-    main = F.lower(strip(F.substring_index(content_type, ";", 1)))
-    return F.try_element_at(literal_map(fixed.CONTENT_TYPES), main)
+    return F.try_element_at(literal_map(fixed.CONTENT_TYPES), main_type(content_type))
+
+
+def extensions_from_table(responses: DataFrame, types: DataFrame) -> DataFrame:
+    """Responses with ``header_extension`` by a table ``content_type, extension`` of one's own.
+
+    Types are compared as headers are; of several rows for a type the first
+    extension counts. Types that are not in the table are null.
+    """
+    known = types.groupBy(main_type(F.col("content_type")).alias("main_type")).agg(F.min("extension").alias("header_extension"))
+    return responses.withColumn("main_type", main_type(F.col("content_type"))).join(known, "main_type", "left").drop("main_type")
 
 
 def detected_extension(content_type: Column, content: Column) -> Column:

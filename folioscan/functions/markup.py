@@ -15,11 +15,11 @@ _HIDDEN = rf"(?is)<(?:!--(?:.*?-->|.*)|(script|style)\b{_IN_TAG}(?:.*?</\1\s*>|.
 _MARK = "<!>"  # left in place of hidden content, so that text around it stays apart
 _ANY_TAG = rf"</?[A-Za-z]{_IN_TAG}|<![^>]*>"
 _ANCHOR = rf"(?is)<a(?=[\s/>]){_IN_TAG}"
-_ROW_START = r"(?i)<tr(?=[\s/>])"
-_CELL_START = rf"(?i)<td(?=[\s/>]){_IN_TAG}"
-_CELL_END = r"(?i)</?t[dh]\b"
-_BODY_START = r"(?i)<tbody(?=[\s/>])"
-_BODY_END = r"(?i)</tbody|</table"
+_ROW_START = r"<[Tt][Rr](?=[\s/>])"
+_CELL_START = rf"<[Tt][Dd](?=[\s/>]){_IN_TAG}"
+_CELL_END = r"</?[Tt][DdHh]\b"
+_BODY_START = r"<[Tt][Bb][Oo][Dd][Yy](?=[\s/>])"
+_BODY_END = r"</[Tt](?:[Bb][Oo][Dd][Yy]|[Aa][Bb][Ll][Ee])"
 # A tag with complete values before one that holds '<'.
 _MARKUP_IN_VALUE = r"""<[A-Za-z][^<>"']*+(?:"[^"<]*+"[^<>"']*+|'[^'<]*+'[^<>"']*+)*+(?:"[^"<]*+<|'[^'<]*+<)"""
 _ALL = 1 << 30
@@ -127,7 +127,7 @@ def table_rows(body: Column) -> Column:
         F.slice(F.split(body, _ROW_START, -1), 2, _ALL),
         lambda row, i: F.struct(
             (i + 1).cast("bigint").alias("row_no"),
-            F.slice(F.split(F.get(F.split(row, "(?i)</tr", 2), 0), _CELL_START, -1), 2, _ALL).alias("cells"),
+            F.slice(F.split(F.get(F.split(row, "</[Tt][Rr]", 2), 0), _CELL_START, -1), 2, _ALL).alias("cells"),
         ),
     )
     return F.filter(rows, lambda row: F.size(row["cells"]) >= MIN_CELLS)
@@ -140,7 +140,7 @@ def needs_parser(html: Column) -> Column:
     of a tag. Null if there is no table body.
     """
     body = table_body(html)
-    return body.rlike(r"(?i)<t(?:able|body)\b") | body.isNotNull() & html.rlike(_MARKUP_IN_VALUE)
+    return body.rlike(r"<[Tt](?:[Aa][Bb][Ll][Ee]|[Bb][Oo][Dd][Yy])\b") | body.isNotNull() & html.rlike(_MARKUP_IN_VALUE)
 
 
 def pager_tag(html: Column) -> Column:

@@ -19,6 +19,7 @@ _DEFAULTS = {
 }
 _local_folder: str | None = None
 _shipped_to = None
+_made: list[str] = []
 
 
 def build_session(master: str | None = None, app: str = "folioscan", **settings: str) -> SparkSession:
@@ -63,7 +64,19 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    """A path in the shared folder that no one else uses, for ``drop_tables`` to remove."""
+    _made.append(f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def drop_tables(spark: SparkSession) -> int:
+    """Delete the intermediate tables that this process has written; frames over them can be read no more."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    gone = 0
+    while _made:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        gone += path.getFileSystem(conf).delete(path, True)
+    return gone
 
 
 def written(df: DataFrame, label: str) -> DataFrame:

@@ -13,6 +13,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from folioscan import schemas
 from folioscan.operators import catalogue, extract, fetch, links
+from folioscan.plans import download
+from folioscan.sources import sinks
 
 
 def stream_pages(spark: SparkSession, folder: str, files_per_batch: int | None = None) -> DataFrame:
@@ -90,9 +92,11 @@ def latest_statistics(spark: SparkSession, output: str) -> DataFrame:
 def start_page_by_page(pages: DataFrame, base_url: str, output: str, checkpoint: str) -> StreamingQuery:
     """After each batch of pages: its entries, its new links, and the entry of each new link.
 
-    Ids go on from the highest id of earlier batches. Earlier means written by a
-    batch with a lower number, so repeating a batch gives the same rows. A link
-    counts as new when no earlier batch wrote it.
+    Ids go on from the highest id so far, which each batch leaves in a table of
+    one row for the next. Earlier means written by a batch with a lower number, so
+    repeating a batch gives the same rows. A link counts as new when no earlier
+    batch wrote it. The files also go into the layout by year and subject, below a
+    folder for the batch.
     """
 
     def earlier(spark: SparkSession, kind: str, number: int) -> DataFrame | None:
@@ -102,11 +106,14 @@ def start_page_by_page(pages: DataFrame, base_url: str, output: str, checkpoint:
 
     def handle(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        stored = earlier(spark, "files", number)
-        highest = (stored.agg(F.max("id")).first()[0] or 0) if stored is not None else 0
+        highest = spark.read.parquet(f"{output}/last/batch={number - 1}").first()["id"] if number else 0
         built = catalogue.build_catalogue(batch, base_url, start=highest + 1)
         built.files.write.mode("overwrite").parquet(f"{output}/files/batch={number}")
-        files = spark.read.parquet(f"{output}/files").filter(F.col("batch") == number).drop("batch")
+        files = spark.read.parquet(f"{output}/files/batch={number}")
+        last = files.agg(F.coalesce(F.max("id"), F.lit(highest)).cast("bigint").alias("id"))
+        last.write.mode("overwrite").parquet(f"{output}/last/batch={number}")
+        plan = download.with_target_path(download.download_plan(files))
+        sinks.write_by_year_and_subject(plan, f"{output}/layout/batch={number}")
         found = extract.page_links(batch, base_url)
         seen = earlier(spark, "links", number)
         fresh = links.first_links(found) if seen is None else links.unseen_links(found, seen)

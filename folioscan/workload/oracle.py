@@ -514,6 +514,14 @@ ORACLES: dict[str, str] = {
            JOIN (VALUES (false, 1), (true, 1), (true, 2), (true, 3)) a(failing, attempt_no) ON a.failing = b.failing""",
         "bodies",
     ),
+    "content_type_table": _with(
+        """SELECT url, attempt_no, CASE WHEN header_ext IN ('.pdf', '.zip', '.doc') THEN header_ext END AS ext
+           FROM bodies b JOIN (VALUES (false, 1), (true, 1), (true, 2), (true, 3)) a(failing, attempt_no) ON a.failing = b.failing""",
+        "bodies",
+    ),
+    "text_files": """SELECT lang, source, CAST(sum(octet_length(encode(text)) + 1) AS BIGINT) AS size,
+                            sum(octet_length(encode(text)) + 1) >= 100 AS valid FROM documents GROUP BY lang, source""",
+    "landed_page_range": _with("SELECT page_no, link_no, url, data_name FROM page_links WHERE page_no <= 7", "page_links"),
     "detected_ext": _with("SELECT url, coalesce(header_ext, magic_ext) AS ext FROM bodies WHERE NOT failing", "bodies"),
     "zip_test": _with("SELECT url, is_zip FROM bodies WHERE NOT failing", "bodies"),
     "file_validate": _with(
@@ -551,6 +559,9 @@ ORACLES: dict[str, str] = {
         "arrived",
     ),
     "stream_page_by_page": _with(
-        "SELECT 'entry' AS kind, CAST(id AS VARCHAR) AS key FROM entries UNION ALL SELECT 'link', url FROM first_links", "entries", "first_links"
+        """SELECT 'entry' AS kind, CAST(id AS VARCHAR) AS key FROM entries UNION ALL SELECT 'link', url FROM first_links
+           UNION ALL SELECT 'file', concat_ws(' ', file_no, session, discipline, serie, localisation, files_count, filename, download_url, file_id, year)
+           FROM files UNION ALL SELECT 'laid', concat_ws(' ', year, subject, url) FROM plan""",
+        "entries", "first_links", "files", "plan",
     ),
 }

@@ -13,7 +13,7 @@ from folioscan.functions.text import fold
 from folioscan.operators import catalogue, dictionary, extract, fetch, links, reports
 from folioscan.plans import chain, download
 from folioscan.session import new_path, ship_package, written
-from folioscan.sources import archives, sinks
+from folioscan.sources import archives, landed, sinks
 from folioscan.streaming import landing
 from folioscan.workload import fixtures as fx
 
@@ -461,6 +461,34 @@ def content_type_ext(spark, sf_dir):
     )
 
 
+@query
+def content_type_table(spark, sf_dir):
+    """The same with the types given as a table."""
+    types = spark.createDataFrame([("application/pdf", ".pdf"), ("Application/ZIP ; q=1", ".zip"), ("application/msword", ".doc")], "content_type string, extension string")
+    found = filetypes.extensions_from_table(fx.responses(spark, sf_dir), types)
+    return found.select("url", "attempt_no", F.col("header_extension").alias("ext"))
+
+
+@query
+def text_files(spark, sf_dir):
+    """Texts written as one file for each language and source, read back as binary files."""
+    path = new_path(spark, "text-files")
+    texts = fx.table(spark, sf_dir, "documents").select("text", "lang", "source")
+    texts.repartition("lang", "source").write.partitionBy("lang", "source").text(path)
+    files = fetch.landed_files(landed.read_files(spark, path, "*.txt"))
+    part = lambda name: F.regexp_extract("path", f"/{name}=([^/]*)/", 1).alias(name)
+    return files.groupBy(part("lang"), part("source")).agg(F.sum("size").alias("size"), F.bool_and("valid").alias("valid"))
+
+
+@query
+def landed_page_range(spark, sf_dir):
+    """Links of the first pages of a landed table; the range reaches the scan."""
+    path = new_path(spark, "landed-pages")
+    fx.landed_pages(spark, sf_dir).write.parquet(path)
+    pages = catalogue.limit_pages(landed.read_pages(spark, path), 7)
+    return extract.page_links(pages, fx.BASE_URL)
+
+
 @query
 def detected_ext(spark, sf_dir):
     return _arrived(spark, sf_dir).select(
@@ -611,10 +639,18 @@ def stream_stats(spark, sf_dir):
 
 @query
 def stream_page_by_page(spark, sf_dir):
-    """Entries and links written batch by batch; batches hold pages in any order, so only keys are compared."""
+    """Entries, links and laid-out files written batch by batch.
+
+    Batches hold pages in any order, so ids differ from run to run: they are counted,
+    and what an entry holds is compared without its id.
+    """
     folder = _landing_folder(spark, fx.landed_pages(spark, sf_dir), "landing")
     output, checkpoint = new_path(spark, "page-by-page"), new_path(spark, "stream-state")
     _finish(landing.start_page_by_page(landing.stream_pages(spark, folder, files_per_batch=4), fx.BASE_URL, output, checkpoint))
-    files = spark.read.parquet(f"{output}/files").select(F.lit("entry").alias("kind"), F.col("id").cast("string").alias("key"))
+    written_files = spark.read.parquet(f"{output}/files")
+    ids = written_files.select(F.lit("entry").alias("kind"), F.col("id").cast("string").alias("key")).distinct()
+    held = F.concat_ws(" ", *[F.col(c).cast("string") for c in ("file_no", *catalogue.CODES, "files_count", "filename", "download_url", "file_id", "year")])
+    files = written_files.select(F.lit("file").alias("kind"), held.alias("key"))
     found = spark.read.parquet(f"{output}/links").select(F.lit("link").alias("kind"), F.col("url").alias("key"))
-    return files.unionByName(found).distinct()
+    laid = spark.read.parquet(f"{output}/layout").select(F.lit("laid").alias("kind"), F.concat_ws(" ", F.col("year").cast("string"), "subject", "url").alias("key"))
+    return ids.unionByName(files).unionByName(found).unionByName(laid)

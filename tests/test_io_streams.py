@@ -130,3 +130,21 @@ def test_running_statistics(spark, tmp_path):
     assert got == {".pdf": (2, 3108), ".bin": (1, 150)}
     assert landed.read_responses(spark, str(tmp_path / "in")).count() == len(rows)
     assert reports.fetch_statistics  # the batch form of the same numbers
+
+
+def test_tables_can_be_dropped(spark):
+    from folioscan import session
+
+    kept = list(session._made)
+    session._made.clear()
+    df = session.written(spark.range(5).toDF("n"), "dropped")
+    assert df.count() == 5 and session.drop_tables(spark) == 1 and session.drop_tables(spark) == 0
+    session._made.extend(kept)
+
+
+def test_members_stay_in_their_folder(spark):
+    from folioscan.sources import archives
+
+    rows = [("in/a.zip", name, 1, b"x", None) for name in ("../../etc/x.txt", "/abs.txt", "./b/./c.txt", "d..e/f.txt")]
+    found = archives.members(spark.createDataFrame(rows, "archive_path string, member string, size long, content binary, error string"))
+    assert sorted(r["member_path"] for r in found.collect()) == ["in/a/abs.txt", "in/a/b/c.txt", "in/a/d..e/f.txt", "in/a/etc/x.txt"]
