@@ -16,8 +16,8 @@ more than one in ``HEAD`` training tokens (so at most that many words) come with
 the rest is joined by word, and no such word is frequent enough to fill a task.
 
 Rules: words are lower-cased in A-Z; every text ends with one end token; a null text is
-empty and has only that one. Rows with the same id and text get the same result; a null
-id counts as empty when the held-out part is chosen. Without training tokens every word
+empty and has only that one. Every row is scored, repeated ones each; a null id counts as
+empty when the held-out part is chosen. Without training tokens every word
 is unknown and the score is the unigram score. For training, texts of more than ``SEGMENT``
 tokens have their backward recursion restarted at that distance, which bounds memory;
 scores are exact for any length. Other columns play no part.
@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -39,7 +39,7 @@ from folioscan.llm.common import lower_ascii, words
 from folioscan.session import ship_package, written
 
 END = " "  # no word is a space
-HEAD = 1 << 20
+HEAD = 1 << 19
 CLASSES, SHARED = 2048, 512
 STATES, ROUNDS = 8, 3
 SEGMENT = 1 << 14
@@ -50,20 +50,21 @@ class Vocabulary(NamedTuple):
     classes: dict[bytes, int]
     shared: int
     mass: np.ndarray  # of each class under the unigram model
+    frequent: dict[bytes, float]  # log10 probabilities, at most HEAD
 
-    def of(self, text: bytes | None, known: dict[bytes, int]) -> np.ndarray:
-        """Classes of a text's tokens, the end included. known: classes found so far."""
+    def of(self, text: bytes | None, known: dict[bytes, tuple]) -> list[tuple]:
+        """(class, log10 probability or None) of a text's tokens, the end included. known: what was found so far."""
         tokens = (text or b"").lower().split()
+        tokens.append(END.encode())
         found = []
         for token in tokens:
-            number = known.get(token)
-            if number is None:
-                number = self.one(token)
-                if len(known) < 200_000:
-                    known[token] = number
-            found.append(number)
-        found.append(self.one(END.encode()))
-        return np.array(found, np.int32)
+            one = known.get(token)
+            if one is None:
+                one = (self.one(token), self.frequent.get(token), token)
+                if len(known) < 100_000:
+                    known[token] = one
+            found.append(one)
+        return found
 
     def one(self, token: bytes) -> int:
         number = self.classes.get(token)
@@ -76,50 +77,24 @@ class Model(NamedTuple):
     emit: np.ndarray  # class, state
 
 
-def with_tokens(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """doc_id, key, whole text and tokens."""
-    whole = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), whole.alias("text"))
-    return rows.select(
-        "doc_id", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("doc_id").isNull(), "text").alias("key"),
-        "text", F.concat(words(lower_ascii(F.col("text"))), F.array(F.lit(END))).alias("tokens"),
-    )
+def token_counts(docs: DataFrame, text: str) -> DataFrame:
+    tokens = F.concat(words(lower_ascii(F.coalesce(F.col(text), F.lit("")))), F.array(F.lit(END)))
+    return written(docs.select(F.explode(tokens).alias("token")).groupBy("token").agg(F.count("*").alias("c")), "token-counts")
 
 
-def token_counts(tokens: DataFrame, train: Column) -> DataFrame:
-    counts = tokens.filter(train).select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("c"))
-    return written(counts, "token-counts")
-
-
-def unigram_scores(tokens: DataFrame, counts: DataFrame, n: int, v: int) -> DataFrame:
-    """key, n_known, base_score: one row for each key."""
-    whole = float(n + v + 1)
-    log_p = F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(whole))
-    head = counts.filter(F.col("c") > n / HEAD)  # at most HEAD rows
-    tail = counts.filter(F.col("c") <= n / HEAD)
-    each = tokens.select("key", F.explode("tokens").alias("token"))
-    frequent = (
-        each.join(F.broadcast(head), "token")
-        .groupBy("key").agg(F.sum(log_p).alias("head_score"), F.count("*").alias("n_head"))
-    )
-    rare = (
-        each.join(F.broadcast(head.select("token")), "token", "left_anti").join(tail, "token", "left")
-        .groupBy("key").agg(F.sum(log_p).alias("tail_score"), F.count("*").alias("n_tail"), F.count("c").alias("n_tail_known"))
-    )
-    size = tokens.groupBy("key").agg(F.sum(F.size("tokens")).alias("all_tokens"), F.count("*").alias("rows"))
-    parts = size.join(frequent, "key", "left").join(rare, "key", "left")
-    zero = F.lit(0)
-    return parts.select(
-        "key",
-        ((F.coalesce("n_head", zero) + F.coalesce("n_tail_known", zero)) / F.col("rows")).cast("long").alias("n_known"),
-        ((F.coalesce("head_score", zero) + F.coalesce("tail_score", zero)) / F.col("rows")).alias("base_score"),
-    )
+def rare_scores(sequences: DataFrame, counts: DataFrame, n: int, v: int) -> DataFrame:
+    """uid, rare_score, n_rare_known: what the words that do not come with the tasks add to the unigram score."""
+    log_p = F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(float(n + v + 1)))
+    each = sequences.select("uid", F.explode("rare").alias("token"))
+    met = each.join(counts.filter(F.col("c") <= n / HEAD), "token", "left")
+    return met.groupBy("uid").agg(F.sum(log_p).alias("rare_score"), F.count("c").alias("n_rare_known"))
 
 
 def vocabulary(counts: DataFrame, n: int, v: int, classes: int = CLASSES, shared: int = SHARED) -> Vocabulary:
-    frequent = sorted((row["token"].encode(), row["c"]) for row in counts.filter(F.col("c") > n / classes).collect())
+    head = {row["token"].encode(): row["c"] for row in counts.filter(F.col("c") > n / HEAD).collect()}
+    frequent = sorted((token, c) for token, c in head.items() if c > n / classes)
     numbers = {token: number for number, (token, _) in enumerate(frequent)}
-    plain = Vocabulary(numbers, shared, np.zeros(0))
+    plain = Vocabulary(numbers, shared, np.zeros(0), {})
     first = len(numbers)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,13 +108,14 @@ def vocabulary(counts: DataFrame, n: int, v: int, classes: int = CLASSES, shared
     rest = counts.filter(F.col("c") <= n / classes).mapInArrow(add, "class int, mass double")
     sums = {row["class"]: row["mass"] for row in rest.groupBy("class").agg(F.sum("mass").alias("mass")).collect()}
     mass = np.array([c + 1.0 for _, c in frequent] + [sums.get(i, 0.0) + 1 / shared for i in range(shared)])
-    return Vocabulary(numbers, shared, mass / (n + v + 1))
+    log_p = {token: math.log10((c + 1) / (n + v + 1)) for token, c in head.items()}
+    return Vocabulary(numbers, shared, mass / (n + v + 1), log_p)
 
 
 def first_model(mass: np.ndarray, states: int = STATES) -> Model:
     """The unigram model with a little noise, and states that like to stay."""
-    noise = np.random.default_rng(7).gamma(4.0, 0.25, (len(mass), states))
-    emit = mass[:, None] * noise
+    noise = np.random.default_rng(7).gamma(4.0, 0.25, (len(mass), states)) if states > 1 else 1.0
+    emit = mass[:, None] * noise * np.ones((1, states))
     step = np.full((states, states), 0.1 / max(states - 1, 1)) if states > 1 else np.ones((1, 1))
     if states > 1:
         np.fill_diagonal(step, 0.9)
@@ -220,35 +196,55 @@ def next_model(sums: np.ndarray, mass: np.ndarray, states: int, prior: float = 1
     return Model(start / start.sum(), step / step.sum(1, keepdims=True), emit / emit.sum(0))
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], read: Callable) -> Iterator[tuple[list, list[np.ndarray]]]:
-    """Keys and class sequences, about four million tokens at a time."""
-    keys, texts, held = [], [], 0
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Class sequences, about four million tokens at a time."""
+    texts, held = [], 0
     for batch in batches:
-        for key, text in zip(batch.column("key").to_pylist(), read(batch)):
-            keys.append(key)
+        for text in _sequences(batch):
             texts.append(text)
             held += len(text)
             if held > 4_000_000:
-                yield keys, texts
-                keys, texts, held = [], [], 0
-    if keys:
-        yield keys, texts
+                yield texts
+                texts, held = [], 0
+    if texts:
+        yield texts
+
 
+def class_sequences(docs: DataFrame, words_: Vocabulary, doc_id: str, text: str, train: Column) -> DataFrame:
+    """Every row with a number of its own (uid), its classes, its share of the unigram score, and its rare words.
+
+    Written, as every round reads it.
+    """
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), train.alias("train"))
 
-def class_sequences(tokens: DataFrame, words_: Vocabulary) -> DataFrame:
-    """key, train, classes: written, as every round reads it."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, int] = {}
+        from pyspark import TaskContext
+
+        known: dict[bytes, tuple] = {}
+        uid = TaskContext.get().partitionId() << 33
         for batch in batches:
-            found = [words_.of(text, known).astype(np.int16) for text in batch.column("text").cast(pa.binary()).to_pylist()]
-            ends = np.cumsum([0] + [len(f) for f in found], dtype=np.int32)
-            values = pa.array(np.concatenate(found) if found else np.zeros(0, np.int16))
+            found = [words_.of(value, known) for value in batch.column("text").cast(pa.binary()).to_pylist()]
+            sizes = [len(f) for f in found]
+            ends = pa.array(np.cumsum([0] + sizes, dtype=np.int32))
+            values = pa.array(np.fromiter((one[0] for f in found for one in f), np.int16, sum(sizes)))
+            rare = [[one[2] for one in f if one[1] is None] for f in found]
+            head = [sum(one[1] for one in f if one[1] is not None) for f in found]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("key"), batch.column("train"), pa.ListArray.from_arrays(pa.array(ends), values)],
-                names=["key", "train", "classes"],
+                [
+                    pa.array(range(uid, uid + len(found)), pa.int64()), batch.column("doc_id"), batch.column("train"),
+                    pa.array(sizes, pa.int64()), pa.array([n - len(r) for n, r in zip(sizes, rare)], pa.int64()),
+                    pa.array([float(h) for h in head], pa.float64()), pa.ListArray.from_arrays(ends, values),
+                    pa.array(rare, pa.list_(pa.binary())).cast(pa.list_(pa.string())),
+                ],
+                names=["uid", "doc_id", "train", "n_tokens", "n_head", "head_score", "classes", "rare"],
             )
+            uid += len(found)
 
-    return written(tokens.select("key", "train", "text").mapInArrow(run, "key long, train boolean, classes array<short>"), "classes")
+    schema = (
+        f"uid long, doc_id {dict(rows.dtypes)['doc_id']}, train boolean, n_tokens long, n_head long, head_score double,"
+        " classes array<short>, rare array<string>"
+    )
+    return written(rows.mapInArrow(run, schema), "classes")
 
 
 def _sequences(batch: pa.RecordBatch) -> list[np.ndarray]:
@@ -265,14 +261,14 @@ def train(sequences: DataFrame, mass: np.ndarray, states: int = STATES, rounds:
 
         def run(batches: Iterator[pa.RecordBatch], current: Model = current) -> Iterator[pa.RecordBatch]:
             total = None
-            for _, texts in _chunks(batches, _sequences):
+            for texts in _chunks(batches):
                 parts = [t[i : i + SEGMENT] for t in texts for i in range(0, len(t), SEGMENT)]
                 counts = expected_counts(current, parts)
                 total = counts if total is None else total + counts
             if total is not None:
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], names=["at", "n"])
 
-        counts = sequences.filter("train").select("key", "classes").mapInArrow(run, "at int, n double")
+        counts = sequences.filter("train").select("classes").mapInArrow(run, "at int, n double")
         sums = np.zeros(states + states * states + states * len(mass))
         for row in counts.groupBy("at").agg(F.sum("n").alias("n")).collect():  # as many as the model has numbers
             sums[row["at"]] = row["n"]
@@ -281,36 +277,37 @@ def train(sequences: DataFrame, mass: np.ndarray, states: int = STATES, rounds:
 
 
 def text_scores(sequences: DataFrame, model: Model, mass: np.ndarray) -> DataFrame:
-    """key, model_score (log10 of the class sequence) and class_score (the same under the unigram model)."""
+    """Every row with model_score (log10 of the class sequence) and class_score (the same under the unigram model)."""
     log_mass = np.log10(mass)
+    names = ["uid", "doc_id", "train", "n_tokens", "n_head", "head_score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, texts in _chunks(batches, _sequences):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), pa.array(log10_likelihoods(model, texts)), pa.array([float(log_mass[t].sum()) for t in texts])],
-                names=["key", "model_score", "class_score"],
-            )
+        for batch in batches:
+            texts = _sequences(batch)
+            scores_ = [pa.array(log10_likelihoods(model, texts)), pa.array([float(log_mass[t].sum()) for t in texts], pa.float64())]
+            yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + scores_, names=[*names, "model_score", "class_score"])
 
-    return sequences.select("key", "classes").mapInArrow(run, "key long, model_score double, class_score double")
+    rows = sequences.select(*names, "classes")
+    return rows.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in rows.dtypes[:-1]) + ", model_score double, class_score double")
 
 
 def scores(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text", classes: int = CLASSES,
            states: int = STATES, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row.
 
-    held_out: a condition on doc_id; the other rows are learned from.
+    held_out: a condition on the columns of docs; the other rows are learned from.
     """
     ship_package(docs.sparkSession)
-    tokens = with_tokens(docs, doc_id, text).withColumn("train", ~held_out)
-    counts = token_counts(tokens, F.col("train"))
+    counts = token_counts(docs.filter(~held_out), text)
     n, v = (x or 0 for x in counts.agg(F.sum("c"), F.count("*")).first())
     words_ = vocabulary(counts, n, v, classes)
-    sequences = class_sequences(tokens, words_)
+    sequences = class_sequences(docs, words_, doc_id, text, ~held_out)
     model = train(sequences, words_.mass, states, rounds)
-    whole = text_scores(sequences, model, words_.mass).dropDuplicates(["key"])
-    base = unigram_scores(tokens, counts, n, v)
-    rows = tokens.select("doc_id", "key", (~F.col("train")).alias("held_out"), F.size("tokens").cast("long").alias("n_tokens"))
-    return rows.join(base, "key").join(whole, "key").select(
-        "doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score",
-        (F.col("model_score") + F.col("base_score") - F.col("class_score")).alias("score"),
+    found = text_scores(sequences, model, words_.mass).join(rare_scores(sequences, counts, n, v), "uid", "left")
+    base = F.col("head_score") + F.coalesce("rare_score", F.lit(0.0))
+    return found.select(
+        "doc_id", (~F.col("train")).alias("held_out"), "n_tokens",
+        (F.col("n_head") + F.coalesce("n_rare_known", F.lit(0))).cast("long").alias("n_known"),
+        F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"),
+        (F.col("model_score") + base - F.col("class_score")).alias("score"),
     )
