@@ -86,14 +86,14 @@ WITH cells AS (
            discipline_txt, ' </td><td>', serie_txt, '</td><td><span> ', localisation_txt, '</span><!-- x --></td>',
            '<td class="views-field-link"><a href="', href, '" data-atl-name="', data_name, '" data-ati-name="', data_name,
            '">Lien</a>',
-           coalesce(concat(' <a title="a ', CASE WHEN page_no % 5 = 3 THEN '<td> </table>' ELSE '>' END, ' b" href=''', href2, ''' data-atl-name="', data_name2, '" data-ati-name="',
+           coalesce(concat(' <a title="a ', CASE WHEN page_no % 50 = 3 THEN '<td> </table>' ELSE '>' END, ' b" href=''', href2, ''' data-atl-name="', data_name2, '" data-ati-name="',
                            data_name2, '">Annexe</a>'), ''),
            '<a href="/aide">Aide</a></td></tr>\\n') AS row_html
   FROM {rows}),
 bodies AS (
   SELECT page_no, listagg(row_html, '') WITHIN GROUP (ORDER BY row_no) AS body FROM cells GROUP BY page_no)
 SELECT page_no, concat('{base}?page=', page_no) AS url,
-  concat('<!DOCTYPE html>', CASE WHEN page_no % 10 = 3 THEN '<![foo[x]]>' ELSE '' END, '<html><head><script>var x = ''<a href="/document/999/download">'';</script></head><body>',
+  concat('<!DOCTYPE html>', CASE WHEN page_no % 100 = 3 THEN '<![foo[x]]>' ELSE '' END, '<html><head><script>var x = ''<a href="/document/999/download">'';</script></head><body>',
          '<!-- <a href="/document/999/download">old</a> --><a href="/aide">Aide</a>',
          '<table><thead><tr><th>Session</th></tr></thead><tbody>', body,
          '<tr><td>1</td><td>2</td><td>3</td><td>4</td></tr></tbody></table>',
