@@ -111,7 +111,7 @@ def test_streams_go_on_where_they_stopped(spark, tmp_path):
     streamed = [r["url"] for r in spark.read.parquet(out["links"]).collect()]
     assert sorted(streamed) == sorted(batch) and len(batch) == 4
     values = {(r["field"], r["value"]): r["n"] for r in landing.latest_distinct_values(spark, out["values"]).collect()}
-    assert values == {("Session", "2024 normale"): 7, ("Discipline", "maths"): 7, ("Serie", "gen"): 7, ("Localisation", "asie"): 7}
+    assert values == {("Session", "2024 normale"): 7, ("Discipline", "maths"): 7, ("Serie", "gen"): 7, ("Localisation", "asie"): 7, ("TypeDocument", "sujet"): 7}
     files = spark.read.parquet(f"{out['pages']}/files")
     assert sorted(r["id"] for r in files.collect()) == list(range(1, 8))
     assert files.filter("batch = 1").agg(F.min("id")).first()[0] == 4
