@@ -18,6 +18,7 @@ import xxhash
 SHINGLE = 5
 BANDS, ROWS = 30, 5
 REGISTERS = BANDS * ROWS
+POINTS_AT_ONCE = 500_000
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -126,7 +127,7 @@ def signatures(bags: list[np.ndarray], registers: int = REGISTERS) -> np.ndarray
         time, drawn = times[:, -1], drawn + np.uint64(count)
         live = time < latest[doc]
         seed, time, drawn, doc, weight, low, size = (x[live] for x in (seed, time, drawn, doc, weight, low, size))
-        count = min(2 * count, 64)
+        count = max(1, min(2 * count, 64, POINTS_AT_ONCE // max(len(seed), 1)))
     return held.reshape(-1, registers)
 
 

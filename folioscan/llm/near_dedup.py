@@ -37,7 +37,7 @@ from folioscan.session import ship_package, written
 
 PERCENT = 80
 BLOCK = 512
-SHINGLES_AT_ONCE = 300_000
+SHINGLES_AT_ONCE = 200_000
 
 
 def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
