@@ -9,7 +9,7 @@ from folioscan.functions import markup
 from folioscan.functions.markup_parser import _alone, HtmlRows, pager_parent_class_of, plain_body_of, rows_of
 from folioscan.operators import catalogue, extract, numbering
 
-BASE = "https://listing.example.org/711/preparer"
+BASE = "https://listing.example.org/archive/list"
 HEAD = "<html><script>'<tbody><tr><td>'</script><!-- <a href='/document/0/download'> --><table>"
 
 PLAIN = HEAD + """<tbody class="x"><tr><td> a <b>b</b>&nbsp;</td><td>c&eacute;&#233;&#xE9;&amp;lt;</td><td>d</td>

@@ -12,7 +12,7 @@ from folioscan.operators import extract, fetch, links, reports
 from folioscan.sources import archives, landed, sinks
 from folioscan.streaming import landing
 
-BASE = "https://listing.example.org/711/preparer"
+BASE = "https://listing.example.org/archive/list"
 
 
 def _zip(**members):
