@@ -37,6 +37,7 @@ from folioscan.session import ship_package, written
 
 PERCENT = 80
 BLOCK = 512
+BUCKETS = 1 << 20
 SHINGLES_AT_ONCE = 200_000
 
 
@@ -181,7 +182,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """The documents as rows with content hashes, and k1, k2, class_id, class_size, keeps, of all contents.
+    """The documents as rows with content hashes, and k1, k2, class_id, class_size, n_first, keeps, of all contents.
 
     class_id is the smallest id in the class; ``keeps`` marks the content it belongs to,
     of equals the one with the smallest number; ``n_first`` is the number of its rows.
@@ -189,7 +190,9 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pe
     ship_package(docs.sparkSession)
     rows = _rows(docs, doc_id, text)
     ids = rows.groupBy("k1", "k2", "doc_id").agg(F.count("*").alias("n"))
-    content = ids.groupBy("k1", "k2").agg(F.min("doc_id").alias("first_id"), F.sum("n").alias("n"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", F.col("n").alias("rows")))
+    content = ids.groupBy("k1", "k2").agg(first.alias("first"), F.sum("n").alias("n"))
+    content = content.select("k1", "k2", "n", F.col("first.doc_id").alias("first_id"), F.col("first.rows").alias("n_first"))
     content = written(content.withColumn("uid", F.monotonically_increasing_id()), "near-contents")
 
     sketches = written(rows.select("k1", "k2", "text").mapInArrow(_sketches, "k1 long, k2 long, bands array<long>"), "near-sketches")
@@ -204,7 +207,10 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pe
     members = written(members, "near-members")
 
     chosen = members.select("uid", "k1", "k2").distinct()
-    texts = rows.join(chosen, ["k1", "k2"]).groupBy("uid").agg(F.first("text").alias("text"))
+    # most texts have no candidate: a table of hash buckets, of a fixed greatest size, keeps them out of the exchange
+    bucket = F.pmod("k1", F.lit(BUCKETS)).alias("bucket")
+    near = rows.select("k1", "k2", "text", bucket).join(F.broadcast(chosen.select(bucket).distinct()), "bucket", "left_semi")
+    texts = near.join(chosen, ["k1", "k2"]).groupBy("uid").agg(F.first("text").alias("text"))
     bags = written(texts.mapInArrow(_bags, "uid long, registers binary, units binary"), "near-bags")
 
     sizes = members.groupBy("band").agg(F.count("*").alias("size"))
@@ -234,12 +240,13 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pe
     classes = labels.join(merged, F.col("label") == F.col("was"), "left").select("node", F.coalesce("now", "label").alias("label"))
     alone = merged.join(labels, F.col("was") == F.col("node"), "left_anti").select(F.col("was").alias("node"), F.col("now").alias("label"))
     classes = classes.unionByName(alone)
-    known = content.join(classes, F.col("uid") == F.col("node"), "left").select("k1", "k2", "uid", "first_id", "n", F.coalesce("label", "uid").alias("label"))
+    known = content.join(classes, F.col("uid") == F.col("node"), "left")
+    known = known.select("k1", "k2", "uid", "first_id", "n_first", "n", F.coalesce("label", "uid").alias("label"))
     known = written(known, "near-known")
     heads = known.groupBy("label").agg(F.min("first_id").alias("class_id"), F.sum("n").alias("class_size"))
     keeper = known.join(heads, "label").filter(F.col("first_id").eqNullSafe(F.col("class_id"))).groupBy("label").agg(F.min("uid").alias("keeper"))
     found = known.join(heads.join(keeper, "label"), "label").select(
-        "k1", "k2", "class_id", "class_size", (F.col("uid") == F.col("keeper")).alias("keeps")
+        "k1", "k2", "class_id", "class_size", "n_first", (F.col("uid") == F.col("keeper")).alias("keeps")
     )
     return rows, found
 
@@ -254,9 +261,10 @@ def document_classes(docs: DataFrame, **settings) -> DataFrame:
 def one_of_each(docs: DataFrame, **settings) -> DataFrame:
     """One whole row of each class: of its smallest id (of equal rows, one)."""
     rows, found = near_classes(docs, **settings)
-    stays = rows.join(found.filter("keeps"), ["k1", "k2"]).filter(F.col("doc_id").eqNullSafe(F.col("class_id")))
-    # ids are unique as a rule; only repeated ones are brought together
-    twice = rows.groupBy("k1", "k2", "doc_id").count().filter("count > 1").select("k1", "k2")
-    single = stays.join(twice, ["k1", "k2"], "left_anti").select("row.*")
-    several = stays.join(twice.distinct(), ["k1", "k2"]).groupBy("k1", "k2").agg(F.first("row").alias("row")).select("row.*")
-    return single.unionByName(several)
+    found = written(found.filter("keeps"), "near-kept")
+    stays = rows.join(found, ["k1", "k2"]).filter(F.col("doc_id").eqNullSafe(F.col("class_id")))
+    # ids are unique as a rule; only rows that share id and text are brought together
+    if found.filter("n_first > 1").isEmpty():
+        return stays.select("row.*")
+    several = stays.filter("n_first > 1").groupBy("k1", "k2").agg(F.first("row").alias("row"))
+    return stays.filter("n_first = 1").select("row").unionByName(several.select("row")).select("row.*")
