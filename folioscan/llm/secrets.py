@@ -1,7 +1,8 @@
 """Secret scans: known forms of secrets, and tokens that pass a battery of randomness tests.
 
 Base spans are matches of fixed patterns. The method looks at every other run of 20 or
-more characters of ``[A-Za-z0-9+/_=-]``:
+more characters of ``[A-Za-z0-9+/_-]``; ``=`` belongs to it only as padding at its end, so
+the name and the value of ``name=value`` are runs of their own:
 
 1. The encoding is inferred from the characters: hex (either case), base 32, base 36
    (lower case and digits) or base 64. Runs of letters only and of digits only have
@@ -38,7 +39,7 @@ BASE = {
     "access": (r"AKIA[A-Z0-9]{16}", r"AKIA[A-Z0-9]+", 0, 20),
     "hex": (r"[0-9a-f]{24}", r"[0-9a-f]+", 0, 24),
 }
-RUN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
+RUN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}(?:=++(?![A-Za-z0-9+/_-]))?"
 KINDS = [*BASE, "random"]
 ALPHABETS = {
     "hex": "0123456789abcdef",
@@ -150,7 +151,7 @@ def scanned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     df = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     for kind, (quick, pattern, group, least) in BASE.items():
         df = _with_starts(df, kind, "text", quick, pattern, group, least)
-    df = _with_starts(df, "runs", "text", "[A-Za-z0-9+/_=-]{20}", RUN, 0, 20)
+    df = _with_starts(df, "runs", "text", "[A-Za-z0-9+/_-]{20}", RUN, 0, 20)
     base = F.concat(*BASE)
     apart = lambda r: ~F.exists(base, lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"]))
     kinds = F.transform("runs", lambda r: F.struct(r["start"], r["end"], r["token"], encoding(r["token"]).alias("encoding")))

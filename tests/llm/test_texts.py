@@ -119,6 +119,24 @@ def test_secret_battery(spark):
     assert sum(got[i] for i in range(1, 300, 2)) >= 145 and not any(got[i] for i in range(0, 300, 2))
 
 
+def test_secrets_after_names(spark):
+    """Values right after name= are runs of their own, padding stays, names and query strings are not found."""
+    rng = random.Random(9)
+    draw = lambda n: "".join(rng.choice(string.ascii_letters + string.digits + "+/") for _ in range(n))
+    forms = ["export AWS_SECRET_ACCESS_KEY={}", "https://host.example/file?sig={}&x=1", "client_key={}\nuser=me", "MY_SERVICE_V2_ACCESS_NAME={}", "a={}==", "={} ="]
+    rows, want = [], {}
+    for i in range(120):
+        value, form = draw(40), forms[i % len(forms)]
+        text = form.format(value)
+        start = text.index(value)
+        rows.append((i, text))
+        want[i] = (start, start + 40 + (2 if form.endswith("==") else 0))
+    plain = ["some_long_snake_case_variable_name_v2=/wp-content/uploads/2024/05/summer-holiday-pictures-in-france_final2", "=" * 30, "key=" * 10]
+    rows += [(500 + i, plain[i % 3]) for i in range(90)]
+    got = {r["doc_id"]: [tuple(s) for s in r["random"]] for r in secrets.secret_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[i] == [want[i]] for i in range(120)) >= 116 and not any(got[i] for i in range(500, 590))
+
+
 PAGE = """<html><head><title>T</title><style>p{}</style></head><body><header class="site-header"><h1>Site</h1><p>The best site in the world for all readers</p></header>
 <div id="cookie-notice">We use cookies to make this site better, please accept them all now.</div><nav><ul><li><a href=x>Home</a></li></ul></nav><!-- <p>no</p> -->
 <div class="content-wrapper"><div class="post"><h2>Title  of&nbsp;it</h2><p>Long paragraph with many words &amp; more, and <a href="a>b">a link</a> in<b>side</b>.<br>Next
