@@ -15,7 +15,8 @@
    empty line.
 
 Rules: null and empty pages, and pages without text, give an empty string. A tag may hold
-``>`` in quotes; one that is never closed is text. Every page is handled alone, with no
+``>`` in quoted values of any length; a quote that is never closed does not count, and a
+tag that is never closed is text. Every page is handled alone, with no
 limit on its length; repeated pages give equal texts; other columns stay out of the way.
 """
 
@@ -50,9 +51,10 @@ _WORDS = set(
 )
 _HOLDS = {"content", "article", "main", "post", "entry", "story", "wrapper", "container", "page", "layout", "has", "with"}
 _STRONG = {"ad", "ads", "advert", "advertisement", "comment", "comments", "promo", "related", "sponsored", "sidebar", "teaser", "widget"}
-_TAG = re.compile(r"""<(/?)([A-Za-z][^\s/>"']*)((?:"[^"]*"|'[^']*'|[^'">])*)>""")
 _PLAIN_TAG = re.compile(r"<(/?)([A-Za-z][^\s/>\"']*)([^>]*)>")
-_MARK = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_QUOTE_OR_END = re.compile(r"""["'>]""")
+_ATTRIBUTE = re.compile(r"""([^\s=/>"']++)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+_MARKS = {"class", "id", "role", "hidden", "style", "aria-hidden"}
 _NAME = re.compile(r"[a-z]+|[A-Z][a-z]*|[0-9]+")
 
 
@@ -61,8 +63,10 @@ def _marks(tag: str, attributes: str) -> tuple[bool, bool]:
     if not attributes or not attributes.strip():
         return False, False
     names: set[str] = set()
-    for key, value in _MARK.findall(attributes):
+    for key, value in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'")
+        if key not in _MARKS:
+            continue
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true" and tag != "a":
             return True, False
         if key == "style":
@@ -85,6 +89,33 @@ def _marks(tag: str, attributes: str) -> tuple[bool, bool]:
     return bool(found - {"header"}), found == {"header"}
 
 
+def _tag_end(html: str, at: int, open_ended: set[int]) -> int:
+    """Place of the ``>`` after a tag's quoted values, or -1 if the page ends first.
+
+    A quote opens a value only after ``=``. open_ended: quotes known to lead to the end of
+    the page, so that all tags of a page together take one pass.
+    """
+    seen = []
+    while found := _QUOTE_OR_END.search(html, at):
+        place = found.start()
+        if html[place] == ">":
+            return place
+        before = place - 1
+        while html[before].isspace():
+            before -= 1
+        if html[before] != "=":
+            at = place + 1
+            continue
+        if place in open_ended:
+            break
+        seen.append(place)
+        at = html.find(html[place], place + 1) + 1
+        if not at:
+            break
+    open_ended.update(seen)
+    return -1
+
+
 def lines_of(html: str) -> list[tuple[str, int, bool, bool]]:
     """(text, characters outside links, carries no article, inside an article) for each block."""
     lines: list[tuple[str, int, bool, bool]] = []
@@ -110,6 +141,7 @@ def lines_of(html: str) -> list[tuple[str, int, bool, bool]]:
             pieces.append(unescape(value))
             linked.append(link)
 
+    open_ended: set[int] = set()
     at, size = 0, len(html)
     while at < size:
         start = html.find("<", at)
@@ -127,15 +159,18 @@ def lines_of(html: str) -> list[tuple[str, int, bool, bool]]:
             at = size if end < 0 else end + 1
             continue
         found = _PLAIN_TAG.match(html, start)
-        if found and (found[3].count('"') % 2 or found[3].count("'") % 2):
-            found = _TAG.match(html, start, start + (1 << 16)) or found
         if not found:
             text("<")
             at = start + 1
             continue
-        at, closing, name = found.end(), bool(found[1]), found[2].lower()
+        at, closing, name, attributes = found.end(), bool(found[1]), found[2].lower(), found[3]
+        double, single = attributes.count('"'), attributes.count("'")
+        if double % 2 or single % 2 or double and single:
+            end = _tag_end(html, found.end(2), open_ended)
+            if end >= at:
+                at, attributes = end + 1, html[found.end(2) : end]
         if name in _SILENT:
-            if not closing and not found[3].endswith("/"):
+            if not closing and not attributes.endswith("/"):
                 end = re.compile(rf"</{name}\b[^>]*>", re.I).search(html, at)
                 at = end.end() if end else size
             continue
@@ -159,12 +194,12 @@ def lines_of(html: str) -> list[tuple[str, int, bool, bool]]:
                         break
             else:
                 _, off, inside, header = stack[-1] if stack else ("", False, False, False)
-                marked, marked_header = _marks(name, found[3])
+                marked, marked_header = _marks(name, attributes)
                 header = header or name == "header" or marked_header
                 inside = inside or name in ("article", "main") and not marked
                 stack.append((name, off or marked or name in _NEVER, inside, header))
         elif not closing:
-            dropped = _marks(name, found[3])[0]
+            dropped = _marks(name, attributes)[0]
             heading = name in ("h1", "h2", "h3", "h4", "h5", "h6")
     close()
     return lines

@@ -161,3 +161,13 @@ def test_page_text(spark):
 @pytest.mark.parametrize("tail", ["", "<", "<!--", "<!", "<script>", '<a title="x', "&", "&#x110000;", "</div>" * 50])
 def test_broken_pages(tail):
     assert html_text.main_text(f"<article><p>some words of text here</p>{tail}").startswith("some words of text here")
+
+
+def test_long_tags():
+    """Quoted values are read to their end, whatever their length; what they hold marks nothing."""
+    text = "some words of the article, with more of them to be long enough here"
+    for value in ["'{\"hidden\": \"a>b\", \"n\": [" + "1>0, " * 40_000 + "]}'", '"' + "id=ad x>y " * 20_000 + '"', "'it\"s' data-b=\">\""]:
+        for page in (f"<body><div data-state={value}><p>{text}</p></div>", f"<article><p data-state = {value}>{text}</p></article>"):
+            assert html_text.main_text(page) == text
+    assert html_text.main_text(f"<p class=\"a\"\">{text}</p><p title='x\">{text}</p>") == f"{text}\n\n{text}"
+    assert html_text.main_text(f"<p title='x\">{text}</p>" * 20_000).count(text) >= 10_000
