@@ -3,16 +3,22 @@
 1. Markup is stripped: each block of a page becomes a line, character references are
    decoded, white space becomes one space. Scripts, styles, forms and comments give
    nothing. Lines in elements that carry no article (menus, page headers, footers,
-   sidebars, notices, adverts, reader comments: by element, role, class or id) and
-   lines outside the article or main element, where there is one, count as empty.
+   sidebars, notices, adverts, reader comments: by element, role, class or id) count as
+   empty.
 2. The text lengths outside links are summed over windows of ``window`` lines. The text
    surges where a window's sum becomes positive and dives where it is zero again: three
    lines without text of their own end a stretch. A stretch is kept if one of its
-   windows has ``least`` characters and it holds ``share`` of the largest stretch. Inside
-   an article element, and if no window is large enough, the largest stretch sets the
-   measure alone.
-3. The lines between surge and dive are the text: whole, in page order, joined by an
-   empty line.
+   windows has ``least`` characters, whatever the other stretches hold; if there is none,
+   the largest is kept.
+3. The lines between surge and dive are the text, and with them the lines beside a
+   stretch that are all link and lie in the same container: reference lists, links to
+   a full report. (Directly in the body only those after a stretch, as menus come first.)
+4. Article and main elements rule out other text if the largest stretch is theirs, with
+   links counted. Then all of their lines are the text, links or not.
+
+The text is whole, in page order, joined by an empty line. Limits: text outside articles
+in stretches of less than ``least`` characters within ``window`` lines is dropped beside
+denser stretches; longer text that nothing marks as a notice is kept.
 
 Rules: null and empty pages, and pages without text, give an empty string. A tag may hold
 ``>`` in quoted values of any length; a quote that is never closed does not count, and a
@@ -32,7 +38,7 @@ from pyspark.sql import functions as F
 
 from folioscan.session import ship_package
 
-WINDOW, LEAST, SHARE = 3, 60, 0.1
+WINDOW, LEAST = 3, 60
 
 # fixed values: names of HTML elements and the words that sites use in classes and ids
 _SILENT = {"script", "style", "noscript", "template", "iframe", "svg", "math", "textarea", "title", "object", "select", "option", "button"}
@@ -41,6 +47,7 @@ _INLINE = set("a abbr b bdi bdo big cite code data del dfn em font i ins kbd lab
 _CONTAINERS = set(
     "html body div section article main nav header footer aside form fieldset ul ol dl menu table thead tbody tfoot figure details dialog center".split()
 )
+_PARTS = set("ul ol dl table thead tbody tfoot figure details center".split())  # belong to the container around them
 _NEVER = {"nav", "footer", "aside", "form", "fieldset", "menu", "dialog", "head"}
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "dialog", "form", "menu", "menubar"}
 _WORDS = set(
@@ -116,10 +123,24 @@ def _tag_end(html: str, at: int, open_ended: set[int]) -> int:
     return -1
 
 
-def lines_of(html: str) -> list[tuple[str, int, bool, bool]]:
-    """(text, characters outside links, carries no article, inside an article) for each block."""
-    lines: list[tuple[str, int, bool, bool]] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # name, no article, inside an article, inside a header
+class Place:
+    """A container below the body, and the one around it."""
+
+    __slots__ = ("around", "depth")
+
+    def __init__(self, around: Place | None) -> None:
+        self.around, self.depth = around, around.depth + 1 if around else 1
+
+    def holds(self, place: Place | None) -> bool:
+        while place and place.depth > self.depth:
+            place = place.around
+        return place is self
+
+
+def lines_of(html: str) -> list[tuple[str, int, bool, bool, Place | None]]:
+    """(text, characters outside links, carries no article, inside an article, container) for each block."""
+    lines: list[tuple[str, int, bool, bool, Place | None]] = []
+    stack: list[tuple[str, bool, bool, bool, Place | None]] = []  # name, no article, inside an article, inside a header, container
     pieces: list[str] = []
     linked: list[bool] = []
     link = dropped = heading = False
@@ -130,8 +151,8 @@ def lines_of(html: str) -> list[tuple[str, int, bool, bool]]:
             text = " ".join("".join(pieces).split())
             if text:
                 own = " ".join("".join(p for p, a in zip(pieces, linked) if not a).split())
-                _, off, inside, header = stack[-1] if stack else ("", False, False, False)
-                lines.append((text, len(own), off or dropped or header and not (inside and heading), inside))
+                _, off, inside, header, place = stack[-1] if stack else ("", False, False, False, None)
+                lines.append((text, len(own), off or dropped or header and not (inside and heading), inside, place))
             pieces.clear()
             linked.clear()
         dropped = heading = False
@@ -193,11 +214,12 @@ def lines_of(html: str) -> list[tuple[str, int, bool, bool]]:
                         del stack[depth:]
                         break
             else:
-                _, off, inside, header = stack[-1] if stack else ("", False, False, False)
+                _, off, inside, header, place = stack[-1] if stack else ("", False, False, False, None)
                 marked, marked_header = _marks(name, attributes)
                 header = header or name == "header" or marked_header
                 inside = inside or name in ("article", "main") and not marked
-                stack.append((name, off or marked or name in _NEVER, inside, header))
+                place = place if name in _PARTS or name in ("html", "head", "body") else Place(place)
+                stack.append((name, off or marked or name in _NEVER, inside, header, place))
         elif not closing:
             dropped = _marks(name, attributes)[0]
             heading = name in ("h1", "h2", "h3", "h4", "h5", "h6")
@@ -205,13 +227,11 @@ def lines_of(html: str) -> list[tuple[str, int, bool, bool]]:
     return lines
 
 
-def main_text(html: str | None, window: int = WINDOW, least: int = LEAST, share: float = SHARE) -> str:
-    lines = lines_of(html or "")
-    article = any(inside and not off for _, _, off, inside in lines)
-    lengths = [0 if off or article and not inside else own for _, own, off, inside in lines]
+def _stretches(lengths: list[int], window: int) -> list[tuple[int, int, int, int]]:
+    """First line and line after the last, characters, largest window."""
     n = len(lengths)
     sums = [sum(lengths[i : i + window]) for i in range(n)]
-    stretches = []  # first and last line, characters, largest window
+    found = []
     at = 0
     while at < n:
         if not sums[at]:
@@ -220,22 +240,38 @@ def main_text(html: str | None, window: int = WINDOW, least: int = LEAST, share:
         end = at
         while end < n and sums[end]:
             end += 1
-        stretches.append((at, end, sum(lengths[at:end]), max(sums[at:end])))
+        found.append((at, end, sum(lengths[at:end]), max(sums[at:end])))
         at = end
-    if not stretches:
-        return ""
-    most = max(s[2] for s in stretches)
-    strong = [s for s in stretches if s[3] >= least and s[2] >= share * most]
-    if article:
-        strong = stretches
-    elif not strong:
-        strong = [s for s in stretches if s[2] == most][:1]
-    kept = []
-    for first, end, _, _ in strong:
-        for text, _, off, inside in lines[first:end]:
-            if not off and (inside or not article):
-                kept.append(text)
-    return "\n\n".join(kept)
+    return found
+
+
+def main_text(html: str | None, window: int = WINDOW, least: int = LEAST) -> str:
+    lines = lines_of(html or "")
+    most = lambda found: max((s[2] for s in found), default=0)
+    held = most(_stretches([len(text) if inside and not off else 0 for text, _, off, inside, _ in lines], window))
+    free = most(_stretches([0 if inside or off else own for _, own, off, inside, _ in lines], window))
+    if held and held >= free:
+        return "\n\n".join(text for text, _, off, inside, _ in lines if inside and not off)
+    lengths = [0 if off else own for _, own, off, _, _ in lines]
+    stretches = _stretches(lengths, window)
+    if not any(s[3] >= least for s in stretches):
+        stretches = [s for s in stretches if s[2] == most(stretches)][:1]
+    kept = [False] * len(lines)
+    for first, end, _, dense in stretches:
+        if dense < least and len(stretches) > 1:
+            continue
+        kept[first:end] = [True] * (end - first)
+        place = lines[end - 1][4]
+        at = end
+        while at < len(lines) and not lengths[at]:
+            kept[at] = kept[at] or (place.holds(lines[at][4]) if place else not lines[at][4])
+            at += 1
+        place = next(lines[i][4] for i in range(first, end) if lengths[i])
+        at = first - 1
+        while place and at >= 0 and not lengths[at]:
+            kept[at] = kept[at] or place.holds(lines[at][4])
+            at -= 1
+    return "\n\n".join(line[0] for line, keep in zip(lines, kept) if keep and not line[2])
 
 
 def page_texts(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

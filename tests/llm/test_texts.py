@@ -171,3 +171,21 @@ def test_long_tags():
             assert html_text.main_text(page) == text
     assert html_text.main_text(f"<p class=\"a\"\">{text}</p><p title='x\">{text}</p>") == f"{text}\n\n{text}"
     assert html_text.main_text(f"<p title='x\">{text}</p>" * 20_000).count(text) >= 10_000
+
+
+def test_links_and_parts_of_articles():
+    """Link-only lines, parts beside a much larger one, and small articles beside the text."""
+    words = lambda n: " ".join(f"word{i}" for i in range(n))
+    links = [f"reference number {i}" for i in range(6)]
+    refs = "<ul>" + "".join(f"<li><a href=x>{x}</a></li>" for x in links) + "</ul>"
+    joined = lambda *parts: "\n\n".join(parts)
+    for tag in ("article", "main", 'div class="post"', "div"):
+        page = f"<body><ul><li><a>Home</a></li></ul><{tag}>{refs}<p>{words(40)}</p>{refs}<p>{words(30)}</p><p><a href=x>Full report</a></p></{tag.split()[0]}><div><a>Other</a></div>"
+        assert html_text.main_text(page) == joined(*links, words(40), *links, words(30), "Full report")
+    assert html_text.main_text(f"<body><p>{words(40)}</p>{refs}<div><a>Other</a></div>") == joined(words(40), *links)
+    advert = "<div class=ad><p>Buy</p><p>our</p><p>things</p><p>now</p></div>"
+    intro, body = words(100), words(9000)
+    assert html_text.main_text(f"<div><p>{intro}</p>{advert}<p>{body}</p>{advert}<p>{intro}</p></div>") == joined(intro, body, intro)
+    teaser = "<article><h3><a>Another story</a></h3></article>"
+    assert html_text.main_text(f"<body><div><p>{intro}</p></div>{teaser}{teaser}{teaser}") == joined(intro)
+    assert html_text.main_text("<div><p>" + "</p><p>".join(["<a>link</a>"] * 50_000) + f"</p><p>{intro}</p></div>").count("link") == 50_000
