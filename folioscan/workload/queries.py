@@ -469,15 +469,28 @@ def content_type_table(spark, sf_dir):
     return found.select("url", "attempt_no", F.col("header_extension").alias("ext"))
 
 
+TEXTS_PER_FILE = 4096
+
+
 @query
 def text_files(spark, sf_dir):
-    """Texts written as one file for each language and source, read back as binary files."""
+    """Texts written as files of bounded size for each language and source, read back as binary files.
+
+    Rows are dealt by runs of 131,072 as well, so a hot source is spread over tasks, more of
+    them the larger the input; a file holds at most ``TEXTS_PER_FILE`` texts (2 GB, which
+    binaryFile refuses, would take texts of 500 kB on average).
+    """
     path = new_path(spark, "text-files")
-    texts = fx.table(spark, sf_dir, "documents").select("text", "lang", "source")
-    texts.repartition("lang", "source").write.partitionBy("lang", "source").text(path)
+    texts = fx.table(spark, sf_dir, "documents").select("text", "lang", "source", F.shiftright(F.monotonically_increasing_id(), 17).alias("part"))
+    spread = texts.repartition("lang", "source", "part").drop("part")
+    spread.write.option("maxRecordsPerFile", TEXTS_PER_FILE).partitionBy("lang", "source").text(path)
     files = fetch.landed_files(landed.read_files(spark, path, "*.txt"))
     part = lambda name: F.regexp_extract("path", f"/{name}=([^/]*)/", 1).alias(name)
-    return files.groupBy(part("lang"), part("source")).agg(F.sum("size").alias("size"), F.bool_and("valid").alias("valid"))
+    # the least size holds for the text as a whole, not for each of its files
+    small = F.col("size") < fixed.MIN_FILE_BYTES
+    return files.groupBy(part("lang"), part("source")).agg(
+        F.sum("size").alias("size"), (F.bool_and(F.col("valid") | small) & (F.sum("size") >= fixed.MIN_FILE_BYTES)).alias("valid")
+    )
 
 
 @query

@@ -11,6 +11,7 @@ from folioscan import fixed_values as fixed, schemas, session
 from folioscan.operators import extract, fetch, links, reports
 from folioscan.sources import archives, landed, sinks
 from folioscan.streaming import landing
+from folioscan.workload import queries
 
 BASE = "https://listing.example.org/archive/list"
 
@@ -148,3 +149,17 @@ def test_members_stay_in_their_folder(spark):
     rows = [("in/a.zip", name, 1, b"x", None) for name in ("../../etc/x.txt", "/abs.txt", "./b/./c.txt", "d..e/f.txt")]
     found = archives.members(spark.createDataFrame(rows, "archive_path string, member string, size long, content binary, error string"))
     assert sorted(r["member_path"] for r in found.collect()) == ["in/a/abs.txt", "in/a/b/c.txt", "in/a/d..e/f.txt", "in/a/etc/x.txt"]
+
+
+def test_text_files_are_bounded(spark, tmp_path, monkeypatch):
+    """A hot language and source is written as several files, and its size is their sum."""
+    rows = spark.range(20_000).selectExpr("id AS doc_id", "if(id % 500 = 0, null, repeat('é', int(id % 7))) AS text", "'en' AS lang", "if(id < 10, 'b', 'a') AS source")
+    rows.write.parquet(str(tmp_path / "documents.parquet"))
+    read, paths = landed.read_files, []
+    monkeypatch.setattr(landed, "read_files", lambda spark, path, glob: paths.append(path) or read(spark, path, glob))
+    got = {(r["lang"], r["source"]): (r["size"], r["valid"]) for r in queries.text_files(spark, str(tmp_path)).collect()}
+    size = lambda ids: sum(1 + 2 * (i % 7) * (i % 500 != 0) for i in ids)
+    assert {k: v[0] for k, v in got.items()} == {("en", "a"): size(range(10, 20_000)), ("en", "b"): size(range(10))}
+    assert {k: v[1] for k, v in got.items()} == {("en", "a"): True, ("en", "b"): False}  # 58 bytes are too few
+    lines = [r["n"] for r in read(spark, paths[0], "*.txt").selectExpr("regexp_count(string(content), '\\n') AS n").collect()]
+    assert sum(lines) == 20_000 and max(lines) <= 4096
