@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscan.llm import exact_dedup, hmm, html_text, language_id, line_dedup, mixing, near_dedup, packing, quality, secrets
+from folioscan.llm import collocations, exact_dedup, hmm, html_text, language_id, line_dedup, mixing, near_dedup, packing, quality, secrets
 from folioscan.llm.common import remainder, table
 
 
@@ -57,6 +57,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_line_dedup": op2_line_dedup,
@@ -68,10 +72,12 @@ QUERIES = {
     "op8_hmm_score": op8_hmm_score,
     "op9_packing": op9_packing,
     "op10_exact_dedup": op10_exact_dedup,
+    "op13_collocations": op13_collocations,
 }
 
 ORACLES = {
     "op2_line_dedup": line_dedup.ORACLE,
     "op3_mixing": mixing.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,
+    "op13_collocations": collocations.ORACLE,
 }
