@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscan.llm import collocations, exact_dedup, hmm, html_text, language_id, line_dedup, mixing, near_dedup, packing, periodic_runs, quality, secrets
+from folioscan.llm import collocations, exact_dedup, hmm, html_text, language_id, line_dedup, mixing, near_dedup, nearest, packing, periodic_runs, quality, secrets
 from folioscan.llm.common import remainder, table
 
 
@@ -57,6 +57,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     text = periodic_runs.with_repeats(F.col("text"), F.col("doc_id"))
@@ -78,6 +82,7 @@ QUERIES = {
     "op8_hmm_score": op8_hmm_score,
     "op9_packing": op9_packing,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_nearest": op11_nearest,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_collocations": op13_collocations,
 }

@@ -9,8 +9,9 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from folioscan.llm import collocations, periodic_runs, queries
+from folioscan.llm import collocations, nearest, periodic_runs, queries
 
 
 def brute_lyndon(codes):
@@ -159,3 +160,74 @@ def test_collocations_odd_rows(spark, odd_documents):
     big = spark.createDataFrame([(10**12, 10**13)], "a long, n long")
     product = (collocations._exact(big.a) * collocations._exact(big.n) * 1000).cast("decimal(38,0)")
     assert int(big.select(product).first()[0]) == 10**28
+
+
+def brute_nearest(rows, k, asked):
+    """Exact answers for distinct (id, vector) rows that take part."""
+    good = {}
+    for vec_id, v in rows:
+        if vec_id is not None and v is not None and all(x is not None and math.isfinite(x) for x in v) and any(v):
+            good[vec_id, tuple(np.float32(x).item() + 0.0 for x in v)] = None
+    found = {}
+    for q_id, q in good:
+        if asked(q_id):
+            scored = []
+            for vec_id, v in good:
+                if vec_id != q_id and len(v) == len(q):
+                    total = 0.0
+                    for x, y in zip(q, v):
+                        total += x * y
+                    scored.append((-total, vec_id))
+            found[q_id, q] = [(vec_id, -s) for s, vec_id in sorted(scored)[:k]]
+    return found
+
+
+def recall_of(got, want, k):
+    """Share of the exact neighbours found; every score must be exact and in order."""
+    by_query = collections.defaultdict(list)
+    for r in sorted(got, key=lambda r: (r["query_id"], r["rank"])):
+        by_query[r["query_id"]].append((r["vec_id"], r["score"]))
+    assert set(by_query) == {q for (q, _), near in want.items() if near}
+    hits = total = 0
+    for (q, _), near in want.items():
+        mine = by_query[q]
+        assert len(mine) == len(near) and mine == sorted(mine, key=lambda x: (-x[1], x[0]))
+        hits += len(set(mine) & set(near))
+        total += len(near)
+    return hits / total
+
+
+@pytest.mark.parametrize("kind", ["unit", "clusters", "lengths"])
+def test_nearest_recall(spark, kind):
+    rng = np.random.default_rng(5)
+    n, d = 3000, 24
+    x = rng.normal(size=(n, d))
+    if kind == "clusters":
+        x = rng.normal(size=(12, d))[rng.integers(0, 12, n)] * 4 + 0.3 * x
+    if kind == "lengths":
+        x *= rng.lognormal(0, 0.7, (n, 1))
+    else:
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [(i, [float(np.float32(c)) for c in v]) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = nearest.nearest(df, F.col("id") % 20 == 0, shard_size=800).collect()
+    assert recall_of(got, brute_nearest(rows, 20, lambda i: i % 20 == 0), 20) >= 0.95
+
+
+def test_nearest_odd_rows(spark):
+    rng = np.random.default_rng(6)
+    one = lambda: [float(np.float32(c)) for c in rng.normal(size=5)]
+    common, rows = one(), []
+    rows += [(i, common) for i in range(0, 300)] + [(i, one()) for i in range(300, 500)] + [(7, common)] * 5
+    rows += [(500, None), (None, one()), (502, [0.0] * 5), (503, []), (504, [1.0, None, 2.0, 0.0, 0.0]), (505, [math.nan] + one()[1:]),
+             (506, [math.inf] * 5), (520, [1.0, 2.0]), (521, [2.0, 1.0]), (540, [-0.0, 0.0, 1.0, 0.0, 0.0]), (541, [0.0, 0.0, 1.0, 0.0, 0.0]),
+             (560, [1e30] * 5), (580, [3.0])]
+    df = spark.createDataFrame([(*r, 1, "s", 2.0) for r in rows], "vec_id long, embedding array<float>, rank int, shard string, score double")
+    want = brute_nearest(rows, 20, lambda i: i % 20 == 0)
+    for settings in ({}, {"shard_size": 64}):
+        got = nearest.nearest(df, F.col("id") % 20 == 0, **settings).collect()
+        assert recall_of(got, want, 20) == 1.0
+    assert nearest.nearest(df.limit(0), F.col("id") % 20 == 0).count() == 0
+    assert nearest.nearest(df, F.col("id") < 0).count() == 0
+    few = df.filter("vec_id in (520, 521)")
+    assert [tuple(r) for r in nearest.nearest(few, F.col("id") == 520).collect()] == [(520, 1, 521, 4.0)]
