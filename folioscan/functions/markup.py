@@ -133,14 +133,14 @@ def table_rows(body: Column) -> Column:
     return F.filter(rows, lambda row: F.size(row["cells"]) >= MIN_CELLS)
 
 
-def needs_parser(html: Column) -> Column:
-    """Pages whose table body is beyond the patterns, given as ``visible`` leaves them.
+def markup_in_values(html: Column) -> Column:
+    """Whether a quoted value of a tag holds markup, in a page as ``visible`` leaves it."""
+    return html.rlike(_MARKUP_IN_VALUE)
 
-    These have a table or body inside the body, or markup inside a quoted value
-    of a tag. Null if there is no table body.
-    """
-    body = table_body(html)
-    return body.rlike(r"<[Tt](?:[Aa][Bb][Ll][Ee]|[Bb][Oo][Dd][Yy])\b") | body.isNotNull() & html.rlike(_MARKUP_IN_VALUE)
+
+def has_inner_tables(body: Column) -> Column:
+    """Whether a table body, as ``table_body`` cuts it, has a table or body inside. Null if there is no body."""
+    return body.rlike(r"<[Tt](?:[Aa][Bb][Ll][Ee]|[Bb][Oo][Dd][Yy])\b")
 
 
 def pager_tag(html: Column) -> Column:

@@ -1,12 +1,12 @@
-"""Tolerant HTML reading for the few pages that the column expressions cannot take.
+"""Tolerant HTML reading on the standard library parser, for what has no column form.
 
-A small per-page helper on the standard library parser. It is only given pages
-with nested tables or with markup inside quoted values; all others stay in the JVM.
+A small per-page helper: the class around a pager link whose parent is not the tag
+before it, and the SQL table function ``html_rows``. Listing rows do not need it; tests
+hold them against it.
 """
 
 from __future__ import annotations
 
-from html import escape
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -117,20 +117,6 @@ def rows_of(html: str) -> list[dict]:
     return _rows(_read(html))
 
 
-def _tag(link: dict) -> str:
-    names = ("href", fixed.ENTRY_NAME_ATTRIBUTE, fixed.LINK_NAME_ATTRIBUTE)
-    pairs = (f'{name}="{escape(value, quote=False).replace(chr(34), "&quot;")}"' for name, value in zip(names, link.values()))
-    return f"<a {' '.join(pairs)}>"
-
-
-def plain_body_of(html: str) -> str:
-    """The first table body rewritten without nesting, as the column expressions expect it."""
-    def cell(item: dict) -> str:
-        return f"<td>{escape(''.join(item['texts']), quote=False)}{''.join(map(_tag, item['links']))}</td>"
-
-    return "".join(f"<tr>{''.join(map(cell, cells))}</tr>" for cells in _read(html).rows)
-
-
 def pager_parent_class_of(html: str) -> str:
     """Class of the element around the next-page link."""
     links = _read(html).pager
@@ -148,11 +134,6 @@ def _alone(read, page: str | None) -> tuple[str | None, str | None]:
         return None, f"{type(problem).__name__}: {problem}"
 
 
-@F.pandas_udf(T.StructType([T.StructField("body", T.StringType()), T.StructField("error", T.StringType())]))
-def plain_body(html: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([_alone(plain_body_of, page) for page in html], columns=["body", "error"])
-
-
 @F.pandas_udf(T.StringType())
 def pager_parent_class(html: pd.Series) -> pd.Series:
     return html.map(lambda page: _alone(pager_parent_class_of, page)[0])

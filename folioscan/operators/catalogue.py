@@ -125,13 +125,13 @@ class Catalogue:
         return entries_of(numbered_files(first, self.start))
 
 
-def build_catalogue(pages: DataFrame, base_url: str, tolerant: bool = True, start: int = 1) -> Catalogue:
+def build_catalogue(pages: DataFrame, base_url: str, start: int = 1) -> Catalogue:
     """Parse and code the pages once, write the narrow result, derive the rest from it.
 
     The pages are the large input; writing the coded rows means they are read
     and parsed once although numbering needs two passes.
     """
-    coded = coded_rows(listing_rows(pages, tolerant, names=("entry_name",)), base_url)
+    coded = coded_rows(listing_rows(pages, names=("entry_name",)), base_url)
     return Catalogue(written(coded, "coded-rows"), start)
 
 

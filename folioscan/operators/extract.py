@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from folioscan import fixed_values as fixed, schemas
-from folioscan.functions import markup, metadata, urls
-from folioscan.functions.markup_parser import pager_parent_class, plain_body
+from folioscan.functions import markup, metadata, nesting, urls
+from folioscan.functions.markup_parser import pager_parent_class
+from folioscan.functions.text import strip
 
 _NAME_ATTRIBUTES = {"entry_name": fixed.ENTRY_NAME_ATTRIBUTE, "link_name": fixed.LINK_NAME_ATTRIBUTE}
 
@@ -61,38 +62,31 @@ def _cell_links(cell: Column, names: tuple[str, ...]) -> Column:
     )
 
 
-def _parsed(pages: DataFrame) -> DataFrame:
-    """The pages for the parser, with what it makes of them."""
-    hard = pages.filter(markup.needs_parser(markup.visible(F.col("html"))))
-    return hard.select("page_no", plain_body(F.col("html")).alias("parsed"))
+def _tidy_pages(pages: DataFrame) -> DataFrame:
+    """page_no and what can be seen of the page, free of markup inside values."""
+    seen = pages.select("page_no", markup.visible(F.col("html")).alias("seen"))
+    tidy = F.when(markup.markup_in_values(F.col("seen")), nesting.without_markup_in_values(F.col("seen")))
+    return seen.select("page_no", F.coalesce(tidy, F.col("seen")).alias("seen"))
 
 
 def rejected_pages(pages: DataFrame) -> DataFrame:
-    """Pages whose rows cannot be read, and why: ``page_no, error``."""
-    return _parsed(pages).select("page_no", "parsed.error").filter(F.col("error").isNotNull())
+    """Pages that have no rows to read, and why: ``page_no, error``."""
+    body = _tidy_pages(pages).select("page_no", "seen", markup.table_body(F.col("seen")).alias("body"))
+    error = F.when(strip(F.coalesce("seen", F.lit(""))) == "", F.lit("no html")).when(F.col("body").isNull(), F.lit("no table body"))
+    return body.select("page_no", error.alias("error")).filter(F.col("error").isNotNull())
 
 
-def listing_rows(
-    pages: DataFrame, tolerant: bool = True, names: tuple[str, ...] = ("entry_name", "link_name")
-) -> DataFrame:
+def listing_rows(pages: DataFrame, names: tuple[str, ...] = ("entry_name", "link_name")) -> DataFrame:
     """Rows of the first table body that have five cells or more.
 
-    Column expressions read the rows. With ``tolerant``, pages that they cannot
-    take (nested tables, markup in quoted values) go through the Python parser
-    in a branch of their own, behind a filter; no other page gets there. Pages
-    that the parser cannot take either are in ``rejected_pages``.
+    One scan of the pages and no exchange: every page is made visible once, and
+    what its body needs is decided once. Bodies with tables inside are cut by
+    level (``nesting``), all others by splitting at start tags; both come out as
+    the same array of rows. Pages without a body are in ``rejected_pages``.
     """
-    seen = markup.visible(F.col("html"))
-    body = markup.table_body(F.col("seen"))
-    if tolerant:
-        # null bodies have no rows, so the branch of plain pages needs no filter
-        plain = pages.select("page_no", seen.alias("seen")).select(
-            "page_no", F.when(~markup.needs_parser(F.col("seen")), body).alias("body")
-        )
-        bodies = plain.unionByName(_parsed(pages).select("page_no", "parsed.body"))
-    else:
-        bodies = pages.select("page_no", seen.alias("seen")).select("page_no", body.alias("body"))
-    rows = bodies.select("page_no", F.inline(markup.table_rows(F.col("body"))))
+    bodies = _tidy_pages(pages).select("page_no", "seen", markup.table_body(F.col("seen")).alias("body"))
+    rows = F.when(markup.has_inner_tables(F.col("body")), nesting.nested_rows(F.col("seen"), markup.MIN_CELLS))
+    rows = bodies.select("page_no", F.inline(rows.otherwise(markup.table_rows(F.col("body")))))
     rows = rows.select("page_no", "row_no", markup.cell_contents(F.col("cells")).alias("cells"))
     return rows.select(
         "page_no",

@@ -60,28 +60,21 @@ def test_extraction_is_narrow_and_in_the_jvm(spark, tmp_path):
     pages = _pages(spark, tmp_path)
     for df in (
         extract.page_links(pages, fx.BASE_URL),
-        extract.listing_rows(pages, tolerant=False),
-        catalogue.coded_rows(extract.listing_rows(pages, tolerant=False), fx.BASE_URL),
+        extract.listing_rows(pages),
+        catalogue.coded_rows(extract.listing_rows(pages), fx.BASE_URL),
     ):
         plan = _plan(df)
         assert "Exchange" not in plan and "Python" not in plan
         assert "ReadSchema: struct<page_no:bigint,html:string>" in plan
 
 
-def test_plain_pages_meet_no_python(spark, tmp_path):
+def test_listing_pages_are_scanned_once_and_meet_no_python(spark, tmp_path):
     rows = extract.listing_rows(_pages(spark, tmp_path))
     coded = catalogue.coded_rows(rows, fx.BASE_URL)
     for df in (reports.summary(catalogue.accepted_files(coded)), coded, extract.distinct_values(rows)):
         plan = _plan(df)
-        plain, parsed = _branches(plan)
-        assert "Python" not in plain and "ArrowEvalPython" in parsed
-        assert plain.count("html#") <= 4  # scan and the first step only
-
-
-def _branches(plan: str) -> tuple[str, str]:
-    """What stands below the union of plain and parsed pages, each down to its scan."""
-    plain, parsed = plan.split("Union", 1)[1].split("FileScan", 1)
-    return plain, parsed
+        assert plan.count("FileScan") == 1 and "Python" not in plan
+        assert plan.count("html#") <= 4  # scan and the first step only
 
 
 def test_page_limit_and_codes_are_pushed_down(spark, tmp_path):
@@ -95,7 +88,7 @@ def test_page_limit_and_codes_are_pushed_down(spark, tmp_path):
 
 
 def test_rules_run_once_when_codes_are_filtered(spark, tmp_path):
-    coded = catalogue.coded_rows(extract.listing_rows(_pages(spark, tmp_path), tolerant=False), fx.BASE_URL)
+    coded = catalogue.coded_rows(extract.listing_rows(_pages(spark, tmp_path)), fx.BASE_URL)
     plan = _plan(catalogue.accepted_files(coded))
     assert plan.count("THEN HIST_GEO_EMC") == 1
 
