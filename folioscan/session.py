@@ -9,13 +9,12 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.streaming.stateStore.providerClass": (
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-    ),
+    "spark.sql.streaming.stateStore.providerClass": STATE_STORE,
 }
 _local_folder: str | None = None
 _shipped_to = None
@@ -71,14 +70,23 @@ def new_path(spark: SparkSession, label: str) -> str:
 
 def drop_tables(spark: SparkSession) -> int:
     """Delete the intermediate tables that this process has written; frames over them can be read no more."""
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     gone = 0
     while _made:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_made.pop())
-        gone += path.getFileSystem(conf).delete(path, True)
+        gone += drop_path(spark, _made.pop())
     return gone
 
 
+def drop_path(spark: SparkSession, path: str) -> bool:
+    """Delete a folder, wherever Spark can reach it; whether it was there."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write the table to the shared folder and read it back.
 

@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 from folioscan import schemas
 from folioscan.operators import catalogue, extract, fetch, links
 from folioscan.plans import download
+from folioscan.session import STATE_STORE, drop_path
 from folioscan.sources import sinks
 
 
@@ -32,6 +33,8 @@ def stream_responses(spark: SparkSession, folder: str, files_per_batch: int | No
 
 
 def _start(df: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, mode: str) -> StreamingQuery:
+    """Run all that has landed, batch by batch; state is kept in RocksDB, on the disks of the executors."""
+    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     return (
         df.writeStream.outputMode(mode)
         .foreachBatch(handle)
@@ -41,82 +44,98 @@ def _start(df: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint:
     )
 
 
-def start_new_links(pages: DataFrame, base_url: str, output: str, checkpoint: str, **options) -> StreamingQuery:
-    """Links not seen before in the stream, one row per URL.
+def fresh_links(found: DataFrame) -> DataFrame:
+    """Links of a stream whose URL no earlier batch has had, each with its first place in the batch.
 
-    The seen URLs are kept as long as the stream lives, as there is no time
-    after which a link counts as new again. Use the RocksDB state store.
+    For update mode. The state holds the time of the batch that a URL was first seen in,
+    which a repeated batch finds unchanged: only URLs first seen now are let through. As an
+    aggregation it has a map-side part, so a URL that fills a third of the links gives
+    one row for each task and batch. Seen URLs are kept as long as the stream lives.
     """
-    fresh = extract.page_links(pages, base_url, **options).dropDuplicates(["url"])
+    first = F.min(F.struct("seen", "page_no", "link_no", "data_name"))
+    known = found.withColumn("seen", F.current_timestamp()).groupBy("url").agg(first.alias("first"))
+    return known.filter(F.col("first.seen") == F.current_timestamp()).select(
+        "url", "first.page_no", "first.link_no", "first.data_name"
+    )
+
+
+def start_new_links(pages: DataFrame, base_url: str, output: str, checkpoint: str, **options) -> StreamingQuery:
+    """Links not seen before in the stream, one row per URL."""
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{output}/batch={number}")
 
-    return _start(fresh, write, checkpoint, "append")
+    return _start(fresh_links(extract.page_links(pages, base_url, **options)), write, checkpoint, "update")
 
 
-def start_distinct_values(pages: DataFrame, output: str, checkpoint: str) -> StreamingQuery:
-    """Running counts of raw label values; each batch writes only what changed."""
-    counts = extract.label_values(extract.listing_rows(pages)).groupBy("field", "value").agg(F.count("*").alias("n"))
+def _write_state(output: str) -> Callable[[DataFrame, int], None]:
+    """Each batch writes all that is known; tables before the last one are dropped, as no repeated batch needs them."""
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.withColumn("at", F.lit(number)).write.mode("overwrite").parquet(f"{output}/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{output}/batch={number}")
+        drop_path(batch.sparkSession, f"{output}/batch={number - 2}")
+
+    return write
+
 
-    return _start(counts, write, checkpoint, "update")
+def _latest(spark: SparkSession, output: str) -> DataFrame:
+    """The last written state; its batch number is found from the folders alone."""
+    known = spark.read.parquet(output)
+    last = known.agg(F.max("batch").alias("batch"))
+    return known.join(F.broadcast(last), "batch").drop("batch")
+
+
+def start_distinct_values(pages: DataFrame, output: str, checkpoint: str) -> StreamingQuery:
+    """Running counts of raw label values: one row for each value, however many batches there were."""
+    counts = extract.label_values(extract.listing_rows(pages)).groupBy("field", "value").agg(F.count("*").alias("n"))
+    return _start(counts, _write_state(output), checkpoint, "complete")
 
 
 def latest_distinct_values(spark: SparkSession, output: str) -> DataFrame:
-    """Current counts from the written changes."""
-    changes = spark.read.parquet(output)
-    return changes.groupBy("field", "value").agg(F.max_by("n", "at").alias("n"))
+    """Current counts: ``field, value, n``."""
+    return _latest(spark, output).select("field", "value", "n")
 
 
 def start_statistics(responses: DataFrame, output: str, checkpoint: str) -> StreamingQuery:
-    """Running number and bytes of valid responses per file type; every batch writes all of them."""
+    """Running number and bytes of valid responses per file type."""
     good = fetch.described(responses).filter(F.col("error").isNull() & F.col("valid"))
     counts = good.groupBy("extension").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
-
-    def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{output}/batch={number}")
-
-    return _start(counts, write, checkpoint, "complete")
+    return _start(counts, _write_state(output), checkpoint, "complete")
 
 
 def latest_statistics(spark: SparkSession, output: str) -> DataFrame:
-    """The last written state."""
-    changes = spark.read.parquet(output)
-    last = changes.agg(F.max("batch").alias("batch"))
-    return changes.join(F.broadcast(last), "batch").select("extension", "n", "bytes")
+    """Current statistics: ``extension, n, bytes``."""
+    return _latest(spark, output).select("extension", "n", "bytes")
 
 
 def start_page_by_page(pages: DataFrame, base_url: str, output: str, checkpoint: str) -> StreamingQuery:
     """After each batch of pages: its entries, its new links, and the entry of each new link.
 
-    Ids go on from the highest id so far, which each batch leaves in a table of
-    one row for the next. Earlier means written by a batch with a lower number, so
-    repeating a batch gives the same rows. A link counts as new when no earlier
-    batch wrote it. The files also go into the layout by year and subject, below a
-    folder for the batch.
-    """
+    Coded rows and new links leave the stream as one table, which is written once for each
+    batch (``items``, by kind); all else is made from that. What is new is known from the
+    state of the stream: nothing that earlier batches wrote is read again, but for one
+    row with their highest id. The work for a batch depends on its own pages only.
 
-    def earlier(spark: SparkSession, kind: str, number: int) -> DataFrame | None:
-        if number == 0:
-            return None
-        return spark.read.parquet(f"{output}/{kind}").filter(F.col("batch") < number)
+    A repeated batch gives the same rows in the same folders. Files also go into the layout
+    by year and subject, below a folder for the batch.
+    """
+    rows = catalogue.coded_rows(extract.listing_rows(pages, names=("entry_name",)), base_url)
+    fresh = fresh_links(extract.page_links(pages, base_url))
+    items = rows.withColumn("kind", F.lit("row")).unionByName(fresh.withColumn("kind", F.lit("link")), allowMissingColumns=True)
 
     def handle(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
+        batch.write.mode("overwrite").partitionBy("kind").parquet(f"{output}/items/batch={number}")
+        held = spark.read.schema(items.schema).parquet(f"{output}/items/batch={number}")
+        coded = held.filter("kind = 'row'").select(*rows.columns)
         highest = spark.read.parquet(f"{output}/last/batch={number - 1}").first()["id"] if number else 0
-        built = catalogue.build_catalogue(batch, base_url, start=highest + 1)
-        built.files.write.mode("overwrite").parquet(f"{output}/files/batch={number}")
+        catalogue.Catalogue(coded, highest + 1).files.write.mode("overwrite").parquet(f"{output}/files/batch={number}")
         files = spark.read.parquet(f"{output}/files/batch={number}")
         last = files.agg(F.coalesce(F.max("id"), F.lit(highest)).cast("bigint").alias("id"))
         last.write.mode("overwrite").parquet(f"{output}/last/batch={number}")
         plan = download.with_target_path(download.download_plan(files))
         sinks.write_by_year_and_subject(plan, f"{output}/layout/batch={number}")
-        found = extract.page_links(batch, base_url)
-        seen = earlier(spark, "links", number)
-        fresh = links.first_links(found) if seen is None else links.unseen_links(found, seen)
-        links.with_entries(fresh, files).write.mode("overwrite").parquet(f"{output}/links/batch={number}")
+        new = held.filter("kind = 'link'").select(*fresh.columns)
+        links.with_entries(new, files).write.mode("overwrite").parquet(f"{output}/links/batch={number}")
 
-    return _start(pages, handle, checkpoint, "append")
+    return _start(items, handle, checkpoint, "update")
