@@ -87,6 +87,15 @@ def history_of(fetched: DataFrame) -> DataFrame:
     )
 
 
+def stored_bodies(responses: DataFrame, fetched: DataFrame) -> DataFrame:
+    """``filepath, content`` of the responses that are stored, for ``sinks.write_bodies``.
+
+    Attempts are known by URL, number and time; bodies are brought to their paths in one join.
+    """
+    stored = fetched.filter(F.col("outcome") == "successful").select("url", "attempt_no", "attempt_ts", "filepath")
+    return responses.select("url", "attempt_no", "attempt_ts", "content").join(stored, ["url", "attempt_no", "attempt_ts"]).select("filepath", "content")
+
+
 def failures_of(fetched: DataFrame) -> DataFrame:
     """Fetches that raised, one row per attempt."""
     return fetched.filter(F.col("outcome") == "error").select(

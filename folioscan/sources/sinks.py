@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from folioscan import fixed_values as fixed
+from folioscan.session import path_exists, ship_package
+from folioscan.sources.bodies import BodySink
 
 
 def write_validation_report(report: DataFrame, path: str) -> None:
@@ -27,6 +29,19 @@ def write_failures(failures: DataFrame, path: str) -> bool:
     return True
 
 
+def read_failures(spark: SparkSession, path: str) -> DataFrame:
+    """``url, error, timestamp`` of the failures that were written; no rows if there were none to write."""
+    schema = "url string, error string, timestamp timestamp"
+    return spark.read.schema(schema).json(path) if path_exists(spark, path) else spark.createDataFrame([], schema)
+
+
+def write_bodies(bodies: DataFrame, path: str) -> None:
+    """Each body (``filepath, content``) as a file below the folder; see ``bodies.BodySink``."""
+    spark = ship_package(bodies.sparkSession)
+    spark.dataSource.register(BodySink)
+    bodies.select("filepath", "content").write.format(BodySink.name()).mode("append").save(path)
+
+
 def write_by_year_and_subject(files: DataFrame, path: str, by_year: bool = True, by_subject: bool = True) -> None:
     """Table partitioned like the folder layout; a missing level becomes the default partition.
 

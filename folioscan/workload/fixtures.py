@@ -9,10 +9,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+NARROW = ("orders",)
 BASE_URL = "https://listing.example.org/archive/list"
 ORIGIN = "https://listing.example.org"
 
 # One row per order; orders with status P have a second link, urgent ones without a name.
+# Some rows have no document link at all.
 LISTING_ROWS = """
 WITH base AS (
   SELECT CAST(o_orderkey AS BIGINT) AS k, o_orderstatus AS status, o_orderpriority AS priority,
@@ -40,7 +42,8 @@ SELECT b.k AS row_key,
        CAST(b.k%50 AS BIGINT)+1 AS row_no,
        b.y || s.session_sfx AS session_txt,
        d.discipline_txt, r.serie_txt, l.localisation_txt,
-       '/document/' || CAST(50000 + b.k % 9973 AS VARCHAR(10)) || '/download' AS href,
+       CASE WHEN b.k % 29 = 4 AND b.status <> 'P' THEN '/note/' || CAST(b.k AS VARCHAR(10))
+            ELSE '/document/' || CAST(50000 + b.k % 9973 AS VARCHAR(10)) || '/download' END AS href,
        CASE WHEN f.i = 3 THEN ''
             ELSE substr(b.y,3,2) || 'gen' || CAST(b.k AS VARCHAR(10))
                  || f.sfx || '|' || CAST(50000 + b.k % 9973 AS VARCHAR(10)) END AS data_name,
@@ -86,14 +89,15 @@ WITH cells AS (
            discipline_txt, ' </td><td>', serie_txt, '</td><td><span> ', localisation_txt, '</span><!-- x --></td>',
            '<td class="views-field-link"><a href="', href, '" data-atl-name="', data_name, '" data-ati-name="', data_name,
            '">Lien</a>',
-           coalesce(concat(' <a title="a ', CASE WHEN page_no % 50 = 3 THEN '<td> </table>' ELSE '>' END, ' b" href=''', href2, ''' data-atl-name="', data_name2, '" data-ati-name="',
+           coalesce(concat(' <a title="a ', CASE WHEN page_no % 5 = 3 THEN '<td> </table>' ELSE '>' END, ' b" href=''', href2, ''' data-atl-name="', data_name2, '" data-ati-name="',
                            data_name2, '">Annexe</a>'), ''),
+           CASE WHEN page_no % 7 = 2 THEN '<table><tbody><td>note</td></tbody></table>' ELSE '' END,
            '<a href="/aide">Aide</a></td></tr>\\n') AS row_html
   FROM {rows}),
 bodies AS (
   SELECT page_no, listagg(row_html, '') WITHIN GROUP (ORDER BY row_no) AS body FROM cells GROUP BY page_no)
 SELECT page_no, concat('{base}?page=', page_no) AS url,
-  concat('<!DOCTYPE html>', CASE WHEN page_no % 100 = 3 THEN '<![foo[x]]>' ELSE '' END, '<html><head><script>var x = ''<a href="/document/999/download">'';</script></head><body>',
+  concat('<!DOCTYPE html>', CASE WHEN page_no % 10 = 3 THEN '<![foo[x]]>' ELSE '' END, '<html><head><script>var x = ''<a href="/document/999/download">'';</script></head><body>',
          '<!-- <a href="/document/999/download">old</a> --><a href="/aide">Aide</a>',
          '<table><thead><tr><th>Session</th></tr></thead><tbody>', body,
          '<tr><td>1</td><td>2</td><td>3</td><td>4</td></tr></tbody></table>',
@@ -103,14 +107,17 @@ SELECT page_no, concat('{base}?page=', page_no) AS url,
 FROM bodies
 """
 
+# Ends of archives, in hex: whole, and with a comment.
+TAILS = {"fr": "504B0506000000000000000000000000000000000000", "en": "504B05060000000000000000000000000000000003006E6F74"}
+
 # Attempts per URL: failing ones are tried three times; some bodies are cut short, so that they are invalid.
 _RESPONSES = """
 WITH attempts(failing, attempt_no) AS (VALUES (0, 1), (1, 1), (1, 2), (1, 3)),
 types(i, content_type) AS (VALUES (0, 'application/pdf'), (1, 'application/zip; charset=x'),
   (2, 'application/octet-stream'), (3, 'text/html'), (4, ''), (5, 'Application/MSWORD')),
 heads(i, head) AS (VALUES (0, X'25504446'), (1, X'504B0304'), (2, X'D0CF11E0A1B11AE1'), (3, X'7B5C727466'), (4, X'')),
-tails(lang, tail) AS (VALUES ('fr', X'504B0506000000000000000000000000000000000000'),
-  ('en', X'504B05060000000000000000000000000000000003006E6F74')),
+tails(lang, tail) AS (VALUES ('fr', X'{tail_fr}'),
+  ('en', X'{tail_en}')),
 docs AS (SELECT doc_id, lang, CASE WHEN doc_id % 31 = 3 THEN substr(text, 1, 40) ELSE text END AS text, CASE WHEN doc_id % 23 = 0 THEN 1 ELSE 0 END AS failing FROM {documents})
 SELECT concat('{origin}/document/', 50000 + doc_id, '/download') AS url,
        attempt_no, timestamp_ntz'2024-01-01 00:00:00' AS attempt_ts, content_type,
@@ -126,8 +133,9 @@ LEFT JOIN tails ON tails.lang = docs.lang AND doc_id % 5 = 1
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table; dealt out, as each of them is a single row group here."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet").repartition(spark.sparkContext.defaultParallelism)
+    """A driver table by the scan's own splits; narrow ones are dealt out, as each is a single row group here."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return df.repartition(spark.sparkContext.defaultParallelism) if name in NARROW else df
 
 
 def listing_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,7 +160,10 @@ def landed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Landed responses: one per document, three failures for some."""
-    return spark.sql(_RESPONSES.replace("{origin}", ORIGIN), documents=table(spark, sf_dir, "documents"))
+    sql = _RESPONSES.replace("{origin}", ORIGIN)
+    for lang, tail in TAILS.items():
+        sql = sql.replace(f"{{tail_{lang}}}", tail)
+    return spark.sql(sql, documents=table(spark, sf_dir, "documents"))
 
 
 def landed_files(spark: SparkSession, sf_dir: str, placed_plan: DataFrame) -> DataFrame:
@@ -171,6 +182,14 @@ def landed_files(spark: SparkSession, sf_dir: str, placed_plan: DataFrame) -> Da
     )
 
 
+def odd_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The landed pages, and for each page of the web one more: whole, empty, null, or without a table body."""
+    landed = landed_pages(spark, sf_dir)
+    html = F.when(F.col("page_no") % 3 == 0, F.col("html")).when(F.col("page_no") % 3 == 1, F.lit(" \n"))
+    web = pages_table(spark, sf_dir).select((-F.col("page_no") - 1).alias("page_no"), "url", html.alias("html"))
+    return landed.unionByName(web)
+
+
 def pages_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The driver's web pages under the names of landed pages."""
     return table(spark, sf_dir, "pages").select(F.col("page_id").alias("page_no"), "url", "html")

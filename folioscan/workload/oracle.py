@@ -7,7 +7,7 @@ rendered from ``LISTING_ROWS``, which therefore is their expected content.
 
 from __future__ import annotations
 
-from folioscan.workload.fixtures import BASE_URL, LINK_NAMES, LISTING_ROWS, ORIGIN
+from folioscan.workload.fixtures import BASE_URL, LINK_NAMES, LISTING_ROWS, ORIGIN, TAILS
 
 _EDGE = r"[^\p{L}\p{N}_]"
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(28) || chr(29) || chr(30) || chr(31) || chr(133) || chr(160)"
@@ -138,7 +138,7 @@ _RELATIONS: dict[str, tuple[str, tuple[str, ...]]] = {
     "rows_fx": (LISTING_ROWS.replace("{orders}", "orders"), ()),
     "names_fx": (LINK_NAMES.replace("{orders}", "orders"), ()),
     "cell_links": (
-        """SELECT * EXCLUDE (href, data_name, href2, data_name2), 1 AS file_no, href, data_name FROM rows_fx
+        """SELECT * EXCLUDE (href, data_name, href2, data_name2), 1 AS file_no, href, data_name FROM rows_fx WHERE href LIKE '/document/%'
            UNION ALL
            SELECT * EXCLUDE (href, data_name, href2, data_name2), 2, href2, data_name2 FROM rows_fx WHERE href2 IS NOT NULL""",
         ("rows_fx",),
@@ -161,7 +161,8 @@ _RELATIONS: dict[str, tuple[str, tuple[str, ...]]] = {
     "entries": (
         """SELECT *, row_number() OVER (ORDER BY page_no, row_no) AS id,
                   CASE WHEN href2 IS NULL THEN 1 ELSE 2 END AS files_count
-           FROM coded WHERE session IS NOT NULL AND discipline IS NOT NULL AND serie IS NOT NULL AND localisation IS NOT NULL""",
+           FROM coded WHERE session IS NOT NULL AND discipline IS NOT NULL AND serie IS NOT NULL AND localisation IS NOT NULL
+             AND href LIKE '/document/%'""",
         ("coded",),
     ),
     "named": (
@@ -396,7 +397,8 @@ ORACLES: dict[str, str] = {
         "SELECT id, CAST(count(*) AS INTEGER) AS n, string_agg(filename, '/' ORDER BY file_no) AS names FROM files GROUP BY id", "files"
     ),
     "rejected_rows": _with(
-        " UNION ALL ".join(f"SELECT page_no, row_no, '{c}' AS field FROM coded WHERE {c} IS NULL" for c in ("session", "discipline", "serie", "localisation")),
+        " UNION ALL ".join(f"SELECT page_no, row_no, '{c}' AS field FROM coded WHERE {c} IS NULL" for c in ("session", "discipline", "serie", "localisation"))
+        + " UNION ALL SELECT page_no, row_no, 'files' FROM coded WHERE href NOT LIKE '/document/%'",
         "coded",
     ),
     "files_by_year": _with("SELECT page_no, row_no, file_no, year, download_url FROM files WHERE year = '2024'", "files"),
@@ -521,7 +523,17 @@ ORACLES: dict[str, str] = {
     ),
     "text_files": """SELECT lang, source, CAST(sum(octet_length(encode(text)) + 1) AS BIGINT) AS size,
                             sum(octet_length(encode(text)) + 1) >= 100 AS valid FROM documents GROUP BY lang, source""",
-    "landed_page_range": _with("SELECT page_no, link_no, url, data_name FROM page_links WHERE page_no <= 7", "page_links"),
+    "landed_page_range": _with("SELECT page_no, link_no, url, data_name FROM page_links", "page_links"),
+    "page_files": "SELECT page_id AS page_no, 'web/' || page_id || '.html' AS url, md5(html) AS digest FROM pages WHERE coalesce(html, '') <> ''",
+    "rejected_pages": """SELECT -page_id - 1 AS page_no, CASE WHEN page_id % 3 <> 0 OR trim(coalesce(html, '')) = '' THEN 'no html' ELSE 'no table body' END AS error
+        FROM pages WHERE page_id % 3 <> 0 OR NOT regexp_matches(regexp_replace(coalesce(html, ''), '(?is)<!--.*?-->|<script.*?</script>|<style.*?</style>', '', 'g'), '(?i)<tbody[ />]')""",
+    "stored_bodies": _with(
+        f"""SELECT i.filepath, i.size, md5(list_extract([from_hex('25504446'), from_hex('504B0304'), from_hex('D0CF11E0A1B11AE1'), from_hex('7B5C727466'), ''::BLOB], doc_id % 5 + 1)
+                 || encode(text) || CASE WHEN doc_id % 5 <> 1 THEN ''::BLOB WHEN lang = 'fr' THEN from_hex('{TAILS['fr']}')
+                                         WHEN lang = 'en' THEN from_hex('{TAILS['en']}') ELSE ''::BLOB END) AS digest
+            FROM ingested i JOIN bodies USING (url) WHERE outcome = 'successful'""",
+        "ingested", "bodies",
+    ),
     "detected_ext": _with("SELECT url, coalesce(header_ext, magic_ext) AS ext FROM bodies WHERE NOT failing", "bodies"),
     "zip_test": _with("SELECT url, is_zip FROM bodies WHERE NOT failing", "bodies"),
     "file_validate": _with(

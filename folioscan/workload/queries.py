@@ -495,11 +495,38 @@ def text_files(spark, sf_dir):
 
 @query
 def landed_page_range(spark, sf_dir):
-    """Links of the first pages of a landed table; the range reaches the scan."""
+    """Links of all pages of a landed table, from the first to the last; the range reaches the scan."""
     path = new_path(spark, "landed-pages")
     fx.landed_pages(spark, sf_dir).write.parquet(path)
-    pages = catalogue.limit_pages(landed.read_pages(spark, path), 7)
-    return extract.page_links(pages, fx.BASE_URL)
+    pages = landed.read_pages(spark, path)
+    last = pages.agg(F.max("page_no")).first()[0]
+    return extract.page_links(catalogue.limit_pages(pages, last or 1), fx.BASE_URL)
+
+
+@query
+def page_files(spark, sf_dir):
+    """The web pages as one HTML file each, written by the body sink, read back by number."""
+    path = new_path(spark, "page-files")
+    html = fx.pages_table(spark, sf_dir).filter(F.coalesce("html", F.lit("")) != "")
+    sinks.write_bodies(html.select(F.concat(F.col("page_no").cast("string"), F.lit(".html")).alias("filepath"), F.encode("html", "UTF-8").alias("content")), path)
+    pages = landed.read_page_files(spark, path, url_prefix="web/")
+    return pages.select("page_no", "url", F.md5(F.encode("html", "UTF-8")).alias("digest"))
+
+
+@query
+def rejected_pages(spark, sf_dir):
+    return extract.rejected_pages(fx.odd_pages(spark, sf_dir))
+
+
+@query
+def stored_bodies(spark, sf_dir):
+    """Bodies of all successful responses in files at their paths, read back from there."""
+    path = new_path(spark, "bodies")
+    responses = fx.responses(spark, sf_dir)
+    sinks.write_bodies(fetch.stored_bodies(responses, _fetched(spark, sf_dir)), path)
+    files = landed.read_files(spark, path)
+    inside = F.substring_index("path", path.rsplit("/", 1)[1] + "/", -1)
+    return files.select(inside.alias("filepath"), F.col("length").alias("size"), F.md5("content").alias("digest"))
 
 
 @query
@@ -569,7 +596,7 @@ def download_history(spark, sf_dir):
 def failed_downloads(spark, sf_dir):
     path = new_path(spark, "failures")
     sinks.write_failures(fetch.failures_of(_fetched(spark, sf_dir)), path)
-    return spark.read.schema("url string, error string").json(path)
+    return sinks.read_failures(spark, path).select("url", "error")
 
 
 @query

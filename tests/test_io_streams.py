@@ -1,10 +1,14 @@
 """Sources, sinks, archives and streams."""
 
+import collections
+import datetime
 import io
 import json
+import os
 import zipfile
 
 import pytest
+from pyspark.sql import DataFrameReader
 from pyspark.sql import functions as F
 
 from folioscan import fixed_values as fixed, schemas, session
@@ -118,6 +122,54 @@ def test_streams_go_on_where_they_stopped(spark, tmp_path):
     assert files.filter("batch = 1").agg(F.min("id")).first()[0] == 4
     found = {(r["batch"], r["url"].split("/")[-2], r["id"]) for r in spark.read.parquet(f"{out['pages']}/links").collect()}
     assert found == {(0, "1", 1), (0, "2", 2), (1, "3", 5), (1, "4", 7)}
+    # one row for each value, and no table but the last two
+    assert spark.read.parquet(out["values"]).filter(f"batch = {_batches(out['values'])[-1]}").count() == len(values)
+    assert len(_batches(out["values"])) <= 2
+
+
+def _batches(folder):
+    return sorted(int(name.split("=")[1]) for name in os.listdir(folder) if name.startswith("batch="))
+
+
+def test_page_stream_reads_its_own_batch_only(spark, tmp_path, monkeypatch):
+    """No batch reads links of earlier ones, and a URL of many links is one row for each task when it meets the state."""
+    folder, out = tmp_path / "landing", str(tmp_path / "out")
+    for n in range(1, 5):
+        _land(spark, folder, _page(n, *([7] * 200), 100 + n))
+    read = []
+    whole = DataFrameReader.parquet
+    monkeypatch.setattr(DataFrameReader, "parquet", lambda self, *paths, **k: read.extend(paths) or whole(self, *paths, **k))
+    pages = landing.stream_pages(spark, str(folder), files_per_batch=1)
+    stream = landing.start_page_by_page(pages, BASE, out, str(tmp_path / "state"))
+    stream.awaitTermination()
+    monkeypatch.undo()
+    assert read and not [p for p in read if "/links" in p]
+    by_kind = collections.Counter(p.split("/")[-2] for p in read)
+    assert by_kind == {"items": 4, "files": 4, "last": 3}
+    updated = [p["stateOperators"][0]["numRowsUpdated"] for p in stream.recentProgress if p["numInputRows"]]
+    assert updated == [2, 2, 2, 2]
+    plan = stream._jsq.explainInternal(False)
+    assert plan.index("partial_min") > plan.index("Exchange hashpartitioning(url")  # the tree is printed from the top
+    found = {(r["batch"], r["url"].split("/")[-2]) for r in spark.read.parquet(f"{out}/links").collect()}
+    assert {u for _, u in found} == {"7", "101", "102", "103", "104"} and len(found) == 5
+
+
+def test_repeated_batch_gives_the_same_rows(spark, tmp_path):
+    """A batch whose commit was lost runs again: same ids, same new links."""
+    folder, out, state = tmp_path / "landing", str(tmp_path / "out"), tmp_path / "state"
+    for n in range(1, 4):
+        _land(spark, folder, _page(n, 1, n + 1))
+
+    def run():
+        pages = landing.stream_pages(spark, str(folder), files_per_batch=1)
+        landing.start_page_by_page(pages, BASE, out, str(state)).awaitTermination()
+        rows = spark.read.parquet(f"{out}/links").select("url", "page_no", "id").collect()
+        return sorted(map(tuple, rows)), sorted(r["id"] for r in spark.read.parquet(f"{out}/files").collect())
+
+    before = run()
+    for name in ("2", ".2.crc"):
+        (state / "commits" / name).unlink()
+    assert run() == before
 
 
 def test_running_statistics(spark, tmp_path):
@@ -163,3 +215,55 @@ def test_text_files_are_bounded(spark, tmp_path, monkeypatch):
     assert {k: v[1] for k, v in got.items()} == {("en", "a"): True, ("en", "b"): False}  # 58 bytes are too few
     lines = [r["n"] for r in read(spark, paths[0], "*.txt").selectExpr("regexp_count(string(content), '\\n') AS n").collect()]
     assert sum(lines) == 20_000 and max(lines) <= 4096
+
+
+def _tree(folder):
+    return {str(p.relative_to(folder)): p.read_bytes() for p in folder.rglob("*") if p.is_file() and not p.name.endswith(".crc")}
+
+
+def test_body_sink(spark, tmp_path):
+    rows = [("2024/MATHS/é 1.pdf", b"%PDF" + b"x" * 2000), ("a/../../b.zip", b""), ("/c", b"1"), (None, b"2"), ("d", None), ("..", b"3"), ("2024/x", b"\x00")]
+    bodies = spark.createDataFrame(rows, "filepath string, content binary").repartition(3)
+    want = {"2024/MATHS/é 1.pdf": rows[0][1], "a/b.zip": b"", "c": b"1", "2024/x": b"\x00"}
+    for _ in range(2):  # a repeated job writes the same files
+        sinks.write_bodies(bodies, str(tmp_path / "out"))
+        assert _tree(tmp_path / "out") == want
+    sinks.write_bodies(bodies.limit(0), (tmp_path / "none").as_uri())
+    assert not (tmp_path / "none").exists() or _tree(tmp_path / "none") == {}
+    twice = spark.createDataFrame([("same", b"x")] * 50, "filepath string, content binary").repartition(4)
+    sinks.write_bodies(twice, str(tmp_path / "twice"))
+    assert _tree(tmp_path / "twice") == {"same": b"x"}
+    with pytest.raises(Exception, match="append"):
+        bodies.write.format("folio_bodies").mode("overwrite").save(str(tmp_path / "out"))
+
+
+def test_failed_body_job_leaves_whole_files_only(spark, tmp_path):
+    """Tasks that end before another fails have whole files; the failing task has none, and no folder stays behind."""
+    many = spark.range(0, 400, 1, 4).selectExpr(
+        "concat('t', spark_partition_id(), '/', id) AS filepath",
+        "if(id = 399, raise_error('lost'), encode(repeat('y', 5000), 'UTF-8')) AS content",
+    )
+    with pytest.raises(Exception, match="lost"):
+        sinks.write_bodies(many, str(tmp_path / "out"))
+    left = _tree(tmp_path / "out")
+    assert not [p for p in left if p.startswith(("t3/", "_bodies"))] and set(left.values()) <= {b"y" * 5000}
+    whole = many.withColumn("content", F.lit(b"z" * 100))
+    sinks.write_bodies(whole, str(tmp_path / "out"))
+    assert len(_tree(tmp_path / "out")) == 400 and set(_tree(tmp_path / "out").values()) == {b"z" * 100}
+
+
+def test_files_on_disk_equal_history(spark, tmp_path):
+    stamp = datetime.datetime(2024, 1, 1)
+    pdf = b"%PDF" + b"x" * 1100
+    rows = [(f"/document/{i}/download", 1, stamp, "application/pdf", pdf + bytes([i]), None) for i in range(20)]
+    rows += [("/document/3/download", 2, stamp, "application/pdf", pdf + b"again", None), ("/document/50/download", 1, stamp, "", None, "503"), ("/document/51/download", 1, stamp, "application/pdf", b"%PDF", None)]
+    responses = spark.createDataFrame(rows, schemas.RESPONSES)
+    plan = spark.createDataFrame(
+        [(i, 1, f"/document/{i}/download", f"{i}.pdf", str(i), "2024", "MATHS", "NORMAL", "GENERALE", False, "sujet") for i in range(60)],
+        "id bigint, file_no bigint, url string, filename string, file_id string, year string, subject string, session string, series string, is_correction boolean, document_type string",
+    )
+    fetched = session.written(fetch.ingested(responses, plan), "fetched")
+    sinks.write_bodies(fetch.stored_bodies(responses, fetched), str(tmp_path / "out"))
+    history = {r["filepath"]: r["size"] for r in fetch.history_of(fetched).collect()}
+    assert {path: len(body) for path, body in _tree(tmp_path / "out").items()} == history and len(history) == 20
+    assert sinks.read_failures(spark, str(tmp_path / "nothing")).count() == 0
