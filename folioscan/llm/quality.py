@@ -8,14 +8,23 @@ document is held against one threshold, which is placed where labelled documents
 took no part in the target separate best; losing a good one weighs ``good_weight``
 times as much as keeping a bad one. No labelled documents: no document is rejected.
 
+The labels know some kinds of text (languages, say) and not others. A bucket of words is
+foreign if the corpus fills it so often that the labelled documents should hold it
+``FOREIGN_LEAST`` times or more, and they hold it less than one in ``FOREIGN_SHARE`` times as
+often. Where more than one in ``FOREIGN_WORDS`` words of a document are foreign, the ratio says
+nothing about its quality, only about its kind: it is not judged by it (``abstained``), and
+the base rules alone decide. So labels of one language do not reject the others.
+
 Bounds: of the labelled documents at most ``max_labelled`` of either quality are used,
 those with the smallest hashes of their ids (their ids are broadcast: 8 bytes each).
-The corpus counts and the scores cover all texts whole. The model has 2 * buckets
+The corpus counts and the scores cover all texts whole, however long. The model has 3 * buckets
 numbers and is sent with the tasks.
 
 Rules: a null text is empty and has no words; a document without n-grams has score 0.
 Equal lines are compared as they are. Repeated rows get the same result. Labels with
-nulls are not used; other columns play no part. All of it is column expressions.
+nulls are not used; other columns play no part. An empty table gives an empty result.
+All of it is column expressions. Verdicts come out of a generator, so a filter on them runs
+after them and computes nothing twice.
 """
 
 from __future__ import annotations
@@ -31,6 +40,7 @@ from folioscan.llm.common import SPACE, SPACE_CHARACTERS, words
 BUCKETS = 1 << 14
 MAX_LABELLED = 20_000
 GOOD_WEIGHT = 20
+FOREIGN_LEAST, FOREIGN_SHARE, FOREIGN_WORDS = 5, 8, 8
 WINDOW = 5
 _BINS = 64  # of the score's histogram, for each unit
 
@@ -38,6 +48,7 @@ _BINS = 64  # of the score's histogram, for each unit
 class Model(NamedTuple):
     weights: str  # log ratios by bucket, comma-separated
     threshold: float
+    foreign: str  # 1 or 0 by bucket of words, comma-separated
 
 
 def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -104,12 +115,12 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     # an id with both labels says nothing
     both = both.groupBy("doc_id").agg(F.min("good").alias("good"), F.max("good").alias("other"), F.first("fit").alias("fit"))
     both = both.filter(F.col("good") == F.col("other")).drop("other")
-    target = both.filter(F.col("good") & F.col("fit")).select("doc_id", F.lit(1).alias("trusted"))
+    marks = both.select("doc_id", F.lit(1).alias("labelled"), F.when(F.col("good") & F.col("fit"), 1).alias("trusted"))
     counted = (
         _hashed(docs, doc_id, text)
-        .join(F.broadcast(target), "doc_id", "left")
-        .select("trusted", F.explode(grams("hashes", buckets)).alias("gram"))
-        .groupBy("gram").agg(F.count("*").alias("raw"), F.count("trusted").alias("target"))
+        .join(F.broadcast(marks), "doc_id", "left")
+        .select("labelled", "trusted", F.explode(grams("hashes", buckets)).alias("gram"))
+        .groupBy("gram").agg(F.count("*").alias("raw"), F.count("trusted").alias("target"), F.count("labelled").alias("labelled"))
         .collect()  # at most 2 * buckets rows
     )
     n_raw = sum(row["raw"] for row in counted) + smoothing * 2 * buckets
@@ -118,14 +129,18 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     for row in counted:
         ratios[row["gram"]] = math.log((row["target"] + smoothing) / n_target) - math.log((row["raw"] + smoothing) / n_raw)
     weights = ",".join(f"{x:.5f}" for x in ratios)
+    singles = [row for row in counted if row["gram"] < buckets]
+    share = sum(row["labelled"] for row in singles) / max(1, sum(row["raw"] for row in singles))
+    often = {row["gram"] for row in singles if share * row["raw"] >= FOREIGN_LEAST and FOREIGN_SHARE * row["labelled"] < share * row["raw"]}
+    foreign = ",".join("1" if gram in often else "0" for gram in range(buckets))
     held = both.filter(~F.col("fit"))
     binned = (
-        _hashed(docs, doc_id, text).join(F.broadcast(held), "doc_id")
+        _hashed(docs, doc_id, text).join(F.broadcast(held), "doc_id").filter(~abstains("hashes", foreign, buckets))
         .select("good", F.floor(score("hashes", weights, buckets) * _BINS).alias("bin"))
         .groupBy("bin").agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad"))
         .orderBy("bin").collect()  # scores are between the smallest and largest log ratio
     )
-    return Model(weights, _threshold([tuple(row) for row in binned], good_weight))
+    return Model(weights, _threshold([tuple(row) for row in binned], good_weight), foreign)
 
 
 def _threshold(bins: list[tuple[int, int, int]], good_weight: float) -> float:
@@ -148,18 +163,30 @@ def score(hashes: str, weights: str, buckets: int = BUCKETS) -> Column:
     return F.when(F.size(hashes) > 0, total / (2 * F.size(hashes) - 1)).otherwise(0.0)
 
 
+def abstains(hashes: str, foreign: str, buckets: int = BUCKETS) -> Column:
+    """Whether too many words are foreign to the labels."""
+    if "1" not in foreign:
+        return F.lit(False)
+    table = F.split(F.lit(foreign), ",").cast("array<int>")
+    n = F.aggregate(hashes, F.lit(0), lambda n, h: n + F.get(table, F.pmod(h, F.lit(buckets)).cast("int")))
+    return FOREIGN_WORDS * n > F.size(hashes)
+
+
 def verdicts(docs: DataFrame, model: Model, text: str = "text", buckets: int = BUCKETS) -> DataFrame:
-    """Every row (as ``row``) with its counts, base_failed, score and kept."""
+    """Every row (as ``row``) with its counts, base_failed, score, abstained and kept."""
     counted = with_counts(docs, text)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    return counted.select(
-        "row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        failed.alias("base_failed"), score("hashes", model.weights, buckets).alias("score"),
-    ).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= model.threshold))
+    columns = ["row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    judged = counted.select(
+        *columns, failed.alias("base_failed"), score("hashes", model.weights, buckets).alias("score"),
+        abstains("hashes", model.foreign, buckets).alias("abstained"),
+    )
+    kept = ~F.col("base_failed") & (F.col("abstained") | (F.col("score") >= model.threshold))
+    names = [*columns, "base_failed", "score", "abstained"]
+    # as the output of a generator: a filter on it is not pushed below, where it would compute the columns again
+    return judged.select(F.inline(F.array(F.struct(*names, kept.alias("kept")))))
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, text: str = "text", **settings) -> DataFrame:
     """The rows that are kept, with their columns."""
-    found = verdicts(docs, fit(docs, labels, text=text, **settings), text)
-    # a filter would be pushed below the columns that it needs and compute each of them many times
-    return found.select(F.explode(F.when(F.col("kept"), F.array("row"))).alias("row")).select("row.*")
+    return verdicts(docs, fit(docs, labels, text=text, **settings), text).filter("kept").select("row.*")

@@ -2,11 +2,13 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import string
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from folioscan.llm import html_text, language_id, quality, secrets
@@ -51,6 +53,69 @@ def brute_counts(text):
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered), failed
 
 
+def _xx(data, seed=42):
+    value = xxhash.xxh64_intdigest(data, seed)
+    return value, value - (1 << 64) if value >> 63 else value
+
+
+def brute_grams(text, buckets):
+    words = [_xx(w.encode())[1] for w in WORD.findall(text or "")]
+    eight = lambda h: h.to_bytes(8, "little", signed=True)
+    pairs = [_xx(eight(b), _xx(eight(a))[0])[1] for a, b in zip(words, words[1:])]
+    return [h % buckets for h in words], [buckets + h % buckets for h in pairs]
+
+
+def brute_verdicts(rows, labels, model, fit_ids, buckets):
+    """Verdicts from ratios that are counted here; only the threshold is the model's."""
+    grams = [(doc_id, *brute_grams(text, buckets)) for doc_id, text in rows]
+    raw, target, known = collections.Counter(), collections.Counter(), collections.Counter()
+    for doc_id, one, two in grams:
+        raw.update(one + two)
+        if doc_id in labels:
+            known.update(one)
+            if labels[doc_id] and doc_id in fit_ids:
+                target.update(one + two)
+    n_raw, n_target = (sum(c.values()) + 2 * buckets for c in (raw, target))
+    ratio = lambda g: math.log((target[g] + 1) / n_target) - math.log((raw[g] + 1) / n_raw)
+    singles = {g: c for g, c in raw.items() if g < buckets}
+    share = sum(known.values()) / sum(singles.values())
+    foreign = {g for g, c in singles.items() if share * c >= 5 and 8 * known[g] < share * c}
+    found = {}
+    for (doc_id, one, two), (_, text) in zip(grams, rows):
+        score = sum(map(ratio, one + two)) / len(one + two) if one else 0.0
+        away = 8 * sum(g in foreign for g in one) > len(one)
+        found[doc_id] = (score, away, not brute_counts(text)[-1] and (away or score >= model.threshold))
+    return found
+
+
+@pytest.mark.parametrize("known", ["en", "de", "both"])
+def test_quality_verdicts_by_brute_force(spark, known):
+    """Labels of one language or two: ratios equal, no language is rejected for being itself, and junk is."""
+    rng = random.Random(14)
+    junk = lambda: " ".join("".join(rng.choice("#$%*") for _ in range(3)) + rng.choice(EN)[:2] for _ in range(60))
+    rows = [(i, t if i % 5 else junk()) for i, t, _ in _texts(300, seed=14)]
+    of = {"en": lambda i: i % 2, "de": lambda i: not i % 2, "both": lambda i: i % 3}[known]
+    labels = {i: i % 5 > 0 for i, _ in rows if of(i)}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    table = spark.createDataFrame([(i, int(good), 0) for i, good in labels.items()], "doc_id long, quality int, toxic int")
+    fit_ids = {r["doc_id"] for r in quality._labelled(table, True, 1000).filter("fit").collect()}
+    model = quality.fit(docs, table, buckets=1 << 12)
+    want = brute_verdicts(rows, labels, model, fit_ids, 1 << 12)
+    for r in quality.verdicts(docs, model, buckets=1 << 12).select("row.doc_id", "score", "abstained", "kept").collect():
+        score, away, kept = want[r["doc_id"]]
+        assert abs(r["score"] - score) < 1e-4 and r["abstained"] == away and r["kept"] == kept
+    assert all(kept == (i % 5 > 0 and not brute_counts(rows[i][1])[-1]) for i, (_, _, kept) in want.items())
+
+
+def test_verdicts_can_be_filtered(spark):
+    docs = spark.createDataFrame([(i, t) for i, t, _ in _texts(100, seed=5)], "doc_id long, text string")
+    model = quality.Model(",".join(["0"] * 2 * quality.BUCKETS), -1.0, ",".join(["1"] + ["0"] * (quality.BUCKETS - 1)))
+    found = quality.verdicts(docs, model)
+    plan = found.filter("not base_failed and score > -9")._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Filter") < plan.index("Generate") and plan.count("Filter") == 1
+    assert found.filter("not base_failed").count() == sum(not r["base_failed"] for r in found.collect())
+
+
 def test_quality(spark, odd_documents):
     rng = random.Random(4)
     junk = lambda: " ".join("".join(rng.choice("#$%*") for _ in range(3)) + rng.choice(EN)[:2] for _ in range(60))
