@@ -1,27 +1,28 @@
 """Phrase collocations from stripes.
 
 A stripe is an associative counter: its key is a prefix (a phrase of some words, or none),
-its entries count the words that follow. Every occurrence of the prefix counts once, under
-the next word if that can be part of a frequent phrase, else under the empty word; so
-
-* an entry is the frequency of an extension, prefix plus next word,
-* the sum over a stripe is the frequency of the prefix itself,
-* the largest entries, by prefix and by what the phrase has after its first word, tell
-  whether a longer phrase subsumes a shorter one.
-
-1. Tasks count stripes of the empty prefix, which gives the number of words and the words
-   with ``min_count`` or more, then stripes of one word, then those of two to ``longest`` - 1
-   words. Each task counts some megabytes of text at once and sends one row for each
-   stripe, not one for each pair of words.
-2. Stripes meet by language and prefix and are merged entry by entry, in streams sorted by
-   key, so a task holds a bounded number of stripes. The stripe of a prefix with more than
-   one in ``HOT`` of all words is cut into slices by next word (so are stripes whose words
-   are all that frequent, and that of the empty prefix): no key gathers in one task.
+its entries count the words that follow. From this one structure come
+
+* extensions: an entry is the frequency of prefix plus next word,
+* prefix totals: that of a prefix is its own entry in the stripe of all its words but the
+  last, that of the empty prefix is the sum over its stripe, the number of words,
+* subsumption maxima: the largest entries, by prefix and by what the phrase has after its
+  first word, tell whether a longer phrase subsumes a shorter one.
+
+1. Tasks count stripes of the empty prefix, which gives the words with ``min_count`` or more,
+   then stripes of one word, then those of two to ``longest`` - 1 words. Each task counts some
+   megabytes of text at once. Stripes of one first word are kept as one (an entry then holds
+   the rest of the prefix and the next word), and they travel in bundles: ``GROUPS`` hash
+   groups of first words, one row each.
+2. Bundles meet by language and group and are merged entry by entry, in streams sorted by
+   key, so a task holds a bounded number of stripes. Stripes of a word that is more than one
+   in ``HOT`` of all words are cut into slices by entry, each in a group of its own choice (so
+   is that of the empty prefix): no key gathers in one task.
 3. A phrase is counted only if its words and its pairs can be frequent. Tasks know these
    from bitmaps of ``BITS`` hashed positions, a fixed size; a collision costs work and changes
    no result, since nothing that is frequent is left out. For very large vocabularies
    ``bits`` can be raised.
-4. A candidate is scored at every cut by joins with the stripes' sums. The products are
+4. A candidate is scored at every cut by joins with the prefix totals. The products are
    decimals of 38 digits, the quotient is exact.
 5. A longer candidate that holds a phrase often enough implies one that is longer by one
    word and does so too, since counts do not grow with length; so the largest entries suffice.
@@ -56,13 +57,14 @@ SUBSUMED_PERCENT = 100
 TOP = 2000
 NO_LANGUAGE = "und"
 BITS = 1 << 23
-HOT = 1024
+HOT = GROUPS = 4096
 BYTES_AT_ONCE = 16 << 20
-ROWS_AT_ONCE = 50_000
+ROWS_AT_ONCE = 2000
+ENTRIES_AT_ONCE = 1_000_000
 
 _PIECE_END = r"[.,;:!?\n-\r]"
-_STRIPES = "lang string, length int, prefix string, slice int, slices int, nexts string, counts array<int>"
-_MERGED = "lang string, length int, prefix string, total long, nexts array<string>, counts array<long>"
+_STRIPES = "lang string, length int, bundle int, prefixes string, sizes array<int>, nexts string, counts array<int>"
+_MERGED = "lang string, length int, total long, phrases array<string>, counts array<long>"
 
 
 class Allowed(NamedTuple):
@@ -70,7 +72,7 @@ class Allowed(NamedTuple):
 
     words: np.ndarray | None = None  # bitmap
     pairs: np.ndarray | None = None  # bitmap
-    slices: dict[tuple[str, str], int] = {}  # by language and word, at most HOT
+    slices: dict[tuple[str, str], int] = {}  # by language and word, fewer than HOT
 
 
 def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -119,69 +121,80 @@ def _words(texts: pa.Array, langs: pa.Array) -> _Words:
     return _Words(numbers.astype(np.int64), piece, distinct.take(pa.array(of_word)), [lang_names[i] for i in of_lang], hashes)
 
 
-def _slice_of(hashes: np.ndarray, slices: np.ndarray) -> np.ndarray:
-    return ((hashes >> np.uint64(40)) % slices.astype(np.uint64)).astype(np.int32)
-
-
-def _rows(words: _Words, length: int, key: np.ndarray, at: np.ndarray, following: np.ndarray, slices: np.ndarray) -> pa.RecordBatch:
-    """Stripes from occurrences: number of the prefix, where it stands, next word or -1; slices by word."""
-    n = len(words.names)
-    both, first, counts = np.unique(key * (n + 1) + following + 1, return_index=True, return_counts=True)
-    prefix, at = both // (n + 1), at[first]
-    following = both % (n + 1) - 1
-    parts = np.full(len(at), slices[0] if length == 0 else 1, np.int64)
-    if length:
-        parts = reduce(np.minimum, [slices[words.code[at + i]] for i in range(length)])
-    part = np.where(following < 0, 0, _slice_of(words.hashes[following], parts))
-    if (parts > 1).any():
-        order = np.lexsort((part, prefix))
-        prefix, at, following, parts, part, counts = (x[order] for x in (prefix, at, following, parts, part, counts))
-    starts = np.flatnonzero(np.r_[True, (prefix[1:] != prefix[:-1]) | (part[1:] != part[:-1])])
-    names = pa.concat_arrays([words.names, pa.array([""], words.names.type)])
-    ends = pa.array(np.r_[starts, len(at)].astype(np.int32))
-    nexts = pc.binary_join(pa.ListArray.from_arrays(ends, names.take(pa.array(np.where(following < 0, n, following)))), "\n")
-    at = at[starts]
-    spelled = [names.take(pa.array(words.code[at + i])) for i in range(length)]
-    spelled = pc.binary_join_element_wise(*spelled, " ") if length > 1 else spelled[0] if length else pa.array([""] * len(at), pa.string())
+def _bundles(words: _Words, length: int, first: np.ndarray, names: pa.Array, counts: np.ndarray, hashes: np.ndarray, parts: np.ndarray) -> pa.RecordBatch:
+    """Entries to bundles of stripes: number of the first word (or of any word of the language), entry, count, hash and slices."""
+    lang = pd.factorize(np.array(words.langs, object))[0][first]
+    part = (hashes >> np.uint64(40)) % parts.astype(np.uint64)
+    bundle = (_mix(words.hashes[first], part) % np.uint64(GROUPS) if length else part).astype(np.int32)
+    order = np.lexsort((first, bundle, lang))
+    lang, bundle, first, counts = lang[order], bundle[order], first[order], counts[order]
+    new = np.r_[True, (lang[1:] != lang[:-1]) | (bundle[1:] != bundle[:-1])]
+    rows = np.flatnonzero(new)
+    stripes = np.flatnonzero(new | np.r_[True, first[1:] != first[:-1]])
+    ends = pa.array(np.r_[rows, len(first)].astype(np.int32))
+    stripe_ends = pa.array(np.r_[np.searchsorted(stripes, rows), len(stripes)].astype(np.int32))
+    prefixes = words.names.take(pa.array(first[stripes])) if length else pa.array([""] * len(stripes), pa.string())
+    joined = lambda offsets, values: pc.binary_join(pa.ListArray.from_arrays(offsets, values), "\n")
     columns = [
-        pa.array([words.langs[i] for i in words.code[at]], pa.string()), pa.array(np.full(len(at), length, np.int32)), spelled,
-        pa.array(part[starts].astype(np.int32)), pa.array(parts[starts].astype(np.int32)), nexts,
-        pa.ListArray.from_arrays(ends, pa.array(counts.astype(np.int32))),
+        pa.array([words.langs[i] for i in first[rows]], pa.string()), pa.array(np.full(len(rows), length, np.int32)), pa.array(bundle[rows]),
+        joined(stripe_ends, prefixes), pa.ListArray.from_arrays(stripe_ends, pa.array(np.diff(np.r_[stripes, len(first)]).astype(np.int32))),
+        joined(ends, names.take(pa.array(order))), pa.ListArray.from_arrays(ends, pa.array(counts.astype(np.int32))),
     ]
-    return pa.RecordBatch.from_arrays(columns, names=["lang", "length", "prefix", "slice", "slices", "nexts", "counts"])
+    return pa.RecordBatch.from_arrays(columns, names=["lang", "length", "bundle", "prefixes", "sizes", "nexts", "counts"])
 
 
 def _single_stripes(words: _Words, slices: int) -> Iterator[pa.RecordBatch]:
     """Stripes of the empty prefix, by language."""
-    lang = pd.factorize(np.array(words.langs, object))[0].astype(np.int64)
-    yield _rows(words, 0, lang[words.code], np.arange(len(words.code)), words.code, np.array([slices]))
+    _, heads, lang = np.unique(np.array(words.langs, object), return_index=True, return_inverse=True)
+    counts = np.bincount(words.code, minlength=len(words.names))
+    yield _bundles(words, 0, heads[lang], words.names, counts, words.hashes, np.full(len(counts), slices))
 
 
-def _pair_stripes(words: _Words, known: np.ndarray, slices: np.ndarray) -> Iterator[pa.RecordBatch]:
-    at = np.flatnonzero(known[words.code])
-    if not len(at):
-        return
-    after = np.minimum(at + 1, len(words.code) - 1)
-    goes_on = (after > at) & (words.piece[after] == words.piece[at]) & known[words.code[after]]
-    yield _rows(words, 1, words.code[at], at, np.where(goes_on, words.code[after], -1), slices)
+def _slices(words: _Words, slices: dict) -> np.ndarray:
+    parts = np.ones(len(words.names), np.int64)
+    for i, name in enumerate(zip(words.langs, words.names.to_pylist()) if slices else ()):
+        parts[i] = slices.get(name, 1)
+    return parts
 
 
-def _phrase_stripes(words: _Words, known: np.ndarray, pairs: np.ndarray, slices: np.ndarray, longest: int) -> Iterator[pa.RecordBatch]:
+def _pairs(words: _Words, known: np.ndarray) -> np.ndarray:
+    """Where a pair of known words begins inside a piece."""
+    code = words.code
+    return np.flatnonzero((words.piece[1:] == words.piece[:-1]) & known[code[1:]] & known[code[:-1]])
+
+
+def _pair_stripes(words: _Words, known: np.ndarray, slices: dict) -> Iterator[pa.RecordBatch]:
+    at, n = _pairs(words, known), len(words.names)
+    if len(at):
+        both, counts = np.unique(words.code[at] * n + words.code[at + 1], return_counts=True)
+        first, following = np.divmod(both, n)
+        yield _bundles(words, 1, first, words.names.take(pa.array(following)), counts, words.hashes[following], _slices(words, slices)[first])
+
+
+def _phrase_stripes(words: _Words, known: np.ndarray, pairs: np.ndarray, slices: dict, longest: int) -> Iterator[pa.RecordBatch]:
     """Stripes of two words and more, all of whose pairs can be frequent."""
     code, n = words.code, len(words.names)
-    pair = np.zeros(len(code), bool)
-    at = np.flatnonzero((words.piece[1:] == words.piece[:-1]) & known[code[1:]] & known[code[:-1]])
+    pair = np.zeros(len(code) + 1, bool)
+    at = _pairs(words, known)
     pair[at] = _in(pairs, _mix(words.hashes[code[at]], words.hashes[code[at + 1]]))
     at = np.flatnonzero(pair)
-    key = code[at]
+    key, found = code[at], []
     for length in range(2, longest):
-        if not len(at):
-            return
-        key = pd.factorize(key * n + code[at + length - 1])[0].astype(np.int64)
         last = at + length - 1
         goes_on = pair[last]  # the last word of a piece starts no pair
-        yield _rows(words, length, key, at, np.where(goes_on, code[np.minimum(last + 1, len(code) - 1)], -1), slices)
-        at, key = at[goes_on], key[goes_on]
+        at, last, key = at[goes_on], last[goes_on], key[goes_on]
+        if not len(at):
+            break
+        key = pd.factorize(key * n + code[last])[0].astype(np.int64)
+        _, first, counts = np.unique(key * n + code[last + 1], return_index=True, return_counts=True)
+        heads = at[first]
+        rest = [words.names.take(pa.array(code[heads + i])) for i in range(1, length + 1)]
+        hashes = reduce(_mix, [words.hashes[code[heads + i]] for i in range(1, length + 1)])
+        found.append((code[heads], pc.binary_join_element_wise(*rest, " "), counts, hashes))
+    if found:
+        first, names, counts, hashes = zip(*found)
+        first = np.concatenate(first)
+        yield _bundles(words, 2, first, pa.concat_arrays(names), np.concatenate(counts), np.concatenate(hashes), _slices(words, slices)[first])
 
 
 def _counted(allowed: Allowed, parts: int, longest: int, bytes_at_once: int):
@@ -194,14 +207,11 @@ def _counted(allowed: Allowed, parts: int, longest: int, bytes_at_once: int):
         if allowed.words is None:
             yield from _single_stripes(words, parts)
             return
-        slices = np.ones(len(words.names), np.int64)
-        for i, name in enumerate(zip(words.langs, words.names.to_pylist())):
-            slices[i] = allowed.slices.get(name, 1)
         known = _in(allowed.words, words.hashes)
         if allowed.pairs is None:
-            yield from _pair_stripes(words, known, slices)
+            yield from _pair_stripes(words, known, allowed.slices)
         else:
-            yield from _phrase_stripes(words, known, allowed.pairs, slices, longest)
+            yield from _phrase_stripes(words, known, allowed.pairs, allowed.slices, longest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -228,70 +238,70 @@ def _together(held: list[pa.RecordBatch]) -> list[pa.Array]:
 
 
 def _merged(min_count: int):
-    """Stripes sorted by key to one stripe for each key, with its sum and its frequent entries."""
+    """Bundles sorted by key to one for each key: the sum of its entries, and its frequent phrases."""
 
-    def merge(columns: dict[str, pa.Array]) -> tuple[dict[str, pa.Array], np.ndarray, np.ndarray, pa.Array, np.ndarray]:
-        """Head rows of the keys; key, sum, word of all entries in the order of keys."""
-        keys = [columns[name].dictionary_encode().indices.to_numpy() for name in ("lang", "length", "prefix", "slice")]
+    def merge(columns: dict[str, pa.Array], last: bool) -> tuple[pa.RecordBatch, dict[str, pa.Array] | None]:
+        keys = [columns[name].dictionary_encode().indices.to_numpy() for name in ("lang", "length", "bundle")]
         new = np.r_[True, np.any([k[1:] != k[:-1] for k in keys], axis=0)]
         key = np.cumsum(new) - 1
-        entries = columns["nexts"]
-        sizes = np.diff(entries.offsets.to_numpy())
-        encoded = entries.flatten().dictionary_encode()
-        n = len(encoded.dictionary)
-        both, place = np.unique(np.repeat(key, sizes) * n + encoded.indices.to_numpy(), return_inverse=True)
+        n = int(key[-1]) + 1
+        spelled = columns["phrases"]
+        encoded = spelled.flatten().dictionary_encode()
+        kinds = max(len(encoded.dictionary), 1)
+        both, place = np.unique(np.repeat(key, np.diff(spelled.offsets.to_numpy())) * kinds + encoded.indices.to_numpy(), return_inverse=True)
         sums = np.zeros(len(both), np.int64)
         np.add.at(sums, place, columns["counts"].flatten().to_numpy())
-        heads = {name: column.take(pa.array(np.flatnonzero(new))) for name, column in columns.items() if name not in ("nexts", "counts")}
-        return heads, both // n, sums, encoded.dictionary.take(pa.array(both % n)), np.searchsorted(both // n, np.arange(key[-1] + 2))
-
-    def out(columns: dict[str, pa.Array], last: bool) -> tuple[pa.RecordBatch, dict[str, pa.Array]]:
-        heads, key, sums, names, bounds = merge(columns)
-        n = len(bounds) - 1
+        of, names = both // kinds, encoded.dictionary.take(pa.array(both % kinds))
+        bounds = np.searchsorted(of, np.arange(n + 1))
         done = n if last else n - 1
-        carried = slice(bounds[done], bounds[n])
-        whole = lambda a, b: pa.ListArray.from_arrays(pa.array([a - a, b - a], pa.int32()), names.slice(a, b - a))
+        heads = {name: columns[name].take(pa.array(np.flatnonzero(new))) for name in ("lang", "length", "bundle")}
+        good = (sums >= min_count) & (of < done)
+        ends = pa.array(np.r_[0, np.cumsum(np.bincount(of[good], minlength=n)[:done])].astype(np.int32))
+        batch = pa.RecordBatch.from_arrays(
+            [heads["lang"].slice(0, done), heads["length"].slice(0, done), pa.array(np.add.reduceat(sums, bounds[:-1])[:done]),
+             pa.ListArray.from_arrays(ends, names.take(pa.array(np.flatnonzero(good)))), pa.ListArray.from_arrays(ends, pa.array(sums[good]))],
+            names=["lang", "length", "total", "phrases", "counts"],
+        )
+        if last:
+            return batch, None
+        # the last key may go on: its merged entries stand in for its rows
+        whole = pa.array([0, bounds[n] - bounds[done]], pa.int32())
         rest = {name: column.slice(done) for name, column in heads.items()}
-        if not last:
-            rest["nexts"] = whole(bounds[done], bounds[n])
-            rest["counts"] = pa.ListArray.from_arrays(pa.array([0, bounds[n] - bounds[done]], pa.int32()), pa.array(sums[carried]))
-        total = np.add.reduceat(sums, bounds[:-1])[:done] if len(sums) else np.zeros(done, np.int64)
-        good = (sums >= min_count) & pc.not_equal(names, "").to_numpy(zero_copy_only=False) & (key < done)
-        ends = np.r_[0, np.cumsum(np.bincount(key[good], minlength=done)[:done])].astype(np.int32) if done else np.zeros(1, np.int32)
-        at = pa.array(np.flatnonzero(good))
-        rows = {name: heads[name].slice(0, done) for name in ("lang", "length", "prefix")}
-        rows |= {"total": pa.array(total), "nexts": pa.ListArray.from_arrays(pa.array(ends), names.take(at)),
-                 "counts": pa.ListArray.from_arrays(pa.array(ends), pa.array(sums[good]))}
-        batch = pa.RecordBatch.from_arrays(list(rows.values()), names=list(rows))
-        whole_key = heads["slices"].slice(0, done).to_numpy() == 1
-        return batch.filter(pa.array(~whole_key | (total >= min_count))), rest
+        rest["phrases"] = pa.ListArray.from_arrays(whole, names.slice(bounds[done]))
+        rest["counts"] = pa.ListArray.from_arrays(whole, pa.array(sums[bounds[done] :]))
+        return batch, rest
+
+    def opened(batch: pa.RecordBatch) -> dict[str, pa.Array]:
+        nexts = pc.split_pattern(batch.column("nexts"), "\n")
+        prefixes = pc.split_pattern(batch.column("prefixes"), "\n").flatten()
+        repeated = prefixes.take(pa.array(np.repeat(np.arange(len(prefixes)), batch.column("sizes").flatten().to_numpy())))
+        entries = nexts.flatten()
+        spelled = pc.if_else(pc.equal(repeated, ""), entries, pc.binary_join_element_wise(repeated, entries, " "))
+        offsets = nexts.offsets.to_numpy() - nexts.offsets[0].as_py()
+        part = {name: batch.column(name) for name in ("lang", "length", "bundle")}
+        return part | {"phrases": pa.ListArray.from_arrays(pa.array(offsets), spelled), "counts": batch.column("counts").cast(pa.list_(pa.int64()))}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict[str, pa.Array]] = []
-        rows = entries = 0
-
-        def flush(last: bool) -> pa.RecordBatch:
-            nonlocal held, rows, entries
-            together = {name: pa.concat_arrays([part[name] for part in held]) for name in held[0]}
-            batch, rest = out(together, last)
-            held = [] if last else [rest]
-            rows, entries = len(held), 0
-            return batch
-
+        entries = 0
         for batch in batches:
-            part = {name: batch.column(name) for name in batch.schema.names}
-            part["nexts"] = pc.split_pattern(part["nexts"], "\n")
-            part["counts"] = part["counts"].cast(pa.list_(pa.int64()))
-            held.append(part)
-            rows, entries = rows + len(batch), entries + len(part["counts"].flatten())
-            if rows >= ROWS_AT_ONCE or entries >= 20 * ROWS_AT_ONCE:
-                yield flush(False)
+            for start in range(0, len(batch), ROWS_AT_ONCE):
+                held.append(opened(batch.slice(start, ROWS_AT_ONCE)))
+                entries += len(held[-1]["phrases"].flatten())
+                if entries >= ENTRIES_AT_ONCE:
+                    out, rest = merge(_concatenated(held), False)
+                    held, entries = [rest], 0
+                    yield out
         if held:
-            yield flush(True)
+            yield merge(_concatenated(held), True)[0]
 
     return run
 
 
+def _concatenated(held: list[dict[str, pa.Array]]) -> dict[str, pa.Array]:
+    return {name: pa.concat_arrays([part[name] for part in held]) for name in held[0]}
+
+
 def _bitmap(hashed: DataFrame, bits: int) -> np.ndarray:
     """The bitmap of ``hash``; at most bits / 64 rows come to the driver."""
     at = F.col("hash").bitwiseAND(F.lit(bits - 1))
@@ -330,43 +340,41 @@ def stripes(docs: DataFrame, text: str = "text", lang: str = "lang", min_count:
 
     def merged(allowed: Allowed, label: str) -> DataFrame:
         counted = plain.mapInArrow(_counted(allowed, partitions(spark), longest, bytes_at_once), _STRIPES)
-        met = counted.repartition("lang", "length", "prefix", "slice").sortWithinPartitions("lang", "length", "prefix", "slice")
+        met = counted.repartition("lang", "length", "bundle").sortWithinPartitions("lang", "length", "bundle")
         return written(met.mapInArrow(_merged(min_count), _MERGED), label)
 
     singles = merged(Allowed(), "stripes-0")
     words = written(singles.groupBy("lang").agg(F.sum("total").alias("n")), "stripes-words")
-    known = phrases(singles).select("lang", "phrase", "f")
     total = words.agg(F.sum("n")).first()[0] or 0
+    known = phrases(singles).select("lang", "phrase", "f")
     # fewer than `hot` words are that frequent
     often = {(r["lang"], r["phrase"]): -(-hot * r["f"] // total) for r in known.filter(F.col("f") * hot > total).collect()}
     allowed = Allowed(_bitmap(_hashed(known), bits), None, often)
-    ones = merged(allowed, "stripes-1")
-    tables = [ones]
+    tables = [singles, merged(allowed, "stripes-1")]
     if longest > 2:
-        pairs = phrases(ones).select("lang", "phrase")
-        tables.append(merged(allowed._replace(pairs=_bitmap(_hashed(pairs), bits)), "stripes-2"))
+        pairs = _bitmap(_hashed(phrases(tables[1]).select("lang", "phrase")), bits)
+        tables.append(merged(allowed._replace(pairs=pairs), "stripes-2"))
     return Stripes(reduce(DataFrame.unionByName, tables), words)
 
 
 def phrases(table: DataFrame) -> DataFrame:
-    """lang, length, phrase, f, prefix, next: the entries of stripes."""
-    entries = table.select("lang", "length", "prefix", F.inline(F.arrays_zip(F.col("nexts").alias("next"), F.col("counts").alias("f"))))
-    spelled = F.when(F.col("prefix") == "", F.col("next")).otherwise(F.concat_ws(" ", "prefix", "next"))
-    return entries.select("lang", (F.col("length") + 1).alias("length"), spelled.alias("phrase"), "f", "prefix", "next")
+    """lang, length, phrase, f: the entries of merged stripes, spelled with their prefixes."""
+    entries = table.select("lang", F.inline(F.arrays_zip(F.col("phrases").alias("phrase"), F.col("counts").alias("f"))))
+    return entries.select("lang", F.size(F.split("phrase", " ")).alias("length"), "phrase", "f")
 
 
 def _exact(column: Column) -> Column:
     return column.cast("decimal(19,0)")
 
 
-def candidates(found: Stripes, min_count: int = MIN_COUNT, percent: int = SUBSUMED_PERCENT) -> DataFrame:
+def candidates(found: Stripes, percent: int = SUBSUMED_PERCENT) -> DataFrame:
     """lang, phrase, a, l, r, n, score of the phrases that no longer one subsumes."""
-    sums = found.table.groupBy("lang", F.col("prefix").alias("part")).agg(F.sum("total").alias("sum")).filter(F.col("sum") >= min_count)
-    entries = written(phrases(found.table), "stripes-phrases")
+    totals = written(phrases(found.table), "stripes-phrases")
+    entries = totals.filter(F.col("length") > 1)
     words = F.split("phrase", " ")
-    # the largest extension to the right is in the phrase's own stripe, that to the left in the stripe of another first word
+    # the largest extension to the right is in the stripe of the phrase, that to the left in the stripe of another first word
     wider = entries.filter(F.col("length") > 2)
-    right = wider.select("lang", F.col("prefix").alias("phrase"), "f")
+    right = wider.select("lang", F.expr("substring_index(phrase, ' ', length - 1)").alias("phrase"), "f")
     left = wider.select("lang", F.expr("substring(phrase, instr(phrase, ' ') + 1)").alias("phrase"), "f")
     most = right.unionByName(left).groupBy("lang", "phrase").agg(F.max("f").alias("most"))
     kept = entries.join(most, ["lang", "phrase"], "left").filter(F.col("most").isNull() | (100 * F.col("most") < percent * F.col("f")))
@@ -376,7 +384,7 @@ def candidates(found: Stripes, min_count: int = MIN_COUNT, percent: int = SUBSUM
         "lang", "phrase", "a", "k", F.array_join(F.slice("w", 1, F.col("k")), " ").alias("first"),
         F.array_join(F.slice("w", F.col("k") + 1, F.size("w")), " ").alias("rest"),
     )
-    side = lambda part, name: sums.select("lang", F.col("part").alias(part), F.col("sum").alias(name))
+    side = lambda part, name: totals.select("lang", F.col("phrase").alias(part), F.col("f").alias(name))
     cuts = cuts.join(side("first", "l"), ["lang", "first"]).join(side("rest", "r"), ["lang", "rest"]).join(found.words, "lang")
     product = _exact(F.col("a")) * _exact(F.col("n")) * F.lit(1000).cast("decimal(4,0)")
     cuts = cuts.withColumn("product", product.cast("decimal(38,0)")).withColumn("parts", (_exact(F.col("l")) * _exact(F.col("r"))).cast("decimal(38,0)"))
@@ -388,7 +396,7 @@ def candidates(found: Stripes, min_count: int = MIN_COUNT, percent: int = SUBSUM
 def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", top: int | None = TOP, percent: int = SUBSUMED_PERCENT,
                  min_count: int = MIN_COUNT, **settings) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's phrases, the best ``top`` or all."""
-    scored = candidates(stripes(docs, text, lang, min_count, **settings), min_count, percent)
+    scored = candidates(stripes(docs, text, lang, min_count, **settings), percent)
     by_lang = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     ranked = scored.select("lang", F.row_number().over(by_lang).cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
     return ranked if top is None else ranked.filter(F.col("rank") <= top)
