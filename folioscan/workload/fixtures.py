@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-NARROW = ("orders",)
 BASE_URL = "https://listing.example.org/archive/list"
 ORIGIN = "https://listing.example.org"
 
@@ -133,9 +132,10 @@ LEFT JOIN tails ON tails.lang = docs.lang AND doc_id % 5 = 1
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table by the scan's own splits; narrow ones are dealt out, as each is a single row group here."""
+    """A driver table by the scan's own splits; one with fewer splits than cores is small, and dealt out."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return df.repartition(spark.sparkContext.defaultParallelism) if name in NARROW else df
+    cores = spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 def listing_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
