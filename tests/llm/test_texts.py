@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import os
 import random
 import re
 import string
@@ -254,3 +255,120 @@ def test_links_and_parts_of_articles():
     teaser = "<article><h3><a>Another story</a></h3></article>"
     assert html_text.main_text(f"<body><div><p>{intro}</p></div>{teaser}{teaser}{teaser}") == joined(intro)
     assert html_text.main_text("<div><p>" + "</p><p>".join(["<a>link</a>"] * 50_000) + f"</p><p>{intro}</p></div>").count("link") == 50_000
+
+
+def _page_words(rng, n):
+    return " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(n))
+
+
+def test_names_shift_weights_only():
+    """No class empties a page, and short parts beside the text go by what they are called or where they stand."""
+    rng = random.Random(3)
+    body = "".join(f"<p>{_page_words(rng, 60)}</p>" for _ in range(3))
+    want = "\n\n".join(re.findall("<p>(.*?)</p>", body))
+    foot = "<footer>&copy; 2024 Example Company, all rights reserved by the owner</footer>"
+    for name in ("related-work", "social-history", "search-engines-explained", "discussion", "comments", "sidebar", "x7"):
+        for shell in ("{}", "<nav><ul><li><a>Home</a><li><a>News</a></ul></nav>{}" + foot, "<div class=ad>Buy our things</div>{}" + foot):
+            assert html_text.main_text(shell.format(f'<div class="{name}">{body}</div>')) == want, (name, shell)
+            assert html_text.main_text(shell.format(f'<article><div class="{name.split("-")[0] if "-" in name else "x"} part">{body}</div></article>')) == want
+    notes = ['<div class="infobar"><p>We use cookies to make the site better for all of our readers</p></div>', '<div class="legal">All rights reserved by the owners of this site</div>',
+             '<section class="discussion"><p>Reader: a very good text, thank you for it</p></section>', "<article><h2>Another story</h2><p>A few words of another story</p></article>",
+             '<div class="x9"><p>Please allow us to store some data</p></div>']
+    for note in notes:
+        assert html_text.main_text(f"{note}<article>{body}</article>{note}") == want, note
+        if "<article" not in note and "x9" not in note:
+            assert html_text.main_text(f"<article>{body}{note}</article>") == want, note
+            assert html_text.main_text(f'<div class="post">{note}{body}</div>') == want, note
+    assert html_text.main_text(f"{notes[-1]}<div>{body}</div>") == want  # by its container alone
+    assert html_text.main_text(f"<h1>Of title</h1><div class=body>{body}</div>") == f"Of title\n\n{want}"
+
+
+def brute_kept(lines, window, least):
+    """The rules of the operator on its lines, place by place, without stretches being carried along."""
+    lengths = [line.own * line.weight for line in lines]
+    sums = [sum(lengths[i : i + window]) for i in range(len(lines))]
+    runs = []
+    for i, total in enumerate(sums):
+        if total:
+            if i and sums[i - 1]:
+                runs[-1].append(i)
+            else:
+                runs.append([i])
+    if not runs:
+        return []
+    chain = lambda place: [place, *chain(place.around)] if place else []
+    top = lambda some: max(sum(some[i : i + window]) for i in range(len(some)))
+    floor = min(least, max(max(sums[i] for i in run) for run in runs))
+    kept, homes = set(), []
+    for run in runs:
+        if max(sums[i] for i in run) < floor:
+            continue
+        whole = sum(lengths[i] for i in run)
+        fits = [p for p in {q for i in run for q in chain(lines[i].place)} if 3 * sum(lengths[i] for i in run if p in chain(lines[i].place)) >= 2 * whole]
+        home = max(fits, key=lambda p: p.depth, default=None)
+        home = home.article or home if home else None
+        homes += [home] if home else []
+        best = max(run, key=lambda i: lengths[i])
+        is_home = lambda i: home in chain(lines[i].place) if home else lines[i].place is None  # noqa: B023, E731
+        need = max(least, top([lengths[i] for i in run]) / 4) if home and home.article is home else least
+        begin = min((i for i in run if is_home(i)), default=run[0])
+        for i in run:
+            line = lines[i]
+            own = top([lengths[j] for j in run if lines[j].place is line.place])
+            holds_home = home is not None and (line.place is None or line.place in chain(home))
+            title = holds_home and begin - window <= i < begin and line.own
+            if line.weight >= lines[best].weight / 4 and (is_home(i) or own >= need or line.place is lines[best].place or title or holds_home and line.place):
+                kept.add(i)
+        if home is None:
+            at = run[-1] + 1
+            while at < len(lines) and not lines[at].own:
+                if lines[at].place is None and lines[at].weight >= lines[best].weight / 4:
+                    kept.add(at)
+                at += 1
+    kept |= {i for i, line in enumerate(lines) if any(home in chain(line.place) for home in homes)}
+    level = max(lines[i].weight for i in kept) / 4
+    article = lambda i: lines[i].place.article if lines[i].place else None
+    size = collections.Counter()
+    for i in kept:
+        size[article(i)] += lengths[i]
+    most = max((n for a, n in size.items() if a), default=0)
+    return [lines[i].text for i in sorted(kept) if lines[i].weight >= level and not (article(i) and 4 * size[article(i)] < most)]
+
+
+def test_line_blocks_against_brute_force():
+    rng = random.Random(8)
+    names = ["", ' class="ad"', ' class="post"', ' class="related-work"', ' id="comments"', ' class="legal"', ' class="content"', " hidden"]
+
+    def tree(depth):
+        html = ""
+        for _ in range(rng.randint(1, 5)):
+            kind = rng.random()
+            if depth and kind < 0.4:
+                tag = rng.choice(["div", "div", "section", "article", "main", "nav", "footer", "header", "ul", "aside"])
+                html += f"<{tag}{rng.choice(names)}>{tree(depth - 1)}</{tag}>"
+            elif kind < 0.6:
+                html += f"<p><a href=x>{_page_words(rng, rng.randint(1, 6))}</a></p>"
+            else:
+                tag = rng.choice(["p", "p", "p", "h2", "li"])
+                html += f"<{tag}{rng.choice(names[:3])}>{_page_words(rng, rng.choice([1, 3, 10, 40, 150]))}</{tag}>"
+        return html
+
+    several = 0
+    for _ in range(600):
+        page = f"<body>{tree(4)}</body>"
+        lines = html_text.lines_of(page)
+        want = brute_kept(lines, html_text.WINDOW, html_text.LEAST)
+        assert html_text.main_text(page) == "\n\n".join(want), page
+        several += 0 < len(want) < len(lines)
+    assert several > 200
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="driver tables are not here")
+def test_articles_without_their_element(spark):
+    """Pages of the driver give the same text without the article element, and in a container with a misleading name."""
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()]
+    for html in pages:
+        whole = html_text.main_text(html)
+        assert whole
+        for begin, end in (("", ""), ('<div class="related-work">', "</div>"), ("<section>", "</section>")):
+            assert html_text.main_text(html.replace("<article>", begin).replace("</article>", end)) == whole
