@@ -7,24 +7,32 @@ the name and the value of ``name=value`` are runs of their own:
 1. The encoding is inferred from the characters: hex (either case), base 32, base 36
    (lower case and digits) or base 64. Runs of letters only and of digits only have
    none: they are words and numbers.
-2. Under the hypothesis that symbols are drawn uniformly from the encoding's alphabet,
-   three tests give a probability each: chi-squared over the alphabet (upper tail,
-   Wilson-Hilferty), runs of symbols of the upper and lower half, and the correlation of
-   neighbouring symbols (both two-sided). Fisher's method combines them.
-3. Runs are split by encoding and length octave, as a short run proves less than a long
+2. The battery: under the hypothesis that symbols are drawn uniformly from the encoding's
+   alphabet, three tests give a probability each: chi-squared over the alphabet (upper
+   tail, Wilson-Hilferty), runs of symbols of the upper and lower half, and the correlation of
+   neighbouring symbols (both two-sided). Fisher's method combines them; a run below ``gate`` is
+   not random and is passed over, however unlike words it may be.
+3. False discoveries are plain identifiers, so their control tests the hypothesis that a run is one.
+   ``identifier_model`` is a chain over characters: letters follow letters as in words,
+   and cases, digits and separators change as in names. If a run has the likelihood W in it, and U
+   under uniform draws from its alphabet, then a plain identifier has U / W >= t with a
+   probability of 1 / t at most (Markov's inequality), so W / U is a p-value at any length.
+4. Runs are split by encoding and length octave, as a short run proves less than a long
    one. In each part the Benjamini-Hochberg procedure at ``rate`` decides which runs are
-   not random; the others become spans if their length is worth ``min_bits``. The
-   procedure runs on counts by bins of the logarithm of p, rounded up, so it is exact to
-   a bin and its table has a fixed size.
+   no identifiers; those that also pass the battery become spans if their length is worth
+   ``min_bits``. The procedure runs on counts by bins of the logarithm of p, rounded up, so it
+   is exact to a bin and its table has a fixed size.
 
 Positions are code points, the end exclusive. Rules: a null text is empty; a run that
 overlaps a base span adds nothing; rows with equal ids or texts are scanned each on its
-own; other columns play no part. Column expressions only; nothing is shuffled but the
+own; texts are scanned whole, however long; an empty table gives an empty result; other
+columns play no part. Column expressions only; nothing is shuffled but the
 table of bins.
 """
 
 from __future__ import annotations
 
+import math
 import string
 
 from pyspark.sql import Column, DataFrame, Window
@@ -49,10 +57,31 @@ ALPHABETS = {
 }
 
 RATE = 0.01
+GATE = 1e-4
 MIN_BITS = 80
 _BIN = 0.02  # of log10 p
 _BLOCK = 256
 
+# fixed values: common words, which give the chain its pairs of letters
+WORDS = (
+    "the of and to in is you that it he was for on are with as his they be at one have this from or had by hot word but what some we can out other were all"
+    " there when up use your how said an each she which do their time if will way about many then them write would like so these her long make thing see him"
+    " two has look more day could go come did number sound no most people my over know water than call first who may down side been now find any new work part"
+    " take get place made live where after back little only round man year came show every good me give our under name very through just form sentence great"
+    " think say help low line differ turn cause much mean before move right boy old too same tell does set three want air well also play small end put home"
+    " read hand port large spell add even land here must big high such follow act why ask men change went light kind off need house picture try us again"
+    " user service policy review spring winter summer movie system value index table query function string object number final version service access config"
+    " request response client server update delete create session holiday variable manager buffer thread parser review market garden yellow orange"
+).split()
+SEPARATORS = {"_": 0.45, "-": 0.35, "/": 0.15, "+": 0.05}
+# how lower case, upper case, digits and separators follow each other in names; the first row is the start
+CLASSES = {
+    "": (0.50, 0.35, 0.10, 0.05), "lower": (0.80, 0.06, 0.05, 0.09), "upper": (0.35, 0.50, 0.05, 0.10),
+    "digit": (0.15, 0.08, 0.55, 0.22), "separator": (0.50, 0.25, 0.20, 0.05),
+}
+SYMBOLS = string.ascii_lowercase + string.ascii_uppercase + string.digits + "".join(SEPARATORS)
+_EVEN = 0.25  # of any letter after any other
+
 
 def _with_starts(df: DataFrame, name: str, text: str, quick: str, pattern: str, group: int, least: int) -> DataFrame:
     """Add an array of (start, end, token) of the matches, those with a long enough group.
@@ -101,6 +130,45 @@ def _p(tail: Column) -> Column:
     return F.least(F.greatest(tail, F.lit(1e-30)), F.lit(1.0))
 
 
+def _class(symbol: str) -> str:
+    return "lower" if symbol.islower() else "upper" if symbol.isupper() else "digit" if symbol.isdigit() else "separator"
+
+
+def identifier_model() -> list[float]:
+    """Natural logarithms of the probability of each symbol after each other; the first row is the start."""
+    pairs = {a: {b: 0 for b in string.ascii_lowercase} for a in " " + string.ascii_lowercase}
+    for word in WORDS:
+        for a, b in zip(f" {word}", word):
+            pairs[a][b] += 1
+
+    def letter(a: str, b: str) -> float:
+        total = sum(pairs[a].values())
+        return _EVEN / 26 + (1 - _EVEN) * (pairs[a][b] / total if total else 1 / 26)
+
+    def probability(before: str, symbol: str) -> float:
+        kind = _class(symbol)
+        share = CLASSES[_class(before) if before else ""]["lower upper digit separator".split().index(kind)]
+        if kind == "digit":
+            return share / 10
+        if kind == "separator":
+            return share * SEPARATORS[symbol]
+        # a capital after a small letter begins a word
+        goes_on = before.isalpha() and not (before.islower() and kind == "upper")
+        return share * letter(before.lower() if goes_on else " ", symbol.lower())
+
+    return [math.log(probability(before, symbol)) for before in ("", *SYMBOLS) for symbol in SYMBOLS]
+
+
+def word_like(token: Column, kind: str) -> Column:
+    """log10 of the p-value of the hypothesis that the token is a plain identifier."""
+    body = F.rtrim(token, F.lit("="))
+    table = F.split(F.lit(",".join(f"{x:.5f}" for x in identifier_model())), ",").cast("array<double>")
+    codes = F.transform(F.split(body, ""), lambda c: F.instr(F.lit(SYMBOLS), c))
+    steps = F.zip_with(F.concat(F.array(F.lit(0)), codes), codes, lambda a, b: F.when(b.isNotNull(), a * len(SYMBOLS) + b - 1))
+    in_words = F.aggregate(F.filter(steps, lambda i: i.isNotNull()), F.lit(0.0), lambda s, i: s + F.get(table, i.cast("int")))
+    return F.least((in_words + F.char_length(body) * math.log(len(ALPHABETS[kind]))) / math.log(10), F.lit(0.0))
+
+
 def encoding(token: Column) -> Column:
     body = F.rtrim(token, F.lit("="))
     return (
@@ -147,7 +215,7 @@ def battery(token: Column, kind: str) -> Column:
 
 
 def scanned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, the base spans by kind, and the other runs with encoding, length octave and p."""
+    """doc_id, the base spans by kind, and the other runs with encoding, length octave, bin of p and the battery's p."""
     df = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     for kind, (quick, pattern, group, least) in BASE.items():
         df = _with_starts(df, kind, "text", quick, pattern, group, least)
@@ -158,15 +226,16 @@ def scanned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     df = df.withColumn("runs", F.filter(kinds, lambda r: r["encoding"].isNotNull() & apart(r)))
 
     def tested(r: Column) -> Column:
-        p = F.lit(None).cast("double")
+        p, log_p = F.lit(None).cast("double"), F.lit(None).cast("double")
         bits = F.lit(0.0)
         for kind, alphabet in ALPHABETS.items():
             p = F.when(r["encoding"] == kind, battery(r["token"], kind)).otherwise(p)
+            log_p = F.when(r["encoding"] == kind, word_like(r["token"], kind)).otherwise(log_p)
             bits = F.when(r["encoding"] == kind, F.log2(F.lit(len(alphabet)))).otherwise(bits)
         size = F.char_length(F.rtrim(r["token"], F.lit("=")))
         return F.struct(
             r["start"].alias("start"), r["end"].alias("end"), r["encoding"].alias("encoding"), (size * bits).alias("bits"),
-            F.floor(F.log2(size)).cast("int").alias("octave"), F.floor(F.log10(F.greatest(p, F.lit(1e-30))) / _BIN).cast("int").alias("bin"),
+            F.floor(F.log2(size)).cast("int").alias("octave"), F.floor(F.greatest(log_p, F.lit(-30.0)) / _BIN).cast("int").alias("bin"), p.alias("uniform"),
         )
 
     places = {kind: F.transform(kind, lambda s: F.struct(s["start"], s["end"])) for kind in BASE}
@@ -174,7 +243,7 @@ def scanned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
 
 
 def cutoffs(found: DataFrame, rate: float) -> dict[tuple[str, int], int]:
-    """For each encoding and length octave the highest bin of p that counts as not random."""
+    """For each encoding and length octave the highest bin of p at which a run is no plain identifier."""
     bins = found.select(F.explode("runs").alias("r")).groupBy("r.encoding", "r.octave", "r.bin").agg(F.count("*").alias("n"))
     part = Window.partitionBy("encoding", "octave")
     ranked = bins.select(
@@ -186,18 +255,18 @@ def cutoffs(found: DataFrame, rate: float) -> dict[tuple[str, int], int]:
 
 
 def _limit(limits: dict[tuple[str, int], int], run: Column) -> Column:
-    limit = F.lit(-(10**6))  # below every bin: nothing counts as not random
+    limit = F.lit(-(10**6))  # below every bin: nothing is found
     for (kind, octave), top in sorted(limits.items()):
         limit = F.when((run["encoding"] == kind) & (run["octave"] == octave), top).otherwise(limit)
     return limit
 
 
 def secret_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
-                 rate: float = RATE, min_bits: float = MIN_BITS) -> DataFrame:
+                 rate: float = RATE, min_bits: float = MIN_BITS, gate: float = GATE) -> DataFrame:
     """doc_id and, for each kind, its spans in the order of the text."""
     found = written(scanned(docs, doc_id, text), "secret-runs")
     limits = cutoffs(found, rate)
-    random = F.filter("runs", lambda r: (r["bits"] >= min_bits) & (r["bin"] > _limit(limits, r)))
+    random = F.filter("runs", lambda r: (r["bits"] >= min_bits) & (r["uniform"] >= gate) & (r["bin"] <= _limit(limits, r)))
     return found.select("doc_id", *BASE, F.transform(random, lambda r: F.struct(r["start"], r["end"])).alias("random"))
 
 

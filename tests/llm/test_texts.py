@@ -185,6 +185,77 @@ def test_secret_battery(spark):
     assert sum(got[i] for i in range(1, 300, 2)) >= 145 and not any(got[i] for i in range(0, 300, 2))
 
 
+def _plain_identifiers(rng, n):
+    words = ("apple river mountain yellow customer invoice garden window market silver teacher bridge planet coffee morning engine forest castle doctor"
+             " winter movie water policy review spring album butter candle desert effort father guitar hammer island jacket kitchen lemon mirror number").split()
+    pick = lambda k: [rng.choice(words) for _ in range(k)]
+    kinds = [lambda: "".join(pick(4)) + str(rng.randint(10, 99)), lambda: pick(1)[0] + "".join(w.title() for w in pick(3)) + str(rng.randint(0, 9)),
+             lambda: "_".join(pick(4)).upper() + f"_V{rng.randint(1, 9)}", lambda: "-".join(pick(4)) + f"-{rng.randint(1, 2024)}",
+             lambda: "_".join(pick(4)) + f"_{rng.randint(1, 99)}", lambda: "/" + "/".join(pick(2)) + f"/{rng.randint(2000, 2024)}/{rng.randint(1, 12):02}/" + "-".join(pick(2))]
+    return [kinds[i % 6]() for i in range(n)]
+
+
+def _random_tokens(rng, n):
+    draw = lambda alphabet, k: "".join(rng.choice(alphabet) for _ in range(k))
+    kinds = [(string.ascii_letters + string.digits + "+/", (24, 32, 40, 64)), ("0123456789ABCDEF", (32, 40, 64)), (string.digits + string.ascii_lowercase, (24, 36, 48)),
+             (string.ascii_uppercase + "234567", (26, 32, 52)), (string.ascii_letters + string.digits, (22, 40))]
+    return [draw(kinds[i % 5][0], rng.choice(kinds[i % 5][1])) for i in range(n)]
+
+
+def brute_random_spans(tokens, rate=secrets.RATE, gate=secrets.GATE, min_bits=secrets.MIN_BITS):
+    """Numbers of the tokens that are found, from likelihoods, tests and the step-up procedure computed here."""
+    model, k = secrets.identifier_model(), len(secrets.SYMBOLS)
+    upper = lambda z: 0.5 * math.erfc(z / 2**0.5)
+    parts = collections.defaultdict(list)
+    random_like = set()
+    for number, token in enumerate(tokens):
+        if not re.search("[0-9]", token) or not re.search("[A-Za-z]", token) or len(token) < 20:
+            continue
+        kind = ("hex" if re.fullmatch("[0-9a-f]+|[0-9A-F]+", token) else "base32" if re.fullmatch("[A-Z2-7]+", token)
+                else "base36" if re.fullmatch("[0-9a-z]+", token) else "base64")
+        letters = secrets.ALPHABETS[kind]
+        at = [0] + [secrets.SYMBOLS.index(c) + 1 for c in token]
+        log_p = min(0.0, (sum(model[a * k + b - 1] for a, b in zip(at, at[1:])) + len(token) * math.log(len(letters))) / math.log(10))
+        parts[kind, int(math.log2(len(token)))].append((math.floor(max(log_p, -30) / secrets._BIN), number))
+        body = (token.lower() if kind == "hex" else token.replace("-", "+").replace("_", "/"))
+        n, m = len(body), len(letters)
+        chi = m / n * sum(body.count(c) ** 2 for c in letters) - n
+        spread = 2 / (9 * (m - 1))
+        tests = [upper(((chi / (m - 1)) ** (1 / 3) - (1 - spread)) / spread**0.5)]
+        half = [letters.index(c) >= m // 2 for c in body]
+        runs, high = 1 + sum(a != b for a, b in zip(half, half[1:])), sum(half)
+        both = 2 * high * (n - high)
+        variance = both * (both - n) / (n * n * (n - 1))
+        tests.append(2 * upper(abs(runs - both / n - 1) / variance**0.5) if variance > 0 else 0.0)
+        values = [letters.index(c) - (m - 1) / 2 for c in body]
+        tests.append(2 * upper(abs(sum(a * b for a, b in zip(values, values[1:]))) / ((m * m - 1) / 12 * (n - 1) ** 0.5)))
+        x = -sum(math.log(min(1, max(p, 1e-30))) for p in tests)
+        if math.exp(-x) * (1 + x + x * x / 2) >= gate and n * math.log2(m) >= min_bits:
+            random_like.add(number)
+    found = set()
+    for part in parts.values():
+        bins = sorted(b for b, _ in part)
+        passed = [b for i, b in enumerate(bins) if 10.0 ** ((b + 1) * secrets._BIN) <= rate * sum(x <= b for x in bins) / len(bins)]
+        found |= {number for b, number in part if passed and b <= max(passed)}
+    return found & random_like
+
+
+@pytest.mark.parametrize("share", [0, 5, 50])
+def test_secret_false_discoveries(spark, share):
+    """Plain identifiers of six kinds stay, random tokens are found, and the spans are those of the brute-force version."""
+    rng = random.Random(60 + share)
+    plain, drawn = _plain_identifiers(rng, 3000), _random_tokens(rng, 30 * share)
+    tokens = plain + drawn
+    docs = spark.createDataFrame([(i, f"see {t} there") for i, t in enumerate(tokens)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in secrets.secret_spans(docs).select("doc_id", "random", F.size("hex").alias("n")).collect()}
+    found = {i for i, r in got.items() if r["random"]}
+    assert all(r["random"] in ([], [(4, 4 + len(tokens[i]))]) for i, r in got.items())
+    assert sum(i < 3000 for i in found) <= 60
+    base = {i for i, r in got.items() if r["n"]}
+    assert sum(i >= 3000 and (i in found or i in base) for i in got) >= 0.95 * len(drawn)
+    assert found == {i for i in brute_random_spans([t if n not in base else "" for n, t in enumerate(tokens)])}
+
+
 def test_secrets_after_names(spark):
     """Values right after name= are runs of their own, padding stays, names and query strings are not found."""
     rng = random.Random(9)
