@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from folioscan.functions import filetypes
 from folioscan.functions.urls import suffix
 from folioscan.plans.download import METADATA, with_metadata, with_target_path
+from folioscan.sources.landed import contents
 
 
 def described(responses: DataFrame) -> DataFrame:
@@ -38,6 +39,22 @@ def landed_files(files: DataFrame) -> DataFrame:
     )
 
 
+def kept_verdicts(files: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """``path, size, modified, valid, judged`` of listed files (``landed.list_files``).
+
+    known: the table that an earlier run made. A file that has the path, length and time of a
+    known one keeps its verdict and is not opened; only the others are read (``judged``).
+    """
+    listed = files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+    same = ["path", "size", "modified"]
+    held = None if known is None else known.select(*same, "valid").dropDuplicates(same)
+    changed = listed if held is None else listed.join(held, same, "left_anti")
+    read = contents(changed.select("path", F.col("size").alias("length"), "modified"))
+    valid = filetypes.is_valid(F.lower(suffix(F.col("path"))), F.col("content"), F.col("length"))
+    judged = read.select("path", F.col("length").alias("size"), "modified", valid.alias("valid"), F.lit(True).alias("judged"))
+    return judged if held is None else judged.unionByName(listed.join(held, same).withColumn("judged", F.lit(False)))
+
+
 def ingested(responses: DataFrame, plan: DataFrame, landed: DataFrame | None = None) -> DataFrame:
     """Responses with metadata, planned and final path, and outcome.
 

@@ -15,6 +15,8 @@ path write the same file; the later rename stays. A null path or content writes
 
 from __future__ import annotations
 
+import re
+import time
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,11 +32,13 @@ def inside(path: str) -> str:
     return "/".join(part for part in path.split("/") if part not in ("", ".", ".."))
 
 
-def opened(folder: str) -> tuple[fs.FileSystem, str]:
-    if "://" not in folder and not folder.startswith("file:"):
-        return fs.LocalFileSystem(), folder.rstrip("/")
-    system, path = fs.FileSystem.from_uri(folder.replace("file:/", "file:///", 1) if folder.startswith("file:/") and not folder.startswith("file://") else folder)
-    return system, path.rstrip("/")
+def opened(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path as Spark spells it (not escaped), and the path in it."""
+    scheme, authority, inner = re.fullmatch(r"(?:([A-Za-z][A-Za-z0-9+.-]*):)?(//[^/]*)?(.*)", path, re.S).groups()
+    if scheme in (None, "file"):
+        return fs.LocalFileSystem(), inner.rstrip("/")
+    system, base = fs.FileSystem.from_uri(f"{scheme}:{authority or ''}/")
+    return system, (base.rstrip("/") + inner).rstrip("/")
 
 
 @dataclass
@@ -80,6 +84,13 @@ class BodyWriter(DataSourceArrowWriter):
         self._clear()
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
+        # tasks that are still running when another has failed may write once more
+        for wait in (0.1, 0.5, 2.0):
+            try:
+                self._clear()
+            except OSError:
+                pass
+            time.sleep(wait)
         self._clear()
 
     def _clear(self) -> None:

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from folioscan import schemas
+from folioscan.session import ship_package
+from folioscan.sources.bodies import opened
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -28,6 +33,30 @@ def read_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     )
 
 
+def list_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """Files on disk as ``path, length, modificationTime``; no file is opened."""
+    return read_files(spark, path, glob).select("path", "length", "modificationTime")
+
+
+def contents(files: DataFrame) -> DataFrame:
+    """Add ``content`` to listed files: each task opens the files of its own rows, one at a time.
+
+    For a part of a folder that only a join can name; ``read_files`` reads all of it.
+    """
+    names = files.columns
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(len(batch)):
+                system, path = opened(batch.column("path")[at].as_py())
+                with system.open_input_stream(path) as stream:
+                    body = pa.array([stream.read()], pa.binary())
+                yield pa.RecordBatch.from_arrays([*batch.slice(at, 1).columns, body], names=[*names, "content"])
+
+    ship_package(files.sparkSession)
+    return files.mapInArrow(read, T.StructType([*files.schema.fields, T.StructField("content", T.BinaryType())]))
+
+
 def read_responses(spark: SparkSession, path: str) -> DataFrame:
     """Landed responses as Parquet."""
     return spark.read.schema(schemas.RESPONSES).parquet(path)

@@ -534,6 +534,14 @@ ORACLES: dict[str, str] = {
             FROM ingested i JOIN bodies USING (url) WHERE outcome = 'successful'""",
         "ingested", "bodies",
     ),
+    "verdicts_kept": _with(
+        """SELECT (50000 + doc_id) || ext AS filepath, size, size % 2 = 1 AS judged,
+                  CASE WHEN size < 100 THEN false WHEN ext = '.pdf' THEN size >= 1024 AND is_pdf WHEN ext = '.zip' THEN is_zip
+                       WHEN ext = '.doc' THEN size > 1000 WHEN ext = '.bin' THEN size > 100 ELSE true END AS valid
+           FROM (SELECT *, coalesce(header_ext, magic_ext) AS ext FROM bodies) WHERE NOT failing""",
+        "bodies",
+    ),
+    "link_dedup_stored": _with("SELECT url, page_no, link_no, data_name FROM first_links", "first_links"),
     "detected_ext": _with("SELECT url, coalesce(header_ext, magic_ext) AS ext FROM bodies WHERE NOT failing", "bodies"),
     "zip_test": _with("SELECT url, is_zip FROM bodies WHERE NOT failing", "bodies"),
     "file_validate": _with(

@@ -493,6 +493,28 @@ def text_files(spark, sf_dir):
     )
 
 
+@query
+def verdicts_kept(spark, sf_dir):
+    """Verdicts on all bodies as files, of which half were judged by an earlier run."""
+    path = new_path(spark, "judged")
+    bodies = _arrived(spark, sf_dir).select(
+        F.concat(F.regexp_extract("url", r"(\d+)/download$", 1), filetypes.detected_extension(F.col("content_type"), F.col("content"))).alias("filepath"),
+        "content",
+    )
+    odd = F.octet_length("content") % 2 == 1
+    sinks.write_bodies(bodies.filter(~odd), path)
+    earlier = written(fetch.kept_verdicts(landed.list_files(spark, path)), "verdicts")
+    sinks.write_bodies(bodies.filter(odd), path)
+    now = fetch.kept_verdicts(landed.list_files(spark, path), earlier)
+    return now.select(F.substring_index("path", "/", -1).alias("filepath"), "size", "valid", "judged")
+
+
+@query
+def link_dedup_stored(spark, sf_dir):
+    """First links of a table of links."""
+    return links.first_stored_links(written(_page_links(spark, sf_dir), "links"))
+
+
 @query
 def landed_page_range(spark, sf_dir):
     """Links of all pages of a landed table, from the first to the last; the range reaches the scan."""
