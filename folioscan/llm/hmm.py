@@ -13,14 +13,20 @@ in every round. Scoring is the scaled forward recursion over each whole text.
 
 Unigram counts are taken over all training tokens. For the score of each text, words with
 more than one in ``HEAD`` training tokens (so at most that many words) come with the tasks;
-the rest is joined by word, and no such word is frequent enough to fill a task.
+the rest is joined by word. Such a word is rare in training; one that held-out texts alone
+repeat has no count to join, and is split like any skewed key by the adaptive join.
 
 Rules: words are lower-cased in A-Z; every text ends with one end token; a null text is
 empty and has only that one. Every row is scored, repeated ones each; a null id counts as
 empty when the held-out part is chosen. Without training tokens every word
-is unknown and the score is the unigram score. For training, texts of more than ``SEGMENT``
-tokens have their backward recursion restarted at that distance, which bounds memory;
-scores are exact for any length. Other columns play no part.
+is unknown and the score is the unigram score. Both recursions run over whole texts; above
+``SEGMENT`` tokens they go piece by piece, with the vectors of forward and backward
+carried over the borders, so memory is bounded and the counts are the same. An empty table gives an
+empty result. Other columns play no part.
+
+Limits: what states emit is learned for classes, not for each word. The number of classes is
+bounded (``classes`` + ``shared``), as each task holds the model; only the unigram part grows with the
+vocabulary. In a corpus of fewer than ``classes`` tokens every word is a class of its own.
 """
 
 from __future__ import annotations
@@ -42,7 +48,7 @@ END = " "  # no word is a space
 HEAD = 1 << 19
 CLASSES, SHARED = 2048, 512
 STATES, ROUNDS = 8, 3
-SEGMENT = 1 << 14
+SEGMENT = 1 << 18
 TOKENS_AT_ONCE = 250_000
 
 
@@ -160,10 +166,47 @@ def log10_likelihoods(model: Model, texts: list[np.ndarray]) -> np.ndarray:
     return result
 
 
-def expected_counts(model: Model, texts: list[np.ndarray]) -> np.ndarray:
+def _forward(model: Model, text: np.ndarray, before: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Scaled forward vectors and scales of a piece of one text; before: the vector at the end of the piece before."""
+    alpha, scales = np.zeros((len(text), len(model.start))), np.ones(len(text))
+    for t, seen in enumerate(text):
+        a = (model.start if before is None else before @ model.step) * model.emit[seen]
+        scales[t] = a.sum()
+        before = alpha[t] = a / scales[t]
+    return alpha, scales
+
+
+def _add_long(model: Model, text: np.ndarray, segment: int, start: np.ndarray, step: np.ndarray, emit: np.ndarray) -> None:
+    """Add the counts of one long text. Forward vectors are kept at the borders only, and made again piece by piece on the way back."""
+    pieces = range(0, len(text), segment)
+    borders: list[np.ndarray | None] = [None]
+    for at in pieces:
+        borders.append(_forward(model, text[at : at + segment], borders[-1])[0][-1])
+    beta, ahead = np.ones(len(model.start)), None
+    for number in range(len(pieces) - 1, -1, -1):
+        piece = text[pieces[number] : pieces[number] + segment]
+        alpha, scales = _forward(model, piece, borders[number])
+        for t in range(len(piece) - 1, -1, -1):
+            if ahead is not None:
+                step += np.outer(alpha[t], ahead)
+                beta = model.step @ ahead
+            ahead = model.emit[piece[t]] * beta / scales[t]
+            alpha[t] *= beta
+        alpha /= np.maximum(alpha.sum(1, keepdims=True), 1e-300)
+        for s in range(len(model.start)):
+            emit[:, s] += np.bincount(piece, weights=alpha[:, s], minlength=len(emit))
+        if number == 0:
+            start += alpha[0]
+
+
+def expected_counts(model: Model, texts: list[np.ndarray], segment: int = SEGMENT) -> np.ndarray:
     """Baum-Welch counts of start, step and emission, in one flat array."""
     states, classes = len(model.start), len(model.emit)
     start, step, emit = np.zeros(states), np.zeros((states, states)), np.zeros((classes, states))
+    for text in texts:
+        if len(text) > segment:
+            _add_long(model, text, segment, start, step, emit)
+    texts = [text for text in texts if len(text) <= segment]
     for group in _groups(texts):
         held, reach = _padded([texts[i] for i in group])
         alpha, scales = np.zeros((*held.shape, states)), np.ones(held.shape)
@@ -262,8 +305,7 @@ def train(sequences: DataFrame, mass: np.ndarray, states: int = STATES, rounds:
         def run(batches: Iterator[pa.RecordBatch], current: Model = current) -> Iterator[pa.RecordBatch]:
             total = None
             for texts in _chunks(batches):
-                parts = [t[i : i + SEGMENT] for t in texts for i in range(0, len(t), SEGMENT)]
-                counts = expected_counts(current, parts)
+                counts = expected_counts(current, texts)
                 total = counts if total is None else total + counts
             if total is not None:
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], names=["at", "n"])

@@ -177,3 +177,15 @@ def test_registered():
 
     assert set(queries.QUERIES) | {"pipeline"} <= set(registered()) and set(queries.ORACLES) <= set(oracle_sql())
     assert {q.split("_")[0] for q in queries.QUERIES} == {f"op{n}" for n in range(1, 11)}
+
+
+def test_long_texts_are_counted_whole():
+    """Vectors are carried over the borders of pieces: counts are those of the whole text, which starts once."""
+    rng = np.random.default_rng(11)
+    mass = rng.dirichlet(np.ones(9))
+    model = hmm.first_model(mass, 3)
+    texts = [rng.integers(0, 9, n).astype(np.int32) for n in (1, 2, 7, 40, 41, 100)]
+    whole = hmm.expected_counts(model, texts)
+    for segment in (1, 3, 7, 40):
+        assert np.allclose(hmm.expected_counts(model, texts, segment), whole, rtol=1e-9)
+    assert np.isclose(whole[:3].sum(), len(texts)) and np.isclose(whole[12:].sum(), sum(map(len, texts)))
