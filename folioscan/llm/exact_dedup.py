@@ -2,18 +2,20 @@
 
 1. Every task of the scan puts its rows into an open-addressing table that compares
    complete content, and writes one row for each content to the spill table in the
-   shared folder. A content with a third of all rows thus leaves each task once.
+   shared folder. A content with a third of all rows thus leaves each task once for each
+   table that the task fills; a table is full at ``bucket_bytes``, its contents, rows and ids together.
 2. The spill table is dealt out by bits of the content's hash. Buckets whose content
    is larger than ``bucket_bytes`` are written again and dealt out by other bits, as
    often as needed; a bucket with only one hash cannot be split and need not be, as
    its table holds that content once.
-3. Each bucket that fits gets a table of its own, which again compares complete
+3. Each bucket that fits is a task and a table of its own, which again compares complete
    content. Hash values only choose buckets and slots.
 
 Rules: a null text counts as empty; texts are equal when identical after lower-casing
 A-Z; the row with the largest id stays (a null id is the smallest; of rows with the
 same id and content, one stays); other columns are carried along as they are, under
-any name. An empty table gives an empty table.
+any name. Texts are compared whole, however long: one that is longer than ``bucket_bytes``
+is a bucket by itself. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -110,10 +112,10 @@ def _local(id_at: int, text_at: int, limit: int):
         from pyspark import TaskContext
 
         uid = TaskContext.get().partitionId() << 33
-        held, kept, members, best = ContentTable(), _Kept(), [], []
+        held, kept, members, best, n_ids = ContentTable(), _Kept(), [], [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal uid, held, kept, members, best
+            nonlocal uid, held, kept, members, best, n_ids
             step = 256
             for start in range(0, len(members), step):
                 some = slice(start, start + step)
@@ -126,10 +128,11 @@ def _local(id_at: int, text_at: int, limit: int):
                 ]
                 uid += len(members[some])
                 yield pa.RecordBatch.from_arrays(_one(kept.rows[some]) + extra, names=kept.rows[0].schema.names + _EXTRA)
-            held, kept, members, best = ContentTable(), _Kept(), [], []
+            held, kept, members, best, n_ids = ContentTable(), _Kept(), [], [], 0
 
         for batch in batches:
             ids = batch.column(id_at).to_pylist()
+            row_bytes = batch.nbytes // max(1, len(batch))
             for at, content in enumerate(_contents(batch.column(text_at))):
                 number, fresh = held.place(xxhash.xxh3_64_intdigest(content), content)
                 if fresh:
@@ -138,7 +141,9 @@ def _local(id_at: int, text_at: int, limit: int):
                 if kept.offer(number, fresh, ids[at], batch, at):
                     best[number] = len(members[number])
                 members[number].append(ids[at])
-                if held.bytes > limit:
+                n_ids += 1
+                # contents, kept rows (about a mean row each) and ids
+                if held.bytes + len(held.contents) * row_bytes + 8 * n_ids > limit:
                     yield from flush()
         yield from flush()
 
@@ -153,7 +158,7 @@ def _signed(code: int) -> int:
 
 
 def _bucket(width: int, id_at: int, text_at: int):
-    """Spilled rows of whole buckets to one row for each content."""
+    """Spilled rows of one bucket to one row for each content."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, kept, uids, keep, sizes = ContentTable(), _Kept(), [], [], []
@@ -231,7 +236,7 @@ class Grace:
             )
             again = level < LEVEL_BITS and bool(large.head(1))
             fits = dealt.join(large, "bucket", "left_anti").select(*dealt.columns) if again else dealt
-            done.append(fits.repartition(int(fan), "bucket").mapInArrow(_bucket(self.width, id_at, text_at), found))
+            done.append(fits.repartitionById(int(fan), F.col("bucket").cast("int")).mapInArrow(_bucket(self.width, id_at, text_at), found))
             if not again:
                 break
             pending = written(dealt.join(large, "bucket", "left_semi").select(*dealt.columns), f"grace-level{level + 1}")
