@@ -14,9 +14,13 @@ in two levels, over blocks and within a block; the number of blocks of a source
 about the root of its number of rows, so neither level meets in one large task. Sums
 are exact decimals. The offset and the order come from hashes: reruns agree.
 
+Rows without an id are ordered by their text instead, so that they spread over blocks too.
+
 Rules: a null text has size 0; the null source is one source, last in order; a source
 of size 0 has target 0 and none of its documents is emitted. Rows with the same doc_id
-and text are separate documents. No document is taken more than ``most`` times.
+and text are separate documents. No document is taken more than ``most`` times. Texts are
+measured whole, however long. An empty table gives an empty result. ``mixed_documents`` knows
+rows by 128 bits of hash.
 Source totals (one row for each source) are ranked in one task: mixes have weights that
 people choose, so sources are few; documents never are.
 """
@@ -93,11 +97,16 @@ def with_copies(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     return placed.withColumn("copies", crossed.cast("long"))
 
 
+def _key(doc_id: str, text: str) -> Column:
+    """What orders a row: its id, or its text if it has none."""
+    return F.coalesce(F.col(doc_id).cast("string"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+
+
 def sized(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """doc_id, source, size and the key that orders: the narrow table that is mixed."""
     return docs.select(
         F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), n_words(F.col(text)).alias("size"),
-        F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("key"),
+        _key(doc_id, text).alias("key"),
     )
 
 
@@ -109,17 +118,19 @@ def taken_words(docs: DataFrame, **settings) -> DataFrame:
 
 def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **settings) -> DataFrame:
     """The rows of the mix, with all columns: each document as often as it is taken."""
-    same = F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.coalesce(F.col(text), F.lit("")),
-                      F.coalesce(F.col(source).cast("string"), F.lit("")), F.col(source).isNull())
+    parts = [F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.coalesce(F.col(text), F.lit("")),
+             F.coalesce(F.col(source).cast("string"), F.lit("")), F.col(source).isNull()]
+    same = [F.xxhash64(*parts).alias("row_1"), F.xxhash64(F.lit("row"), *parts).alias("row_2")]
+    row_key = ["row_1", "row_2"]
     narrow = docs.select(
         F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), n_words(F.col(text)).alias("size"),
-        F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("key"), same.alias("row_key"),
+        _key(doc_id, text).alias("key"), *same,
     )
     copies = with_copies(written(narrow, "mix-sizes"), **settings)
-    copies = copies.groupBy("row_key").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")).filter("copies > 0")
-    rows = docs.select(F.struct("*").alias("row"), same.alias("row_key")).join(copies, "row_key")
+    copies = copies.groupBy(*row_key).agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")).filter("copies > 0")
+    rows = docs.select(F.struct("*").alias("row"), *same).join(copies, row_key)
     # equal rows, where there are any, come out together
-    several = rows.filter("rows > 1").groupBy("row_key").agg(F.first("row").alias("row"), F.first("copies").alias("copies"))
+    several = rows.filter("rows > 1").groupBy(*row_key).agg(F.first("row").alias("row"), F.first("copies").alias("copies"))
     every = rows.filter("rows = 1").select("row", "copies").unionByName(several.select("row", "copies"))
     times = F.sequence(F.lit(1).cast("long"), F.col("copies"))
     return every.select("row", F.explode(times).alias("nth")).select("row.*")
@@ -128,7 +139,7 @@ def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 ORACLE = """
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
-         md5(coalesce(doc_id::VARCHAR, '')) AS spread FROM documents
+         md5(coalesce(doc_id::VARCHAR, md5(coalesce(text, '')))) AS spread FROM documents
 ), t AS (
   SELECT source, count(*) AS n_docs, sum(size)::BIGINT AS source_size FROM d GROUP BY source
 ), r AS (
