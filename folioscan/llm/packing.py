@@ -12,7 +12,8 @@
    bucket has about as many blocks as the root of its rows, so no bucket meets in one task.
 
 Rules: a text has its words and one end as tokens; null and empty texts have the end only.
-Every row gets a slot, repeated rows one each. Columns of other names play no part. An
+Lengths are those of whole texts, so above 4096 tokens the padding is optimal for lengths as
+rounded. Every row gets a slot, repeated rows one each. Columns of other names play no part. An
 empty table gives an empty table.
 """
 
@@ -103,13 +104,13 @@ def buckets_of(lengths: DataFrame, n_buckets: int, budget: int) -> list[Bucket]:
 
 
 def packed(lengths: DataFrame, n_buckets: int = N_BUCKETS, budget: int = BUDGET) -> DataFrame:
-    """Add bucket, bucket_length, batch and slot to a table with doc_id and n_tokens."""
+    """Add bucket, bucket_length, batch and slot to a table with doc_id and n_tokens, and a hash ``code`` where ids may be missing."""
     buckets = buckets_of(lengths, n_buckets, budget)
     size = rounded(F.col("n_tokens"))
     bounds = F.array(*[F.lit(b.bound) for b in buckets]) if buckets else F.array().cast("array<int>")
     of = lambda values: F.get(F.array(*[F.lit(int(v)).cast("long") for v in values or [0]]), F.col("bucket"))
     rows = lengths.withColumn("bucket", F.size(F.filter(bounds, lambda b: b < size)))
-    rows = rows.withColumn("code", F.xxhash64("doc_id", "n_tokens"))
+    rows = rows if "code" in lengths.columns else rows.withColumn("code", F.xxhash64("doc_id", "n_tokens"))
     blocks = of([int(b.rows**0.5 / 4) + 1 for b in buckets])
     rows = rows.withColumn("block", F.pmod(F.col("code"), blocks))
     along = Window.partitionBy("bucket").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -127,5 +128,5 @@ def packed(lengths: DataFrame, n_buckets: int = N_BUCKETS, budget: int = BUDGET)
 
 def pack_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **settings) -> DataFrame:
     """doc_id, n_tokens, bucket, bucket_length, batch, slot: one row for each document."""
-    lengths = docs.select(F.col(doc_id).alias("doc_id"), (n_words(F.col(text)) + 1).alias("n_tokens"))
+    lengths = docs.select(F.col(doc_id).alias("doc_id"), (n_words(F.col(text)) + 1).alias("n_tokens"), F.xxhash64(doc_id, text).alias("code"))
     return packed(written(lengths, "pack-lengths"), **settings)
