@@ -11,18 +11,19 @@ rejected if the runner-up is within ``margin`` of the smallest size.
 
 Bounds: a dictionary has at most ``dictionary_bytes``, cut from at most
 ``docs_per_language`` texts with the smallest hashes of their ids, at most
-``piece`` characters of each, from a place that the hash chooses. There is one dictionary
-for each label, and these are few. Every text is predicted whole.
+``piece`` characters of each, from a place that the hash chooses; of texts that do not fit, those
+with larger hashes are left out. There is one dictionary for each of the ``max_languages`` most
+frequent labels. Every text is predicted whole.
 
 Rules: null texts and texts without a letter are ``und`` with score 0, and so is
 everything if nothing is labelled; an empty label is a label like others; rows without
-an id are predicted but not learned from; repeated rows get the same result; other
-columns play no part.
+an id are predicted but not learned from, and of rows that share an id (with equal texts or not)
+no more are learned from than of others; repeated rows get the same result; a letter is what
+``str.isalpha`` says; an empty table gives an empty result; other columns play no part.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -40,7 +41,7 @@ PIECE = 1200
 BLOCK = 1024
 LEVEL = 6
 MARGIN = 0.02
-_LETTER = re.compile(r"[^\W\d_]")
+MAX_LANGUAGES = 256
 
 
 class Language(NamedTuple):
@@ -50,19 +51,25 @@ class Language(NamedTuple):
 
 
 def fit(docs: DataFrame, learn: Column | None = None, doc_id: str = "doc_id", text: str = "text", lang: str = "lang",
-        docs_per_language: int = DOCS_PER_LANGUAGE, dictionary_bytes: int = DICTIONARY_BYTES, piece: int = PIECE) -> list[Language]:
+        docs_per_language: int = DOCS_PER_LANGUAGE, dictionary_bytes: int = DICTIONARY_BYTES, piece: int = PIECE,
+        max_languages: int = MAX_LANGUAGES) -> list[Language]:
     """Dictionaries from the labelled rows for which ``learn`` holds."""
     rows = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(doc_id).isNotNull())
     rows = rows.filter(learn) if learn is not None else rows
     rows = rows.select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
-    shares = {row["lang"]: row["n"] for row in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages)
+    shares = {row["lang"]: row["n"] for row in counts.collect()}
+    rows = rows.filter(F.col("lang").isin(list(shares)))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
     chosen = rows.select("id", "lang", F.row_number().over(order).alias("nth")).filter(F.col("nth") <= docs_per_language)
     ids = sorted({row["id"] for row in chosen.select("id").collect()})
     start = F.pmod(F.xxhash64(F.lit("piece"), "id"), F.greatest(F.char_length("text") - piece + 1, F.lit(1))) + 1
     pieces = rows.filter(F.col("id").isin(ids)).select("lang", "id", F.substring("text", start.cast("int"), F.lit(piece)).alias("text"))
+    # an id may stand for any number of rows: again the first ones only
+    few = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "text")
+    pieces = pieces.withColumn("nth", F.row_number().over(few)).filter(F.col("nth") <= docs_per_language)
     held: dict[str, list[bytes]] = {}
-    for row in sorted(pieces.collect(), key=lambda row: (row["lang"], row["id"], row["text"])):
+    for row in sorted(pieces.collect(), key=lambda row: (row["lang"], -row["nth"])):
         held.setdefault(row["lang"], []).append(row["text"].lower().encode())
     total = sum(shares.values())
     return [
@@ -81,7 +88,7 @@ class _Encoders:
 
     def predict(self, text: str | None) -> tuple[str, float, float]:
         """Language, score and margin."""
-        if not text or not self.languages or not _LETTER.search(text):
+        if not text or not self.languages or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0, 0.0
         data = text.lower().encode()
         blocks = [data[i : i + BLOCK] for i in range(0, len(data), BLOCK)]
