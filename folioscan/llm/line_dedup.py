@@ -4,13 +4,16 @@ The lines' keys are hashed to 128 bits, range-partitioned by hash, and sorted in
 the partitions by document (largest first) and position, so that the first occurrence
 of a key and the number of its documents are read off a sorted stream. The result is,
 for each document that loses lines, a bitmap of its lines in words of 64 bits; words
-in which every line stays are left out. Text is neither shuffled nor returned.
+in which every line stays are left out. The bitmaps hold no text; where they are applied
+(``deduped``), only texts that lose lines, or share a hash bucket with one that does, are
+shuffled to them.
 
 Hot lines: where a range of hashes holds more than its share of rows, the key is
 extended by a salt from the document, and the few partial results of such keys are
 summed. The list of such ranges has at most 2 * partitions entries.
 
-Rules: a null or empty text is one empty line; keys are stripped of white space at
+Rules: an empty table gives an empty result; texts are split whole, however long;
+a null or empty text is one empty line; keys are stripped of white space at
 both ends and A-Z lower-cased; keys shorter than ``min_chars`` stay. A key in at least
 ``min_docs`` documents keeps its lines in the largest doc_id only, there all of them;
 a null doc_id is the smallest. Rows with the same doc_id are one document; each of
@@ -27,6 +30,7 @@ from folioscan.session import written
 
 MIN_CHARS, MIN_DOCS = 20, 3
 RANGES = 1 << 16
+BUCKETS = 1 << 20
 
 
 def _whole(text: str) -> Column:
@@ -115,9 +119,17 @@ def deduped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **setti
     """doc_id, whole text, its bitmap (null: all lines stay) and the text that stays."""
     bitmaps = keep_bitmaps(docs, doc_id, text, **settings)
     rows = docs.select(F.col(doc_id).alias("doc_id"), _text_key(text).alias("key"), _whole(text).alias("text"))
-    same = rows["doc_id"].eqNullSafe(bitmaps["doc"]) & (rows["key"] == bitmaps["text_key"])
+    bitmaps = written(bitmaps, "line-bitmaps")
+    # texts that keep all lines stay where they are: a table of hash buckets, of a fixed greatest size, tells them
+    bucket = F.pmod(F.xxhash64(F.lit("bucket"), "key"), F.lit(BUCKETS))
+    losing = bitmaps.select(F.col("text_key").alias("key")).select(bucket.alias("bucket")).distinct().withColumn("may", F.lit(True))
+    marked = rows.withColumn("bucket", bucket).join(F.broadcast(losing), "bucket", "left").select("doc_id", "key", "text", "may")
+    some = marked.filter("may")
+    same = some["doc_id"].eqNullSafe(bitmaps["doc"]) & (some["key"] == bitmaps["text_key"])
     kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept_lines(F.col("text"), F.col("gone")))
-    return rows.join(bitmaps, same, "left").select("doc_id", "text", "gone", kept.alias("kept_text"))
+    changed = some.join(bitmaps, same, "left").select("doc_id", "text", "gone", kept.alias("kept_text"))
+    whole = marked.filter("may is null").select("doc_id", "text", F.lit(None).cast(changed.schema["gone"].dataType).alias("gone"), F.col("text").alias("kept_text"))
+    return changed.unionByName(whole)
 
 
 def line_counts(docs: DataFrame, **settings) -> DataFrame:
