@@ -172,11 +172,11 @@ def abstains(hashes: str, foreign: str, buckets: int = BUCKETS) -> Column:
     return FOREIGN_WORDS * n > F.size(hashes)
 
 
-def verdicts(docs: DataFrame, model: Model, text: str = "text", buckets: int = BUCKETS) -> DataFrame:
-    """Every row (as ``row``) with its counts, base_failed, score, abstained and kept."""
+def verdicts(docs: DataFrame, model: Model, text: str = "text", buckets: int = BUCKETS, counts: bool = True) -> DataFrame:
+    """Every row (as ``row``) with base_failed, score, abstained and kept, and its counts if these are asked for."""
     counted = with_counts(docs, text)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    columns = ["row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    columns = ["row", *(["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"] if counts else [])]
     judged = counted.select(
         *columns, failed.alias("base_failed"), score("hashes", model.weights, buckets).alias("score"),
         abstains("hashes", model.foreign, buckets).alias("abstained"),
@@ -189,4 +189,4 @@ def verdicts(docs: DataFrame, model: Model, text: str = "text", buckets: int = B
 
 def good_documents(docs: DataFrame, labels: DataFrame, text: str = "text", **settings) -> DataFrame:
     """The rows that are kept, with their columns."""
-    return verdicts(docs, fit(docs, labels, text=text, **settings), text).filter("kept").select("row.*")
+    return verdicts(docs, fit(docs, labels, text=text, **settings), text, counts=False).filter("kept").select("row.*")

@@ -153,3 +153,45 @@ def test_packing(spark, odd_documents):
     assert packing.pack_documents(docs.filter("false")).count() == 0
     sizes = spark.createDataFrame([(n,) for n in (1, 4095, 4096, 4097, 8191, 8193, 10**6)], "n long").select("n", packing.rounded(packing.F.col("n")).alias("r")).collect()
     assert [r["r"] for r in sizes] == [1, 4095, 4096, 4098, 8192, 8196, 1000192]
+
+
+def test_one_table_for_each_bucket(spark):
+    """Every bucket is a task of its own, within its bytes unless it is one content; ids count, too."""
+    rng = random.Random(21)
+    rows = [(i, "same text" if i % 3 == 0 else "".join(rng.choice("abc ") for _ in range(rng.randint(0, 60)))) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    run = exact_dedup.Grace(docs, bucket_bytes=2000)
+    sizes = run.found.selectExpr("spark_partition_id() AS p", "octet_length(lower(c1)) AS n").groupBy("p").agg({"n": "sum", "*": "count"}).collect()
+    assert max(r["sum(n)"] for r in sizes) <= 2000
+    hot = run.spill.filter("c1 = 'same text'")
+    assert hot.count() > 3 and hot.selectExpr("max(size(members)) AS n").first()["n"] <= 2000 // 8
+    assert sum(r["group_size"] for r in run.groups().filter("kept").collect()) == len(rows)
+    empty = exact_dedup.Grace(docs.limit(0))
+    assert empty.groups().count() == 0 and empty.survivors().columns == docs.columns and empty.survivors().count() == 0
+
+
+def test_rows_without_ids_spread(spark):
+    """A third of the rows without an id: no block takes them all."""
+    rows = [(None if i % 3 == 0 else i, f"w{i} " * (i % 40), "s") for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mixed = mixing.with_copies(mixing.sized(docs))
+    blocks = mixed.groupBy("source", "size_class", "block").count().collect()
+    assert max(r["count"] for r in blocks) < 600
+    got = mixing.taken_words(docs).collect()
+    assert abs(sum(r["taken"] for r in got) - got[0]["target"]) <= 150 and len(got) == len(rows)
+    assert collections.Counter(map(tuple, got)) == collections.Counter(map(tuple, mixing.taken_words(docs.repartition(3)).collect()))
+    packed = packing.pack_documents(docs.withColumn("text", packing.F.lit("five words of a text"))).collect()
+    assert len(packed) == len(rows) and len({(r["batch"], r["slot"]) for r in packed}) == len(rows)
+    lengths = docs.select("doc_id", packing.F.lit(7).cast("long").alias("n_tokens"), packing.F.xxhash64("doc_id", "text").alias("code"))
+    assert lengths.select("code").distinct().count() == docs.select("doc_id", "text").distinct().count()
+
+
+def test_texts_that_keep_their_lines_are_not_shuffled(spark, tmp_path):
+    rows = [(i, f"line {i} of a document alone\n" + ("a line that many documents share\n" if i < 5 else "")) for i in range(50)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    assert sorted((tuple(r) for r in line_dedup.line_counts(docs).collect()), key=repr) == brute_lines(rows)
+    plan = line_dedup.deduped(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan
+    below = plan.split("Union", 1)[1]
+    assert "may" in below

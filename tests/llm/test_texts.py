@@ -40,6 +40,19 @@ def test_language(spark, odd_documents):
     none = language_id.predictions(odd_documents, language_id.fit(odd_documents.filter("false"))).collect()
     assert {r["lang_pred"] for r in none} == {"und"}
     assert language_id.predictions(docs.filter("false"), languages).count() == 0
+    signs = spark.createDataFrame([(1, "½ ² ③ _ 7"), (2, "½ é"), (3, "\u0301")], "doc_id long, text string")
+    assert [r["lang_pred"] == "und" for r in language_id.predictions(signs, languages).orderBy("doc_id").collect()] == [True, False, True]
+
+
+def test_repeated_ids_stay_bounded(spark, monkeypatch):
+    """One id for many rows: no more pieces come to the driver than for other ids; labels beyond the limit are not learned."""
+    rows = [(7, f"the text number {i} of one id", "en") for i in range(2000)] + [(i, t, g) for i, t, g in _texts(60)] + [(900 + i, "x", f"rare{i}") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = []
+    collect = type(docs).collect
+    monkeypatch.setattr(type(docs), "collect", lambda self: seen.append(collect(self)) or seen[-1])
+    found = language_id.fit(docs, docs_per_language=20, max_languages=2)
+    assert [x.code for x in found] == ["de", "en"] and max(map(len, seen)) <= 40
 
 
 def brute_counts(text):
