@@ -182,6 +182,25 @@ def landed_files(spark: SparkSession, sf_dir: str, placed_plan: DataFrame) -> Da
     )
 
 
+# Pagers of many makes: by rel, by title alone, disabled themselves or by what is around them; the last page leads back.
+_PAGERS = """
+WITH numbers AS (SELECT DISTINCT page_no, max(page_no) OVER () AS last FROM {rows})
+SELECT page_no, concat('{base}?page=', page_no) AS url,
+  concat('<p>', page_no, '</p><ul class="pager">', CASE
+    WHEN page_no % 41 = 17 THEN '<li><a rel="next" class="pager-next is-disabled" href="?page=1">x</a></li>'
+    WHEN page_no % 41 = 29 THEN '<li class="is-disabled"><i>x</i> <a rel="next" href="?page=1">x</a></li>'
+    WHEN page_no % 3 = 0 THEN concat('<li><a title="Aller à la page suivante" href="/archive/list?page=', page_no + 1, '">x</a></li>')
+    WHEN page_no % 3 = 1 THEN concat('<li class="p"><a title="page suivante" href="?page=0">no</a><a class="n" rel=next href="?page=', target, '">x</a></li>')
+    ELSE concat('<li><span>', page_no, '</span> <a rel="next" href="{base}?page=', target, '">x</a></li>') END, '</ul>') AS html
+FROM (SELECT *, CASE WHEN page_no = last THEN {back} ELSE page_no + 1 END AS target FROM numbers)
+"""
+
+
+def pager_pages(spark: SparkSession, sf_dir: str, back: int = 3) -> DataFrame:
+    """The page numbers of the listing with pagers of all makes; the last page may lead back to page ``back``."""
+    return spark.sql(_PAGERS.replace("{base}", BASE_URL).replace("{back}", str(back)), rows=listing_rows(spark, sf_dir))
+
+
 def odd_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The landed pages, and for each page of the web one more: whole, empty, null, or without a table body."""
     landed = landed_pages(spark, sf_dir)

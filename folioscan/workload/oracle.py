@@ -354,6 +354,23 @@ walk AS (
   WHERE e.next_url IS NOT NULL)
 SELECT start_url, page_no, url FROM walk"""
 
+_FALLBACKS = f"""
+SELECT page_no, '{BASE_URL}?page=' || page_no AS url,
+       CASE WHEN page_no % 41 IN (17, 29) THEN NULL
+            WHEN page_no % 3 = 0 THEN '{ORIGIN}/archive/list?page=' || (page_no + 1)
+            ELSE '{BASE_URL}?page=' || CASE WHEN page_no = max(page_no) OVER () THEN 3 ELSE page_no + 1 END END AS next_url
+FROM (SELECT DISTINCT page_no FROM rows_fx)"""
+
+_LOOPS = f"""
+RECURSIVE rows_fx AS ({LISTING_ROWS.replace('{orders}', 'orders')}),
+edges AS ({_FALLBACKS}),
+walk AS (
+  SELECT url AS start_url, CAST(1 AS BIGINT) AS page_no, url, [url] AS passed FROM edges WHERE page_no % 100 = 0 OR page_no = 1
+  UNION ALL
+  SELECT w.start_url, w.page_no + 1, e.next_url, list_append(w.passed, e.next_url) FROM walk w JOIN edges e ON e.url = w.url
+  WHERE EXISTS (SELECT 1 FROM edges n WHERE n.url = e.next_url) AND NOT list_contains(w.passed, e.next_url))
+SELECT start_url, page_no, url FROM walk"""
+
 _STATS = """
 SELECT 'total_downloads' AS metric, '' AS key, count(*) AS n FROM good
 UNION ALL SELECT 'total_failures', '', count(*) FROM ingested WHERE outcome = 'error'
@@ -389,6 +406,8 @@ ORACLES: dict[str, str] = {
     ),
     "next_pages": _with(_NEXT, "rows_fx"),
     "page_chain": "WITH " + _CHAIN,
+    "next_pages_fallbacks": _with(_FALLBACKS, "rows_fx"),
+    "page_chain_loops": "WITH " + _LOOPS,
     "page_limit": _with("SELECT page_no, count(*) AS n FROM rows_fx WHERE page_no <= 7 GROUP BY page_no", "rows_fx"),
     # catalogue
     "exam_entries": _with("SELECT id, session, discipline, serie, localisation, files_count FROM entries", "entries"),

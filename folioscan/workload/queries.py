@@ -100,6 +100,20 @@ def next_pages(spark, sf_dir):
     return extract.next_pages(fx.landed_pages(spark, sf_dir))
 
 
+@query
+def next_pages_fallbacks(spark, sf_dir):
+    """Pagers without rel, with disabled links, and with links that lead back."""
+    return extract.next_pages(fx.pager_pages(spark, sf_dir))
+
+
+@query
+def page_chain_loops(spark, sf_dir):
+    """Chains from every hundredth page and from the first; some end at a disabled link, some in a loop."""
+    edges = extract.next_pages(fx.pager_pages(spark, sf_dir))
+    starts = edges.filter((F.col("page_no") % 100 == 0) | (F.col("page_no") == 1)).select("url")
+    return chain.page_chain(edges, starts)
+
+
 @query
 def page_chain(spark, sf_dir):
     edges = extract.next_pages(fx.landed_pages(spark, sf_dir))

@@ -154,3 +154,18 @@ def test_links_with_entries(spark):
     files = _files(spark, [(1, 1, "MATHS", "a", "/u1", "1", None), (2, 1, "MATHS", "b", "/u1", "2", None)])
     first = spark.createDataFrame([("/u1", 1, 1, ""), ("/u9", 1, 2, "")], "url string, page_no bigint, link_no bigint, data_name string")
     assert {(r["url"], r["id"]) for r in links.with_entries(first, files).collect()} == {("/u1", 1), ("/u9", None)}
+
+
+def test_dictionary_rows_grow_with_matches(spark):
+    """Texts without a dictionary word make no row for the join, however long they and the words are."""
+    rows = [(i, " ".join(f"token{(i * 31 + j) % 997}" for j in range(400))) for i in range(20)] + [(20, "abc a b c d a b c"), (21, None), (22, ""), (23, "a-b-c, a b")]
+    texts = spark.createDataFrame(rows, "key long, text string")
+    words = spark.createDataFrame([("a b c", "x", 2), ("abc", "y", 1), ("a-b", "z", 0), ("q" + " q" * 30, "w", 3), ("a b c", "v", 9)], "word string, subject string, position int")
+    lengths, bitmap = dictionary.first_token_index(words)
+    assert lengths == [1, 2, 3, 31] and len(bitmap) == dictionary.BITS // 64
+    made = texts.select("key", F.explode(dictionary.spans(F.col("text"), lengths, bitmap)).alias("word")).collect()
+    assert {r["key"] for r in made} <= {20, 23} and {(20, "abc"), (20, "a b c"), (23, "a-b"), (23, "a-b-c")} <= {tuple(r) for r in made}
+    got = {r["key"]: r["subject"] for r in dictionary.subjects_from_table(texts, words).collect()}
+    assert len(got) == 24 and (got[20], got[23]) == ("y", "z") and {got[i] for i in (*range(20), 21, 22)} == {None}
+    nothing = dictionary.subjects_from_table(texts, words.limit(0)).collect()
+    assert len(nothing) == 24 and {r["subject"] for r in nothing} == {None}
