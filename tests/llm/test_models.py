@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from folioscan.llm import bag_minhash as bm
 from folioscan.llm import hmm, near_dedup, queries
 from folioscan.llm.common import remainder
+from test_texts import brute_counts
 
 SF = "/root/testdata/sf0.001"
 needs_data = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables are not here")
@@ -171,12 +172,45 @@ def test_pipeline(spark):
     assert docs.count() == before.count() and "batch" in docs.columns
 
 
+def test_pipeline_odd_rows(spark, odd_documents, tmp_path):
+    """Every stage on nulls in all columns, empty and long texts, ties, repeated rows, other columns and no rows at all."""
+    import corpus_pipeline
+
+    stages = dict(corpus_pipeline.STAGES)
+    assert list(stages) == ["quality_rules", "exact_dedup", "near_dedup", "mixing", "packing"]
+    schema = "doc_id long, quality int, toxic int"
+    spark.createDataFrame([(None, None, None), (3, None, 1)], schema).write.parquet(f"{tmp_path}/labels.parquet")
+    docs = odd_documents.unionByName(odd_documents.filter("doc_id is null or doc_id < 3"))
+    rows = docs.collect()
+    low = lambda text: "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+
+    kept = stages["quality_rules"](spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns
+    # without usable labels the base rules decide
+    assert sorted(r["text"] for r in kept.collect()) == sorted(r["text"] for r in rows if not brute_counts(r["text"])[-1])
+    single = stages["exact_dedup"](spark, docs, str(tmp_path))
+    assert single.columns == docs.columns
+    assert sorted(low(r["text"]) for r in single.collect()) == sorted({low(r["text"]) for r in rows})
+    near = stages["near_dedup"](spark, docs, str(tmp_path))
+    assert near.columns == docs.columns
+    assert near.count() == len({c[2:4] for c in brute_classes([(r["doc_id"], r["text"]) for r in rows])})
+    mixed = stages["mixing"](spark, docs, str(tmp_path))
+    assert mixed.columns == docs.columns
+    times = collections.Counter((r["doc_id"], r["text"]) for r in mixed.collect())
+    there = collections.Counter((r["doc_id"], r["text"]) for r in rows)
+    assert all(n <= 3 * there[row] for row, n in times.items())
+    packed = stages["packing"](spark, docs, str(tmp_path))
+    assert len({(r["batch"], r["slot"]) for r in packed.collect()}) == len(rows)
+    for name, stage in stages.items():
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+
+
 @needs_data
 def test_registered():
     from __spark_entry__ import oracle_sql, queries as registered
 
     assert set(queries.QUERIES) | {"pipeline"} <= set(registered()) and set(queries.ORACLES) <= set(oracle_sql())
-    assert {q.split("_")[0] for q in queries.QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert {q.split("_")[0] for q in queries.QUERIES} == {f"op{n}" for n in range(1, 14)}
 
 
 def test_long_texts_are_counted_whole():
