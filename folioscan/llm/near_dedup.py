@@ -9,10 +9,13 @@
    members are verified against the lead, so a bucket of n members makes n pairs. Verified
    pairs are links, and linked contents form classes.
 4. Buckets whose members are all in one class are done. In the others every pair across
-   classes is looked at: blocks of at most ``BLOCK`` members meet block by block inside a
-   task, pairs whose registers agree too seldom for the threshold (by five standard errors)
-   are passed over, the others are verified, and only links that join two classes come out.
-   So no link is lost, and rows never grow with the square of a group.
+   classes is looked at: the members outside the bucket's largest class meet all members, in
+   blocks of about ``BLOCK``, block by block inside a task; members of the largest class do not
+   meet each other. Pairs whose registers agree too seldom for the threshold (by five standard
+   errors) are passed over, the others are verified, and only links that join two classes come
+   out. So no link is lost. Of a bucket with g members in its largest class and s others some
+   g * s / ``BLOCK`` + s * s / ``BLOCK`` rows are sent: in proportion to the bucket while s is
+   below ``BLOCK``, and with its square only if it holds that many classes apart from each other.
 5. Classes are connected components of all links, by smallest label with shortcuts, each
    round written to the shared folder.
 
@@ -228,10 +231,20 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pe
         members.select("band", "uid").join(labels, F.col("uid") == F.col("node"), "left")
         .select("band", "uid", F.coalesce("label", "uid").alias("label")), "near-labelled"
     )
-    undone = labelled.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"))
-    undone = undone.filter(F.col("low") != F.col("high")).select("band", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    cells = labelled.join(undone, "band").withColumn("block", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int"))
-    cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    sides = labelled.groupBy("band", "label").agg(F.count("*").alias("n")).groupBy("band").agg(
+        F.max(F.struct("n", "label")).alias("largest"), F.sum("n").alias("size")
+    ).filter(F.col("largest.n") < F.col("size"))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    sides = sides.select(
+        "band", F.col("largest.label").alias("top"), blocks(F.col("largest.n")).alias("top_blocks"),
+        blocks(F.col("size") - F.col("largest.n")).alias("rest_blocks"),
+    )
+    cells = labelled.join(sides, "band").withColumn("in_top", F.col("label") == F.col("top"))
+    # blocks of the largest class come first; these meet the others only
+    spread = lambda n: F.pmod(F.xxhash64("uid"), n).cast("int")
+    last = F.col("top_blocks") + F.col("rest_blocks") - 1
+    cells = cells.withColumn("block", F.when(F.col("in_top"), spread(F.col("top_blocks"))).otherwise(F.col("top_blocks") + spread(F.col("rest_blocks"))))
+    cells = cells.withColumn("other", F.explode(F.sequence(F.when(F.col("in_top"), F.col("top_blocks")).otherwise(0), last)))
     cells = cells.select("band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "uid", "label")
     cells = cells.join(bags, "uid").repartition("band", "low", "high").sortWithinPartitions("band", "low", "high", "block", "uid")
     more = written(cells.mapInArrow(_links_across(percent), "a long, b long"), "near-links")

@@ -95,6 +95,28 @@ def test_near_classes(spark, monkeypatch):
     assert sum(r["kept"] for r in found) == len({r["class_id"] for r in found})
 
 
+def test_few_members_apart(spark, monkeypatch):
+    """A large class and a few members that only some of it are near to: no link is lost."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    rng = random.Random(17)
+    base = [f"w{i}" for i in range(100)]
+    rows = []
+    for _ in range(400):
+        text = list(base)
+        for _ in range(2):
+            text[rng.randrange(60)] = f"v{rng.randint(0, 10**6)}"
+        rows.append((len(rows), " ".join(text)))
+    for spoiled in (5, 9, 12):  # further and further from the base, at the other end
+        text = rows[7][1].split()
+        for i in range(0, spoiled):
+            text[99 - 6 * (i // 6) - i % 6] = f"u{spoiled}-{i // 4}"
+        rows.append((len(rows), " ".join(text)))
+    rows += [(len(rows) + i, f"{' '.join(base[:95])} x{i} y{i} z{i} a{i} b{i}") for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got, _ = _got(docs)
+    assert got == brute_classes(rows)
+
+
 def test_near_odd_rows(odd_documents):
     rows = [(r["doc_id"], r["text"]) for r in odd_documents.select("doc_id", "text").collect()]
     got, _ = _got(odd_documents)
