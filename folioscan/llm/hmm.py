@@ -38,6 +38,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,19 +59,10 @@ class Vocabulary(NamedTuple):
     mass: np.ndarray  # of each class under the unigram model
     frequent: dict[bytes, float]  # log10 probabilities, at most HEAD
 
-    def of(self, text: bytes | None, known: dict[bytes, tuple]) -> list[tuple]:
-        """(class, log10 probability or None) of a text's tokens, the end included. known: what was found so far."""
-        tokens = (text or b"").lower().split()
-        tokens.append(END.encode())
-        found = []
-        for token in tokens:
-            one = known.get(token)
-            if one is None:
-                one = (self.one(token), self.frequent.get(token), token)
-                if len(known) < 100_000:
-                    known[token] = one
-            found.append(one)
-        return found
+    def of(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Classes of distinct tokens, and their log10 probabilities; NaN for those that do not come with the tasks."""
+        scores_ = [self.frequent.get(token, math.nan) for token in tokens]
+        return np.array([self.one(token) for token in tokens], np.int16), np.array(scores_, np.float64)
 
     def one(self, token: bytes) -> int:
         number = self.classes.get(token)
@@ -253,6 +245,22 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
         yield texts
 
 
+def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Numbers of tokens of each text with its end, all tokens as numbers, and the distinct ones."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    text = np.repeat(np.arange(len(split)), np.diff(split.offsets.to_numpy()))
+    encoded = split.flatten().dictionary_encode()
+    codes = encoded.indices.to_numpy()
+    real = codes != (pc.index(encoded.dictionary, "").as_py())
+    codes, text = codes[real].astype(np.int64), text[real]
+    distinct = pa.concat_arrays([encoded.dictionary, pa.array([END], encoded.dictionary.type)])
+    sizes = np.bincount(text, minlength=len(split)).astype(np.int64) + 1
+    # every text is followed by one end
+    whole = np.full(sizes.sum(), len(distinct) - 1, np.int64)
+    whole[np.arange(len(codes)) + text] = codes
+    return sizes, whole, distinct
+
+
 def class_sequences(docs: DataFrame, words_: Vocabulary, doc_id: str, text: str, train: Column) -> DataFrame:
     """Every row with a number of its own (uid), its classes, its share of the unigram score, and its rare words.
 
@@ -263,25 +271,25 @@ def class_sequences(docs: DataFrame, words_: Vocabulary, doc_id: str, text: str,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        known: dict[bytes, tuple] = {}
         uid = TaskContext.get().partitionId() << 33
         for batch in batches:
-            found = [words_.of(value, known) for value in batch.column("text").cast(pa.binary()).to_pylist()]
-            sizes = [len(f) for f in found]
-            ends = pa.array(np.cumsum([0] + sizes, dtype=np.int32))
-            values = pa.array(np.fromiter((one[0] for f in found for one in f), np.int16, sum(sizes)))
-            rare = [[one[2] for one in f if one[1] is None] for f in found]
-            head = [sum(one[1] for one in f if one[1] is not None) for f in found]
+            sizes, codes, distinct = _tokens(batch.column("text"))
+            classes, log_p = words_.of(distinct.cast(pa.binary()).to_pylist())
+            text = np.repeat(np.arange(len(sizes)), sizes)
+            scores_ = log_p[codes]
+            rare = np.isnan(scores_)
+            ends = lambda n: pa.array(np.r_[0, np.cumsum(n)].astype(np.int32))
+            n_rare = np.bincount(text[rare], minlength=len(sizes))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(range(uid, uid + len(found)), pa.int64()), batch.column("doc_id"), batch.column("train"),
-                    pa.array(sizes, pa.int64()), pa.array([n - len(r) for n, r in zip(sizes, rare)], pa.int64()),
-                    pa.array([float(h) for h in head], pa.float64()), pa.ListArray.from_arrays(ends, values),
-                    pa.array(rare, pa.list_(pa.binary())).cast(pa.list_(pa.string())),
+                    pa.array(range(uid, uid + len(sizes)), pa.int64()), batch.column("doc_id"), batch.column("train"),
+                    pa.array(sizes), pa.array(sizes - n_rare), pa.array(np.bincount(text[~rare], weights=scores_[~rare], minlength=len(sizes)).astype(np.float64)),
+                    pa.ListArray.from_arrays(ends(sizes), pa.array(classes[codes])),
+                    pa.ListArray.from_arrays(ends(n_rare), distinct.take(pa.array(codes[rare]))),
                 ],
                 names=["uid", "doc_id", "train", "n_tokens", "n_head", "head_score", "classes", "rare"],
             )
-            uid += len(found)
+            uid += len(sizes)
 
     schema = (
         f"uid long, doc_id {dict(rows.dtypes)['doc_id']}, train boolean, n_tokens long, n_head long, head_score double,"
@@ -293,7 +301,7 @@ def class_sequences(docs: DataFrame, words_: Vocabulary, doc_id: str, text: str,
 def _sequences(batch: pa.RecordBatch) -> list[np.ndarray]:
     column = batch.column("classes")
     values = column.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
-    ends = np.cumsum(pa.compute.list_value_length(column).to_numpy(zero_copy_only=False))
+    ends = np.cumsum(pc.list_value_length(column).to_numpy(zero_copy_only=False))
     return np.split(values, ends[:-1]) if len(ends) else []
 
 
