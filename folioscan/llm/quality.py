@@ -157,9 +157,16 @@ def _threshold(bins: list[tuple[int, int, int]], good_weight: float) -> float:
 
 
 def score(hashes: str, weights: str, buckets: int = BUCKETS) -> Column:
+    """The sum of the weights of ``grams``, by their number; word and pair of a place are looked up together."""
     table = F.split(F.lit(weights), ",").cast("array<double>")
-    all_grams = grams(hashes, buckets)
-    total = F.aggregate(all_grams, F.lit(0.0), lambda sum_, g: sum_ + F.get(table, g))
+    weight = lambda bucket: F.get(table, bucket.cast("int"))
+    follows = F.slice(hashes, F.lit(2), F.greatest(F.size(hashes) - 1, F.lit(0)))
+    each = F.zip_with(
+        hashes, follows,
+        lambda a, b: weight(F.pmod(a, F.lit(buckets)))
+        + F.when(b.isNotNull(), weight(buckets + F.pmod(F.xxhash64(a, b), F.lit(buckets)))).otherwise(0.0),
+    )
+    total = F.aggregate(each, F.lit(0.0), lambda sum_, w: sum_ + w)
     return F.when(F.size(hashes) > 0, total / (2 * F.size(hashes) - 1)).otherwise(0.0)
 
 
