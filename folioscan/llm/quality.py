@@ -95,9 +95,12 @@ def grams(hashes: str, buckets: int) -> Column:
     return F.concat(single, F.transform(pairs, lambda g: g.cast("int")))
 
 
-def _hashed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    hashed = F.transform(words(F.col(text)), lambda word: F.xxhash64(word))
-    return docs.select(F.col(doc_id).alias("doc_id"), hashed.alias("hashes"))
+def _hashed(docs: DataFrame, doc_id: str, text: str, some: DataFrame | None = None) -> DataFrame:
+    """The words' hashes of all documents, or of those in a small table by doc_id; no others are hashed then."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    rows = rows if some is None else rows.join(F.broadcast(some), "doc_id")
+    hashed = F.transform(words(F.col("text")), lambda word: F.xxhash64(word))
+    return rows.select(*[c for c in rows.columns if c != "text"], hashed.alias("hashes"))
 
 
 def _labelled(labels: DataFrame, good: bool, bound: int) -> DataFrame:
@@ -115,14 +118,16 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     # an id with both labels says nothing
     both = both.groupBy("doc_id").agg(F.min("good").alias("good"), F.max("good").alias("other"), F.first("fit").alias("fit"))
     both = both.filter(F.col("good") == F.col("other")).drop("other")
-    marks = both.select("doc_id", F.lit(1).alias("labelled"), F.when(F.col("good") & F.col("fit"), 1).alias("trusted"))
-    counted = (
-        _hashed(docs, doc_id, text)
-        .join(F.broadcast(marks), "doc_id", "left")
-        .select("labelled", "trusted", F.explode(grams("hashes", buckets)).alias("gram"))
-        .groupBy("gram").agg(F.count("*").alias("raw"), F.count("trusted").alias("target"), F.count("labelled").alias("labelled"))
-        .collect()  # at most 2 * buckets rows
+    gram = F.explode(grams("hashes", buckets)).alias("gram")
+    marks = both.select("doc_id", F.when(F.col("good") & F.col("fit"), 1).alias("trusted"))
+    # at most 2 * buckets rows each
+    raw = _hashed(docs, doc_id, text).select(gram).groupBy("gram").agg(F.count("*").alias("raw")).collect()
+    known = (
+        _hashed(docs, doc_id, text, marks).select("trusted", gram)
+        .groupBy("gram").agg(F.count("trusted").alias("target"), F.count("*").alias("labelled")).collect()
     )
+    of = {row["gram"]: row for row in known}
+    counted = [{"gram": r["gram"], "raw": r["raw"], **{n: of[r["gram"]][n] if r["gram"] in of else 0 for n in ("target", "labelled")}} for r in raw]
     n_raw = sum(row["raw"] for row in counted) + smoothing * 2 * buckets
     n_target = sum(row["target"] for row in counted) + smoothing * 2 * buckets
     ratios = [math.log(smoothing / n_target) - math.log(smoothing / n_raw)] * (2 * buckets)
@@ -135,7 +140,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     foreign = ",".join("1" if gram in often else "0" for gram in range(buckets))
     held = both.filter(~F.col("fit"))
     binned = (
-        _hashed(docs, doc_id, text).join(F.broadcast(held), "doc_id").filter(~abstains("hashes", foreign, buckets))
+        _hashed(docs, doc_id, text, held).filter(~abstains("hashes", foreign, buckets))
         .select("good", F.floor(score("hashes", weights, buckets) * _BINS).alias("bin"))
         .groupBy("bin").agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad"))
         .orderBy("bin").collect()  # scores are between the smallest and largest log ratio
