@@ -21,8 +21,10 @@
 
 Similarity is the Jaccard similarity of the bags of five-word shingles, words being
 lower-cased in A-Z. A text of fewer words is one shingle. Texts without words are in a
-class of their own content only. Null texts are empty. Other columns are not touched.
-Result by document; documents with equal id and text are told apart nowhere.
+class of their own content only. Null texts are empty. Texts are compared whole, however
+long; a task holds the shingles of a bounded number of texts, or of one longer text. Other
+columns are not touched. Result by document; documents with equal id and text are told apart
+nowhere. An empty table gives an empty result.
 """
 
 from __future__ import annotations
