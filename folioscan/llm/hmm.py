@@ -51,6 +51,7 @@ CLASSES, SHARED = 2048, 512
 STATES, ROUNDS = 8, 3
 SEGMENT = 1 << 18
 TOKENS_AT_ONCE = 250_000
+TEXT_AT_ONCE = 2 << 20
 
 
 class Vocabulary(NamedTuple):
@@ -245,6 +246,17 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
         yield texts
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with a few megabytes of text, or with one longer text."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy())
+    start = 0
+    while start < len(batch):
+        before = sizes[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(sizes, before + TEXT_AT_ONCE, "right")))
+        yield batch.slice(start, end - start)
+        start = end
+
+
 def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Numbers of tokens of each text with its end, all tokens as numbers, and the distinct ones."""
     split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
@@ -272,7 +284,7 @@ def class_sequences(docs: DataFrame, words_: Vocabulary, doc_id: str, text: str,
         from pyspark import TaskContext
 
         uid = TaskContext.get().partitionId() << 33
-        for batch in batches:
+        for batch in (part for whole in batches for part in _slices(whole)):
             sizes, codes, distinct = _tokens(batch.column("text"))
             classes, log_p = words_.of(distinct.cast(pa.binary()).to_pylist())
             text = np.repeat(np.arange(len(sizes)), sizes)
