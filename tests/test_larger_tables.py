@@ -23,3 +23,24 @@ def test_format_bytes_of_sizes_past_64_bits(spark, tmp_path):
     spark.createDataFrame([(huge,)], "o_orderkey bigint").write.mode("overwrite").parquet(str(tmp_path / "orders.parquet"))
     number, unit = QUERIES["format_bytes"](spark, str(tmp_path)).first()["shown"].split()
     assert (float(number), unit) == (pytest.approx(huge**4 / 1024**5), "PB")
+
+
+def test_rows_and_cells_are_cut_by_patterns_that_are_compiled_once(spark):
+    """``split`` compiles its pattern for every text, so none may work on single rows or cells."""
+    from folioscan.operators import extract
+
+    pages = spark.createDataFrame([(1, "u", "<tbody><tr><td>a</td><td>b<td> c <b> d</b></td><td>&eacute;</td><td><a href=x>")], "page_no bigint, url string, html string")
+    rows = extract.listing_rows(pages)
+    assert [tuple(row)[:6] for row in rows.collect()] == [(1, 1, "a", "b", "cd", "é")]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(row" not in plan and "split(cell" not in plan.split("array_join")[0] and "[Tt][Rr], 2)" not in plan
+
+
+def test_running_sum_of_many_blocks(spark):
+    from pyspark.sql import functions as F
+
+    from folioscan.functions import nesting
+
+    values = [(i * 7) % 5 - 2 for i in range(40_000)]
+    sums = spark.createDataFrame([(values,)], "v array<int>").select(nesting.running_sum(F.col("v"))).first()[0]
+    assert sums == [sum(values[: i + 1]) for i in range(0, 200)] + sums[200:] and sums[-1] == sum(values)
