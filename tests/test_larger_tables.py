@@ -44,3 +44,25 @@ def test_running_sum_of_many_blocks(spark):
     values = [(i * 7) % 5 - 2 for i in range(40_000)]
     sums = spark.createDataFrame([(values,)], "v array<int>").select(nesting.running_sum(F.col("v"))).first()[0]
     assert sums == [sum(values[: i + 1]) for i in range(0, 200)] + sums[200:] and sums[-1] == sum(values)
+
+
+def test_streams_have_state_for_the_cores_and_leave_the_session_alone(spark, tmp_path):
+    from folioscan import schemas
+    from folioscan.streaming import landing
+
+    page = "<tbody><tr><td>2024</td><td>b</td><td>c</td><td>d</td><td></td></tr></tbody>"
+    spark.createDataFrame([(n, "u", page) for n in range(8)], schemas.LANDED_PAGES).write.parquet(str(tmp_path / "in"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        pages = landing.stream_pages(spark, str(tmp_path / "in"), files_per_batch=4)
+        landing.start_distinct_values(pages, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "40"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    partitions = [p for p in (tmp_path / "state" / "state" / "0").iterdir() if p.name.isdigit()]
+    assert len(partitions) == 2 * spark.sparkContext.defaultParallelism
+    found = landing.latest_distinct_values(spark, str(tmp_path / "out")).collect()
+    assert sorted((row["field"], row["value"], row["n"]) for row in found) == [
+        ("Discipline", "b", 8), ("Localisation", "d", 8), ("Serie", "c", 8), ("Session", "2024", 8)
+    ]
