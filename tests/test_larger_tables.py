@@ -66,3 +66,21 @@ def test_streams_have_state_for_the_cores_and_leave_the_session_alone(spark, tmp
     assert sorted((row["field"], row["value"], row["n"]) for row in found) == [
         ("Discipline", "b", 8), ("Localisation", "d", 8), ("Serie", "c", 8), ("Session", "2024", 8)
     ]
+
+
+def test_failures_are_worked_out_once(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from folioscan.sources import sinks
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def error(n):
+        seen.add(1)
+        return f"503 {n}"
+
+    failures = spark.range(0, 20, 1, 1).select(F.lit("u").alias("url"), error("id").alias("error"), F.current_timestamp().alias("timestamp"))
+    assert sinks.write_failures(failures, str(tmp_path / "failures"))
+    assert (seen.value, sinks.read_failures(spark, str(tmp_path / "failures")).count()) == (20, 20)
+    assert not sinks.write_failures(failures.filter("url = 'x'"), str(tmp_path / "none")) and not (tmp_path / "none").exists()
