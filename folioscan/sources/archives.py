@@ -6,14 +6,16 @@ import io
 import zipfile
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from folioscan import schemas
 from folioscan.functions.urls import suffix
 
-_BATCH_BYTES = 32 << 20
-_COLUMNS = ["archive_path", "member", "size", "content", "error"]
+_BATCH_BYTES = 4 << 20
+_MEMBERS = pa.schema(
+    [("archive_path", pa.string()), ("member", pa.string()), ("size", pa.int64()), ("content", pa.binary()), ("error", pa.string())]
+)
 
 
 def _members(path: str, content: bytes) -> Iterator[tuple]:
@@ -31,28 +33,38 @@ def _members(path: str, content: bytes) -> Iterator[tuple]:
         yield path, None, None, None, f"{type(problem).__name__}: {problem}"
 
 
-def _unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    rows, held = [], 0
-    for batch in batches:
-        for path, content in zip(batch["path"], batch["content"]):
-            for row in _members(path, bytes(content)):
-                rows.append(row)
-                held += row[2] or 0
-                if held >= _BATCH_BYTES:
-                    yield pd.DataFrame(rows, columns=_COLUMNS)
-                    rows, held = [], 0
-    if rows:
-        yield pd.DataFrame(rows, columns=_COLUMNS)
+def in_batches(rows: Iterator[tuple[tuple, int]], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows with their bytes as batches of a few megabytes."""
+    held, size = [], 0
+    for row, length in rows:
+        held.append(row)
+        size += length
+        if size >= _BATCH_BYTES:
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*held), schema.types)], schema=schema)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*held), schema.types)], schema=schema)
+
+
+def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    found = (
+        (row, row[2] or 0)
+        for batch in batches
+        for path, content in zip(batch.column("path"), batch.column("content"))
+        for row in _members(path.as_py(), bytes(content.as_py()))
+    )
+    return in_batches(found, _MEMBERS)
 
 
 def unpack(files: DataFrame) -> DataFrame:
     """One row per member of each ``.zip`` in ``path, content``; a bad archive gives one error row.
 
-    Python holds one archive and up to 32 MiB of members at a time. Set
-    ``spark.sql.execution.arrow.maxRecordsPerBatch`` low when archives are large.
+    Python holds one batch of archives as Spark sends it, one archive of it as bytes, and up
+    to 4 MiB of members at a time. Set ``spark.sql.execution.arrow.maxRecordsPerBatch`` low
+    when archives are large.
     """
     zips = files.filter(F.lower(suffix(F.col("path"))) == ".zip").select("path", "content")
-    return zips.mapInPandas(_unpack, schemas.ARCHIVE_MEMBERS)
+    return zips.mapInArrow(_unpack, schemas.ARCHIVE_MEMBERS)
 
 
 def members(unpacked: DataFrame) -> DataFrame:

@@ -84,3 +84,12 @@ def test_failures_are_worked_out_once(spark, tmp_path):
     assert sinks.write_failures(failures, str(tmp_path / "failures"))
     assert (seen.value, sinks.read_failures(spark, str(tmp_path / "failures")).count()) == (20, 20)
     assert not sinks.write_failures(failures.filter("url = 'x'"), str(tmp_path / "none")) and not (tmp_path / "none").exists()
+
+
+def test_archive_batches_are_bounded():
+    from folioscan.sources import archives
+
+    rows = [((f"{n}.zip", "text.txt", 1 << 20, b"x" * (1 << 20), None), 1 << 20) for n in range(10)]
+    batches = list(archives.in_batches(iter(rows), archives._MEMBERS))
+    assert [batch.num_rows for batch in batches] == [4, 4, 2]
+    assert [tuple(row.values()) for batch in batches for row in batch.to_pylist()] == [row for row, _ in rows]
