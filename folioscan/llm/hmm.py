@@ -42,7 +42,6 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscan.llm.common import lower_ascii, words
 from folioscan.session import ship_package, written
 
 END = " "  # no word is a space
@@ -52,6 +51,8 @@ STATES, ROUNDS = 8, 3
 SEGMENT = 1 << 18
 TOKENS_AT_ONCE = 250_000
 TEXT_AT_ONCE = 2 << 20
+COUNTS_AT_ONCE = 1 << 20
+SCALED_EVERY = 4  # places; an emission is never so small that the product of four is zero
 
 
 class Vocabulary(NamedTuple):
@@ -62,8 +63,9 @@ class Vocabulary(NamedTuple):
 
     def of(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Classes of distinct tokens, and their log10 probabilities; NaN for those that do not come with the tasks."""
-        scores_ = [self.frequent.get(token, math.nan) for token in tokens]
-        return np.array([self.one(token) for token in tokens], np.int16), np.array(scores_, np.float64)
+        known, first = map(self.classes.get, tokens), len(self.classes)
+        numbers = [first + zlib.crc32(token[-3:]) % self.shared if number is None else number for token, number in zip(tokens, known)]
+        return np.array(numbers, np.int16), np.array(list(map(self.frequent.get, tokens)), np.float64)
 
     def one(self, token: bytes) -> int:
         number = self.classes.get(token)
@@ -76,9 +78,29 @@ class Model(NamedTuple):
     emit: np.ndarray  # class, state
 
 
-def token_counts(docs: DataFrame, text: str) -> DataFrame:
-    tokens = F.concat(words(lower_ascii(F.coalesce(F.col(text), F.lit("")))), F.array(F.lit(END)))
-    return written(docs.select(F.explode(tokens).alias("token")).groupBy("token").agg(F.count("*").alias("c")), "token-counts")
+def token_counts(docs: DataFrame, text: str, at_once: int = COUNTS_AT_ONCE) -> DataFrame:
+    """token, c: tasks count their tokens part by part, and hold about ``at_once`` distinct ones and those of a part."""
+
+    def merged(held: list[pa.Table]) -> pa.Table:
+        sums = pa.concat_tables(held).group_by("token", use_threads=False).aggregate([("c", "sum")])
+        return sums.select(["token", "c_sum"]).rename_columns(["token", "c"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        for batch in (part for whole in batches for part in _slices(whole)):
+            _, codes, distinct = _tokens(batch.column("text"))
+            seen = np.bincount(codes, minlength=len(distinct))
+            used = np.flatnonzero(seen)
+            held.append(pa.table({"token": distinct.take(pa.array(used)), "c": seen[used].astype(np.int64)}))
+            if sum(map(len, held)) > at_once:
+                held = [merged(held)]
+                if len(held[0]) > at_once // 2:
+                    yield from held.pop().to_batches()
+        if held:
+            yield from merged(held).to_batches()
+
+    counts = docs.select(F.col(text).alias("text")).mapInArrow(run, "token string, c long")
+    return written(counts.groupBy("token").agg(F.sum("c").alias("c")), "token-counts")
 
 
 def rare_scores(sequences: DataFrame, counts: DataFrame, n: int, v: int) -> DataFrame:
@@ -135,26 +157,32 @@ def _groups(texts: list[np.ndarray]) -> Iterator[list[int]]:
 def _padded(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Classes by place and text, and how many texts reach each place; longest first."""
     sizes = np.array([len(t) for t in texts])
-    held = np.zeros((sizes[0], len(texts)), np.int32)
-    for i, t in enumerate(texts):
-        held[: len(t), i] = t
+    held = np.zeros((len(texts), sizes[0]), np.int32)
+    held[np.arange(sizes[0]) < sizes[:, None]] = np.concatenate(texts)
     reach = np.searchsorted(-sizes, -np.arange(sizes[0]), side="left")
-    return held, reach
+    return np.ascontiguousarray(held.T), reach
+
+
+def _scaled(reach: np.ndarray) -> np.ndarray:
+    """Places at which vectors are scaled: every few, and each at which a text ends."""
+    return (np.arange(len(reach)) % SCALED_EVERY == SCALED_EVERY - 1) | (np.append(reach[1:], 0) < reach)
 
 
 def log10_likelihoods(model: Model, texts: list[np.ndarray]) -> np.ndarray:
-    """Scaled forward recursion, exact for every text."""
+    """Scaled forward recursion, exact for every text. Vectors lie by state, then text."""
     result = np.zeros(len(texts))
+    start, step, emit = model.start[:, None], model.step.T.copy(), model.emit.T.copy()
     for group in _groups(texts):
         held, reach = _padded([texts[i] for i in group])
         total = np.zeros(len(group))
         a = None
-        for t in range(len(held)):
+        for t, scaled in enumerate(_scaled(reach)):
             n = reach[t]
-            a = (np.tile(model.start, (n, 1)) if t == 0 else a[:n] @ model.step) * model.emit[held[t, :n]]
-            scale = a.sum(1)
-            a /= scale[:, None]
-            total[:n] += np.log(scale)
+            a = (start if t == 0 else step @ a[:, :n]) * emit.take(held[t, :n], axis=1)
+            if scaled:
+                scale = a.sum(0)
+                a /= scale
+                total[:n] += np.log(scale)
         result[group] = total / math.log(10)
     return result
 
@@ -200,29 +228,32 @@ def expected_counts(model: Model, texts: list[np.ndarray], segment: int = SEGMEN
         if len(text) > segment:
             _add_long(model, text, segment, start, step, emit)
     texts = [text for text in texts if len(text) <= segment]
+    onward, emitted = model.step.T.copy(), model.emit.T.copy()
     for group in _groups(texts):
         held, reach = _padded([texts[i] for i in group])
-        alpha, scales = np.zeros((*held.shape, states)), np.ones(held.shape)
+        scaled, scales = _scaled(reach), np.ones(held.shape)
+        alpha = np.zeros((len(held), states, len(group)))  # by place, state, text
         for t in range(len(held)):
             n = reach[t]
-            a = (np.tile(model.start, (n, 1)) if t == 0 else alpha[t - 1, :n] @ model.step) * model.emit[held[t, :n]]
-            scales[t, :n] = a.sum(1)
-            alpha[t, :n] = a / scales[t, :n, None]
-        beta = np.ones((len(group), states))
+            a = (model.start[:, None] if t == 0 else onward @ alpha[t - 1, :, :n]) * emitted.take(held[t, :n], axis=1)
+            if scaled[t]:
+                scales[t, :n] = a.sum(0)
+                a /= scales[t, :n]
+            alpha[t, :, :n] = a
+        beta = np.ones((states, len(group)))
         for t in range(len(held) - 1, -1, -1):
             n = reach[t]
             if t + 1 < len(held):
                 after = reach[t + 1]
-                w = model.emit[held[t + 1, :after]] * beta[:after] / scales[t + 1, :after, None]
-                step += alpha[t, :after].T @ w
-                beta[:after] = w @ model.step.T
-            alpha[t, :n] *= beta[:n]
-        alpha /= np.maximum(alpha.sum(2, keepdims=True), 1e-300)
-        live = np.arange(held.shape[1])[None, :] < reach[:, None]
-        start += alpha[0].sum(0)
-        seen, weights = held[live], alpha[live]
-        for s in range(states):
-            emit[:, s] += np.bincount(seen, weights=weights[:, s], minlength=classes)
+                w = emitted.take(held[t + 1, :after], axis=1) * beta[:, :after]
+                if scaled[t + 1]:
+                    w /= scales[t + 1, :after]
+                step += alpha[t, :, :after] @ w.T
+                beta[:, :after] = model.step @ w
+            alpha[t, :, :n] *= beta[:, :n]
+        start += alpha[0].sum(1)
+        for s in range(states):  # sums over states are one, and zero behind the end of a text
+            emit[:, s] += np.bincount(held.ravel(), weights=alpha[:, s].ravel(), minlength=classes)
     return np.concatenate([start, (step * model.step).ravel(), emit.ravel()])
 
 

@@ -4,6 +4,8 @@ import collections
 import math
 import os
 import random
+import re
+import string
 
 import numpy as np
 import pytest
@@ -245,3 +247,25 @@ def test_long_texts_are_counted_whole():
     for segment in (1, 3, 7, 40):
         assert np.allclose(hmm.expected_counts(model, texts, segment), whole, rtol=1e-9)
     assert np.isclose(whole[:3].sum(), len(texts)) and np.isclose(whole[12:].sum(), sum(map(len, texts)))
+
+
+def test_tokens_are_counted_in_parts_of_bounded_size(spark):
+    texts = ["A b  a\tÉ", None, "", " \n", "b c d e f g h a", "a\x85b É é", "c"] * 9
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    want = collections.Counter(w for t in texts for w in [*re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c in string.ascii_uppercase else c for c in t or "")), " "])
+    for at_once in (1, 4, 1 << 20):
+        counts = hmm.token_counts(docs, "text", at_once)
+        assert {r["token"]: r["c"] for r in counts.collect()} == want
+        assert [t for _, t in counts.dtypes] == ["string", "bigint"]
+
+
+def test_vectors_scaled_every_few_places_lose_nothing():
+    rng = np.random.default_rng(5)
+    mass = np.array([1e-20, 1e-18, 0.3, 0.7])
+    model = hmm.first_model(mass, 3)
+    texts = [rng.integers(0, 4, n).astype(np.int32) for n in (1, 2, 3, 4, 5, 8, 9, 40)] + [np.zeros(50, np.int32)]
+    likely = [sum(np.log10(hmm._forward(model, t, None)[1])) for t in texts]
+    assert np.allclose(hmm.log10_likelihoods(model, texts), likely, rtol=1e-12)
+    counts = hmm.expected_counts(model, texts)
+    assert np.allclose(counts, sum(hmm.expected_counts(model, [t], segment=1) for t in texts), rtol=1e-9)
+    assert np.isclose(counts[3 + 9:].sum(), sum(map(len, texts)))
