@@ -1,7 +1,9 @@
 """Queries over rows that only larger tables hold."""
 
 import pytest
+from pyspark.sql import functions as F
 
+from folioscan.functions import markup
 from folioscan.workload.queries import QUERIES
 
 
@@ -93,3 +95,25 @@ def test_archive_batches_are_bounded():
     batches = list(archives.in_batches(iter(rows), archives._MEMBERS))
     assert [batch.num_rows for batch in batches] == [4, 4, 2]
     assert [tuple(row.values()) for batch in batches for row in batch.to_pylist()] == [row for row, _ in rows]
+
+
+def test_values_and_frequent_references_take_no_second_pattern(spark):
+    """A value is cut without its quotes by the pattern that finds it; frequent references need no tokens."""
+    assert "regexp_replace" not in str(markup.attribute(F.col("tag"), "href"))
+    assert "&eacute;" in str(markup.decode_references(F.col("html")))
+    tags = {
+        "<a href=\"a'b\">": "a'b", "<a href='a\"b'>": 'a"b', "<a href=ab>": "ab", "<a href = \"\">": "", "<a href='&lt;&amp;'>": "<&",
+        "<a title=\"href='x'\" href=y>": "y", "<a>": "", "<a href=\"'a'\">": "'a'",
+    }
+    texts = {
+        "&nbsp;&eacute;": "\xa0é", "&ea&nbsp;cute;": "&ea\xa0cute;", "&amp;nbsp;": "&amp;nbsp;", "&#38;eacute;": "&amp;eacute;",
+        "&&eacute;;": "&é;", "&eacute": "&eacute", "&rsquo;&oelig;&#233;": "’œé",
+    }
+    pages = {
+        "a<!-- - -- x --->b": "a<!>b", "a<!--": "a<!>", "a<!---->b": "a<!>b", "<script a='>'>< </scr</SCRIPT >c": "<!>c", "<style>x</script>": "<!>",
+        "<s>a</s><scripty>b": "<s>a</s><scripty>b",
+    }
+    for cases, found in ((tags, lambda c: markup.attribute(c, "href")), (texts, markup.decode_references), (pages, markup.visible)):
+        rows = spark.createDataFrame(list(cases.items()), "given string, want string")
+        for row in rows.select("want", found(F.col("given")).alias("got")).collect():
+            assert row["got"] == row["want"]
