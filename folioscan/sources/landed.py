@@ -34,8 +34,13 @@ def read_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
 
 
 def list_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """Files on disk as ``path, length, modificationTime``; no file is opened."""
-    return read_files(spark, path, glob).select("path", "length", "modificationTime")
+    """Files on disk as ``path, length, modificationTime``; no file is opened.
+
+    The scan counts some megabytes for each file, so it makes a task for every few small
+    ones; they are put together, a few tasks for each core, however many files there are.
+    """
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return read_files(spark, path, glob).select("path", "length", "modificationTime").coalesce(tasks)
 
 
 def contents(files: DataFrame) -> DataFrame:

@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioscan.functions import markup
+from folioscan.operators import fetch
+from folioscan.sources import landed
 from folioscan.workload.queries import QUERIES
 
 
@@ -117,3 +119,19 @@ def test_values_and_frequent_references_take_no_second_pattern(spark):
         rows = spark.createDataFrame(list(cases.items()), "given string, want string")
         for row in rows.select("want", found(F.col("given")).alias("got")).collect():
             assert row["got"] == row["want"]
+
+
+def test_listing_many_small_files_takes_a_few_tasks_for_each_core(spark, tmp_path):
+    most = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    bodies = {f"{i}.pdf": b"%PDF" + b"x" * i for i in range(3 * most)}
+    for name, body in bodies.items():
+        (tmp_path / name).write_bytes(body)
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.openCostInBytes", str(1 << 30))  # each file is a task of its own
+        files = landed.list_files(spark, str(tmp_path))
+        assert files.rdd.getNumPartitions() <= most
+        judged = fetch.kept_verdicts(files).collect()
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", before)
+    assert {r["path"].rsplit("/", 1)[1]: r["size"] for r in judged} == {name: len(body) for name, body in bodies.items()}
