@@ -203,3 +203,25 @@ def test_numbers_match_a_plain_count(spark, monkeypatch):
     want = {key: i for i, key in enumerate(keys, start=11)}
     assert len(numbered) == len(rows)
     assert all(r["id"] == want[(r["page_no"], r["row_no"])] for r in numbered)
+
+
+def test_pages_of_known_markup_need_no_parser_and_give_the_same_rows(monkeypatch):
+    import random
+
+    from folioscan.functions import markup_parser
+
+    row = (
+        '<tr><td class="x">\n &eacute;1&nbsp;</td><TD> b<br/> <i>c</i></td><td>d<!-- x -->e</td><td/>f<td><a title="<td> </table>" href=\'u&amp;v\' '
+        'data-atl-name="n|1" HREF=w>x</a><table><tbody><td>in</td></tbody></table><a href=y>z</tr>'
+    )
+    page = f"<!DOCTYPE html><![foo[x]]><script>var x = '<a href=q>';</script><p>p<table><tbody>{row * 3}</tbody></table>"
+    parsed = markup_parser._rows(markup_parser._read(page))
+    odd = ["<", "</", "<title><td></title>", "<a href='x'b=c>", "<script><!-- </script>", "<![CDATA[<td>]]>", "<!---->", "<td", "<p/ >"]
+    plain = ["<table>", "</table>", "<tbody>", "</tbody>", "<tr>", "</tr>", "<td>", "<td>", "</td>", "<th>", "<b>", "</b>", "<a href=x>", "</a>", "<br>", "a ", "&amp", "<li/>"]
+    rng = random.Random(5)
+    pages = ["<tbody><tr>" + "".join(rng.choice(plain + odd * (i % 2)) for _ in range(rng.randrange(60))) for i in range(3000)]
+    for html in pages:
+        assert rows_of(html) == markup_parser._rows(markup_parser._read(html)), html
+    assert [len(r["links"]) for r in parsed] == [2] * len(parsed) and len(parsed) == 3
+    monkeypatch.setattr(markup_parser, "_read", None)
+    assert rows_of(page) == parsed
