@@ -135,3 +135,19 @@ def test_listing_many_small_files_takes_a_few_tasks_for_each_core(spark, tmp_pat
     finally:
         spark.conf.set("spark.sql.files.openCostInBytes", before)
     assert {r["path"].rsplit("/", 1)[1]: r["size"] for r in judged} == {name: len(body) for name, body in bodies.items()}
+
+
+def test_tables_inside_tables_are_cut_without_slices_of_whole_pages(spark):
+    """``slice`` took each cell, row and block out of the arrays of the whole page."""
+    from folioscan.functions import nesting
+    from folioscan.functions.markup_parser import rows_of
+
+    assert "slice" not in str(nesting.nested_rows(F.col("html"), markup.MIN_CELLS))
+    row = "<tr><td>{0}<td>b<table><tr><td>in {0}</table></td><th>h<td>c</td><td></td><td><a href=x>{0}</a></td></tr>"
+    html = "<table><tbody>" + "".join(row.format(i) for i in range(700)) + "</table><tr><td>out"
+    got = spark.createDataFrame([(html,)], "html string").select(F.inline(nesting.nested_rows(F.col("html"), markup.MIN_CELLS))).collect()
+    assert [r["row_no"] for r in got] == [r["row_no"] for r in rows_of(html)] == list(range(1, 1401, 2))
+    assert [r["cells"][0] for r in got] == [str(i) for i in range(700)] and got[-1]["cells"][2] == "in 699"
+    values = [(i * 5) % 7 - 3 for i in range(1100)]
+    sums = spark.createDataFrame([(values[:n],) for n in (0, 1, 7, 8, 9, 64, 513, 1100)], "v array<int>").select(nesting.running_sum(F.col("v"))).collect()
+    assert [r[0] for r in sums] == [[sum(values[: i + 1]) for i in range(n)] for n in (0, 1, 7, 8, 9, 64, 513, 1100)]
